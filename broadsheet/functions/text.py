@@ -8,17 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Members of the Unicode white-space class, written as a regex class body that Java and RE2 share.
-WS = " \t\n\x0b\f\r\x1c-\x1f\x85\xa0  -     　"
+WS = " \t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same characters spelled out, for trimming.
 WS_CHARS = (
-    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 "
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　"
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
 #: Characters that make up a word: letters, marks, digits and the underscore.
 WORD = r"\p{L}\p{M}\p{N}_"
 #: Characters of a token: letters, digits, the underscore, plus one script block kept whole.
-TOKEN = r"\p{L}\p{N}_ঀ-৿"
+TOKEN = "\\p{L}\\p{N}_\u0980-\u09ff"
 
 
 def col(c) -> Column:
@@ -45,7 +45,7 @@ def document_text(title, content, sep: str = "\n\n") -> Column:
 
 def detect_language(text, blocks: dict[str, str] | None = None, default: str = "English", head: int = 500) -> Column:
     """P02. First language whose Unicode block (a regex class body) occurs in the first ``head`` chars."""
-    blocks = blocks or {"Bangla": "ঀ-৿"}
+    blocks = blocks or {"Bangla": "\u0980-\u09ff"}
     sample = F.substring(col(text), 1, head)
     out = None
     for language, block in blocks.items():
@@ -81,7 +81,7 @@ def locate_excerpt(text, excerpt) -> Column:
     Positions count characters of the text with white space collapsed. The first 40 characters decide,
     then the first 25, then the first 40 without case.
     """
-    quote = "[\"'“”" + WS + "]"
+    quote = "[\"'\u201c\u201d" + WS + "]"
     wanted = strip(collapse_spaces(F.regexp_replace(col(excerpt), f"^{quote}+|{quote}+$", "")))
     body = collapse_spaces(text)
     head = F.substring(wanted, 1, 40)
