@@ -35,9 +35,12 @@ def dedup_by_url(df: DataFrame, url: str = "url", order: str = "id") -> DataFram
 
 
 def insert_new(store: DataFrame, batch: DataFrame, url: str = "url", order: str = "id") -> DataFrame:
-    """R03. Rows of a batch that are new: distinct by URL within the batch and absent from the store."""
+    """R03. Rows of a batch that are new: distinct by URL within the batch and absent from the store.
+    Rows without a URL are always new and stay out of the join."""
     known = store.select(F.col(url).alias("_known")).where(F.coalesce("_known", F.lit("")) != "").distinct()
-    return dedup_by_url(batch, url, order).join(known, F.col(url) == F.col("_known"), "left_anti")
+    has = F.coalesce(F.col(url), F.lit("")) != ""
+    fresh = dedup_by_url(batch.where(has), url, order).join(known, F.col(url) == F.col("_known"), "left_anti")
+    return fresh.unionByName(batch.where(~has))
 
 
 def ingest_stats(store: DataFrame, batch: DataFrame, url: str = "url", order: str = "id") -> DataFrame:
