@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions.arrays import count_runs, literal_array, top_tokens
-from broadsheet.functions.text import TOKEN, WS, clean_text, strip
+from broadsheet.functions.text import WS, clean_text, strip
 from broadsheet.operators.entities import combined_text
 from broadsheet.operators.matching import any_of
 
@@ -158,5 +158,3 @@ def key_points(
     kept = F.filter(parts, lambda s: (F.length(s) > min_len) & any_of(F.lower(s), verbs))
     return articles.withColumn(out, F.transform(F.slice(kept, 1, n), lambda s: F.concat(s, F.lit("."))))
 
-
-TOKEN_CLASS = TOKEN

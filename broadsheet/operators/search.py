@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,13 +107,16 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
-def _best_rows(qids, matrix_q, ids, matrix_c, k, metric):
+def _best_rows(qids, matrix_q, ids, matrix_c, k, metric, masks=None):
     q, i, s = [], [], []
     width = max(1, SLICE_SCORES // max(1, len(ids)))
     for at in range(0, len(qids), width):
         sim = scores(matrix_c, matrix_q[at:at + width], metric)
         for column, qid in enumerate(qids[at:at + width]):
-            ok = np.flatnonzero(~np.isnan(sim[:, column]))
+            usable = ~np.isnan(sim[:, column])
+            if masks is not None and masks[at + column] is not None:
+                usable = usable & masks[at + column]
+            ok = np.flatnonzero(usable)
             best = ok[_top(sim[ok, column], ids[ok], k)]
             q.append(np.full(len(best), qid))
             i.append(ids[best])
@@ -197,6 +201,93 @@ def _keep(best, found, qids, k):
     return q[kept], i[kept], s[kept]
 
 
+def _row_masks(filters: list[dict], batch: pa.RecordBatch) -> list:
+    """Per query the rows of a batch its filters admit (None: all). Value lists are indexed once per batch."""
+    n = batch.num_rows
+    index: dict = {}
+    for name in ("parties", "people", "themes"):
+        wanted = {v for f in filters for v in (f.get(name) or ())}
+        if not wanted:
+            continue
+        column = batch.column(name)
+        rows = pa.compute.list_parent_indices(column).to_numpy()
+        values = column.flatten().to_pylist()
+        places: dict = {}
+        for row, value in zip(rows, values):
+            if value in wanted:
+                places.setdefault(value, []).append(row)
+        index[name] = places
+    dates = None
+    if any(f.get("from") or f.get("to") for f in filters):
+        dates = batch.column("date").to_numpy(zero_copy_only=False).astype("datetime64[D]")
+    masks = []
+    for f in filters:
+        mask = None
+        for name in ("parties", "people", "themes"):
+            if f.get(name):
+                hit = np.zeros(n, dtype=bool)
+                for value in f[name]:
+                    hit[index[name].get(value, [])] = True
+                mask = hit if mask is None else mask & hit
+        for bound, test in (("from", np.greater_equal), ("to", np.less_equal)):
+            if f.get(bound):
+                hit = test(dates, np.datetime64(f[bound])) & ~np.isnat(dates)
+                mask = hit if mask is None else mask & hit
+        masks.append(mask)
+    return masks
+
+
+def filtered_knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
+                      broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """V07 for many questions in one pass over the corpus: each question's own filters, then its k best.
+
+    ``queries``: query_id, embedding, filter_parties, filter_people, filter_themes, filter_from, filter_to.
+    Returns (query_id, id, similarity, rank, strict): the strict answer of each question and, beside it,
+    the answer without list filters, for :func:`broadsheet.operators.ranking.relax_if_empty`. Questions
+    beyond ``broadcast_numbers`` numbers are taken in several passes.
+    """
+    check_metric(metric)
+    spark = queries.sparkSession
+    q = queries.where("embedding is not null").select(
+        F.col("query_id").cast("bigint"), "embedding", "filter_parties", "filter_people", "filter_themes",
+        F.col("filter_from").cast("date"), F.col("filter_to").cast("date"))
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("d")).first()
+    passes = max(1, int(np.ceil(2 * size["n"] * size["d"] / broadcast_numbers)))
+    c = corpus.where("embedding is not null").select(
+        F.col("id").cast("bigint").alias("cid"), F.col("embedding").alias("cv"), "parties", "people", "themes", "date")
+    out = None
+    for part in range(passes):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == part).orderBy("query_id").collect()
+        ids, vectors, filters = [], [], []
+        for r in rows:
+            dates = {"from": r["filter_from"], "to": r["filter_to"]}
+            lists = {"parties": r["filter_parties"], "people": r["filter_people"], "themes": r["filter_themes"]}
+            ids += [2 * r["query_id"], 2 * r["query_id"] + 1]
+            vectors += [r["embedding"]] * 2
+            filters += [{**lists, **dates}, dates]
+        width = len(vectors[0]) if vectors else 1
+        shared = spark.sparkContext.broadcast(
+            (np.array(ids, dtype="int64"), np.array(vectors, dtype=np.float64).reshape(len(ids), width), filters))
+
+        def run(batches, shared=shared):
+            ids_q, m, per = shared.value
+            best = None
+            for batch in batches:
+                if not batch.num_rows or not len(ids_q):
+                    continue
+                found = _best_rows(ids_q, m, batch.column("cid").to_numpy(zero_copy_only=False),
+                                   matrix(batch.column("cv")), k, metric, _row_masks(per, batch))
+                best = found if best is None else _keep(best, found, ids_q, k)
+            if best is not None and len(best[0]):
+                yield pa.record_batch([pa.array(x) for x in best], names=["qid", "cid", "similarity"])
+
+        found = _merge(c.mapInArrow(run, "qid bigint, cid bigint, similarity double"), k, "qid", "cid")
+        out = found if out is None else out.unionByName(found)
+    return out.select(
+        F.expr("qid div 2").alias("query_id"), F.col("cid").alias("id"), "similarity", "rank",
+        (F.col("qid") % 2 == 0).alias("strict"))
+
+
 def lsh_model(corpus: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 42,
               embedding: str = "embedding"):
     """Random-projection hash tables over unit vectors, where Euclidean order is cosine order."""

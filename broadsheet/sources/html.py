@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.dates import check_bound
-from broadsheet.functions.text import WS_CHARS, col, resolve_url, strip
+from broadsheet.functions.text import col, resolve_url, strip
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNWANTED = frozenset("nav header footer aside script style".split())
@@ -316,5 +316,3 @@ def extract_links(pages: DataFrame, base_url: str, pattern: str | None = None, c
     links = F.array_distinct(F.array_compact(absolute))
     return pages.select(key, links.alias("_l")).select(key, F.posexplode("_l").alias("position", "link"))
 
-
-STRIP_CHARS = WS_CHARS
