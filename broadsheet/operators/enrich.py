@@ -273,15 +273,16 @@ def read_keywords(response: str | None, n: int) -> dict:
     return {"keywords": out["keywords"][:n], "phrases": out["phrases"][:5], "topics": out["topics"][:3]}
 
 
-@F.pandas_udf("summary string, key_points array<string>, keywords array<string>, topics array<string>, stance_analysis string")
-def _summary_udf(responses: pd.Series) -> pd.DataFrame:
+def parse_sectioned_summary(response) -> Column:
+    """E06. Summary response → struct(summary, key_points, keywords, topics, stance_analysis)."""
     names = ["summary", "key_points", "keywords", "topics", "stance_analysis"]
-    return pd.DataFrame([read_summary(r) for r in responses], columns=names)
 
+    @F.pandas_udf("summary string, key_points array<string>, keywords array<string>, topics array<string>, "
+                  "stance_analysis string")
+    def parse(responses: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_summary(r) for r in responses], columns=names)
 
-def parse_sectioned_summary(response) -> Column:
-    """E06. Summary response → struct(summary, key_points, keywords, topics, stance_analysis)."""
-    return _summary_udf(col(response))
+    return parse(col(response))
 
 
 def parse_keyword_lists(response, n: int = 10) -> Column:

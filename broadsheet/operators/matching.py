@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.dims import UNROLL_LIMIT
 from broadsheet.functions.text import WORD, escape
+from broadsheet.session import bounded_rows
 
 ANCHOR_CHARS = 8
 
@@ -67,21 +69,37 @@ def match_by_join(df: DataFrame, key: str, text: str, terms: DataFrame, term: st
     longest = sizes["longest"]
     chars = df.select(key, F.split(F.lower(F.col(text)), "").alias("_c"))
 
-    def grams(size: int) -> Column:
+    def windows(size: int) -> Column:
+        """One string per position: the character before it (a newline at the start), then the window."""
         return F.transform(
             F.sequence(F.lit(1), F.greatest(F.size("_c") - size + 1, F.lit(1))),
-            lambda i: F.struct(
-                F.array_join(F.slice("_c", i, size), "").alias("gram"),
-                F.when(i > 1, F.get(F.col("_c"), i - 2)).otherwise(F.lit("")).alias("before"),
-                F.array_join(F.slice("_c", i, longest + 1), "").alias("window"),
+            lambda i: F.concat(
+                F.when(i > 1, F.get(F.col("_c"), i - 2)).otherwise(F.lit("\n")),
+                F.array_join(F.slice("_c", i, longest + 1), ""),
             ),
         )
 
-    every = F.flatten(F.array(*[grams(s) for s in sorted(sizes["anchors"])]))
-    pieces = chars.select(key, F.explode(F.array_distinct(every)).alias("_g")).select(key, "_g.*")
+    # windows repeat within a text, and repeats are dropped before anything is joined
+    pieces = chars.select(key, F.explode(F.array_distinct(windows(1))).alias("_w"))
+    grams = F.array(*[F.substring("_w", 2, s) for s in sorted(sizes["anchors"])])
+    pieces = pieces.select(key, "_w", F.explode(F.array_distinct(grams)).alias("gram"))
     anchored = vocabulary.withColumn("gram", F.substring("_t", 1, ANCHOR_CHARS))
-    hits = pieces.join(anchored, "gram").where(F.startswith(F.col("window"), F.col("_t")))
+    window = F.substr(F.col("_w"), F.lit(2))
+    hits = pieces.join(anchored, "gram").where(F.startswith(window, F.col("_t")))
     if mode == "word":
-        after = F.substr(F.col("window"), F.length("_t") + 1, F.lit(1))
-        hits = hits.where(~F.col("before").rlike(f"[{WORD}]") & ~after.rlike(f"[{WORD}]"))
+        before, after = F.substring("_w", 1, 1), F.substr(window, F.length("_t") + 1, F.lit(1))
+        hits = hits.where(~before.rlike(f"[{WORD}]") & ~after.rlike(f"[{WORD}]"))
     return hits.select(key, F.col("_t").alias(term)).distinct()
+
+
+def match_terms(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, mode: str = "substring",
+                unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
+    """(key, term) pairs, distinct and in lower case, in the form that suits the number of terms."""
+    found = bounded_rows(terms.select(F.lower(F.col(term)).alias("t")).where("t <> ''").distinct(), unroll_limit)
+    if found is None:
+        return match_by_join(df, key, text, terms, term, mode)
+    if not found:
+        return df.select(key, F.lit(None).cast("string").alias(term)).where(F.lit(False))
+    work = df.select(key, F.lower(F.col(text)).alias("_low"))
+    each = F.array(*[F.when(TESTS[mode](F.col("_low"), r["t"]), F.lit(r["t"])) for r in found])
+    return work.select(key, F.explode(F.array_compact(each)).alias(term))

@@ -164,7 +164,8 @@ def combine_texts(rows: DataFrame, completer: Completer, instruction: str, max_c
     key, each group is summarised in its task, and the summaries are combined the same way: no text is
     dropped and no task or driver ever holds more than one prompt.
     """
-    while True:
+    before = None
+    for level in ("month", "year", None, *[None] * 8):
         total = rows.agg(F.sum(F.length("text") + 2).alias("chars"), F.count("*").alias("n")).first()
         if not total["n"]:
             return None
@@ -172,16 +173,18 @@ def combine_texts(rows: DataFrame, completer: Completer, instruction: str, max_c
             packed = rows.agg(F.sort_array(F.collect_list(F.struct("order_key", "text"))).alias("a"))
             prompt = F.concat(F.lit(instruction), F.array_join(F.transform("a", lambda x: x["text"]), "\n\n"))
             return complete(packed.select(prompt.alias("prompt")), completer).first()["response"]
+        if before is not None and total["chars"] >= before:
+            break
+        before = total["chars"]
         sizes = rows.groupBy("order_key").agg(F.sum(F.length("text") + 2).alias("_chars"))
         parts = F.ceil(F.col("_chars") / F.lit(max_chars // 2))
-        grouped = rows.withColumn("_h", F.xxhash64("text")).join(sizes, "order_key").withColumn(
-            "_part", F.pmod("_h", parts))
+        grouped = rows.join(sizes, "order_key").withColumn("_part", F.pmod(F.xxhash64("text"), parts))
         packed = grouped.groupBy("order_key", "_part").agg(F.sort_array(F.collect_list("text")).alias("a"))
         prompts = packed.select("order_key", F.concat(F.lit(instruction), F.array_join("a", "\n\n")).alias("prompt"))
-        partial = complete(prompts, completer).select(
-            F.trunc(F.to_date("order_key"), "month").cast("string").alias("order_key"),
-            F.coalesce("response", F.lit("")).alias("text"))
+        coarser = F.lit("") if level is None else F.trunc(F.to_date("order_key"), level).cast("string")
+        partial = complete(prompts, completer).select(coarser.alias("order_key"), F.coalesce("response", F.lit("")).alias("text"))
         rows = materialize(partial, "combined")
+    raise ValueError("responses are not shorter than their prompts, so the texts cannot be combined")
 
 
 PERIOD_INSTRUCTION = (
