@@ -330,12 +330,9 @@ def _(t):
 
 # --- ordering and paging ------------------------------------------------------------------------------
 
-@query("o01_newest_first", base("SELECT id, row_number() OVER (ORDER BY date DESC, id DESC) AS place FROM base ORDER BY place LIMIT 200"))
+@query("o01_newest_first", base("SELECT id, CAST(date AS VARCHAR) AS date FROM base ORDER BY base.date DESC, id DESC"))
 def _(t):
-    rows = paging.newest_first(t.articles).limit(200)
-    packed = rows.agg(F.sort_array(F.collect_list(F.struct((-F.unix_date("date")).alias("d"), (-F.col("id")).alias("i"), "id"))).alias("a"))
-    return packed.select(F.posexplode("a").alias("pos", "r")).select(
-        F.col("r.id").alias("id"), (F.col("pos") + 1).cast("bigint").alias("place"))
+    return paging.newest_first(t.articles).select("id", F.col("date").cast("string").alias("date"))
 
 
 @query("o02_paginate", base("""

@@ -69,6 +69,13 @@ def distinct_ci(arr) -> Column:
     return F.filter(a, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
+def unnest(df: DataFrame, column: str, name: str, *keep) -> DataFrame:
+    """One row per element of a list column. Written as an outer explode and a NULL test, because for a
+    plain explode the optimizer adds a size test below the projections that compute the list, and so
+    computes the list twice."""
+    return df.select(*keep, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 def count_runs(df: DataFrame, tokens: str, out: str) -> DataFrame:
     """Counts per distinct token inside each row: array<struct<neg_count, token>>.
 

@@ -55,12 +55,15 @@ def detect_language(text, blocks: dict[str, str] | None = None, default: str = "
 
 
 def clean_text(text) -> Column:
-    """P03. Remove URLs, e-mail addresses and symbols; single spaces between words."""
-    c = F.regexp_replace(col(text), f"http[^{WS}]+|www[^{WS}]+", "")
+    """P03. Remove URLs, e-mail addresses and symbols; single spaces between words.
+
+    White space becomes plain spaces first, which keeps the character classes of the next steps small.
+    """
+    c = F.translate(col(text), WS_CHARS, " " * len(WS_CHARS))
+    c = F.regexp_replace(c, "http[^ ]+|www[^ ]+", "")
     # anchored at the start of a run of non-spaces, so a long run without '@' costs one pass
-    c = F.regexp_replace(c, f"(?<![^{WS}])[^{WS}]+@[^{WS}]+", "")
-    c = F.regexp_replace(c, f"[^{TOKEN}{WS}]", " ")
-    return strip(collapse_spaces(c))
+    c = F.regexp_replace(c, "(?<![^ ])[^ ]+@[^ ]+", "")
+    return F.btrim(F.regexp_replace(c, f"[^a-zA-Z0-9{TOKEN}]+", " "), F.lit(" "))
 
 
 def preview(text, n: int = 300, ellipsis: str = "...", always: bool = False) -> Column:

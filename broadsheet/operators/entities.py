@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from broadsheet import fixed_values as fixed
 from broadsheet.dims import UNROLL_LIMIT, config_rows, dim_frame, dim_rows, grouped
-from broadsheet.functions.arrays import literal_array
+from broadsheet.functions.arrays import literal_array, unnest
 from broadsheet.functions.text import WS, escape
 from broadsheet.operators.matching import TESTS, any_of, match_by_join
 
@@ -111,7 +111,7 @@ def tag_entities_substring(articles: DataFrame, gaz, **kw) -> DataFrame:
 
 def entity_rows(tagged: DataFrame, keep=("id",), entities: str = "entities") -> DataFrame:
     """One row per (article, party)."""
-    return tagged.select(*keep, F.explode(entities).alias("_e")).select(*keep, "_e.*")
+    return unnest(tagged, entities, "_e", *keep).select(*keep, "_e.*")
 
 
 def entity_map(entities="entities") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
-from broadsheet.functions.arrays import count_runs, literal_array, top_tokens
+from broadsheet.functions.arrays import count_runs, literal_array, top_tokens, unnest
 from broadsheet.functions.text import WS, clean_text, strip
 from broadsheet.operators.entities import combined_text
 from broadsheet.operators.matching import any_of
@@ -57,16 +57,15 @@ def _terms(df: DataFrame, text: Column, stopwords, ngrams: tuple[int, int], out:
         F.filter(words(F.lower(clean_text(text)), r"[\p{L}\p{N}_]{2,}"), lambda w: ~F.array_contains(stop, w)),
     )
     u = F.col("_uni")
-    parts = []
-    for size in range(ngrams[0], ngrams[1] + 1):
+
+    def grams(size: int) -> Column:
         if size == 1:
-            parts.append(u)
-            continue
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(u) - size + 1, F.lit(1))),
-            lambda i, size=size: F.array_join(F.slice(u, i, size), " "),
-        )
-        parts.append(F.when(F.size(u) >= size, grams).otherwise(F.array().cast("array<string>")))
+            return u
+        starts = F.sequence(F.lit(1), F.greatest(F.size(u) - size + 1, F.lit(1)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(u, i, size), " "))
+        return F.when(F.size(u) >= size, joined).otherwise(F.array().cast("array<string>"))
+
+    parts = [grams(size) for size in range(ngrams[0], ngrams[1] + 1)]
     return base.withColumn(out, F.concat(*parts)).drop("_uni")
 
 
@@ -75,7 +74,7 @@ def keywords_tfidf(
     corpus: str = "all", stopwords=None, text: Column | None = None, out: str = "keywords_tfidf",
 ) -> DataFrame:
     """T05. Terms of each article by tf·idf, idf = ln((1+N)/(1+df))+1, rows L2-normalised; adds
-    array<struct<neg_score, term>>'s terms as ``out`` and the scores as ``out``_scores.
+    the terms as ``out`` and their scores as ``out``_scores.
 
     The vocabulary is the ``max_features`` most frequent terms of the corpus (ties in term order), so its
     statistics are a bounded value that travels as a scalar subquery. ``corpus='self'`` ranks each
@@ -89,39 +88,32 @@ def keywords_tfidf(
         return top_tokens(with_terms, "_terms", n, out).drop("_terms")
     runs = count_runs(with_terms, "_terms", "_runs").drop("_terms")
     statistics = (
-        runs.select(F.explode("_runs").alias("r"))
+        unnest(runs, "_runs", "r")
         .groupBy(F.col("r.token").alias("term"))
         .agg(F.sum(-F.col("r.neg_count")).alias("tf"), F.count("*").alias("df"))
         .orderBy(F.desc("tf"), "term").limit(max_features)
     )
-    idf = F.map_from_entries(F.collect_list(F.struct("term", "df")))
-    vocabulary = statistics.agg(idf.alias("m"))
+    slots = 1 << (8 * max_features - 1).bit_length()
+    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
+    by_slot = statistics.groupBy(slot("term").alias("slot")).agg(F.collect_list(F.struct("term", "df")).alias("entries"))
+    # one-row tables whose size does not depend on the data: a hash table of the vocabulary, and N
+    vocabulary = by_slot.agg(F.map_from_entries(F.collect_list(F.struct("slot", "entries"))).alias("m")).select(
+        F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("m", i)).alias("table"))
     total = articles.agg(F.count("*").alias("n"))
-    # one-row tables: their size does not depend on the data
     work = runs.withColumn("_vocab", vocabulary.scalar()).withColumn("_n", total.scalar())
-    weighted = work.withColumn(
-        "_w",
-        F.filter(
-            F.transform(
-                "_runs",
-                lambda r: F.struct(
-                    r["token"].alias("term"),
-                    (-r["neg_count"] * (F.ln((1 + F.col("_n")) / (1 + F.try_element_at(F.col("_vocab"), r["token"]))) + 1))
-                    .alias("weight"),
-                ),
-            ),
-            lambda x: x["weight"].isNotNull(),
-        ),
-    )
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]))
-    normed = weighted.withColumn("_norm", norm)
-    ranked = F.slice(
-        F.sort_array(F.transform("_w", lambda x: F.struct(
-            F.round(-x["weight"] / F.col("_norm"), 9).alias("neg_score"), x["term"].alias("term")))), 1, n)
-    scored = normed.withColumn("_best", ranked)
+
+    def weigh(r: Column) -> Column:
+        entries = F.get(F.col("_vocab"), slot(r["token"]))
+        df = F.get(F.filter(entries, lambda e: e["term"] == r["token"]), F.lit(0))["df"]
+        idf = F.ln((1 + F.col("_n")) / (1 + df)) + 1
+        return F.struct(F.round(r["neg_count"] * idf, 9).alias("neg_weight"), r["token"].alias("term"))
+
+    weighted = work.withColumn("_w", F.filter(F.transform("_runs", weigh), lambda x: x["neg_weight"].isNotNull()))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x["neg_weight"] * x["neg_weight"]))
+    scored = weighted.withColumn("_best", F.slice(F.sort_array("_w"), 1, n)).withColumn("_norm", norm)
     return (
         scored.withColumn(out, F.transform("_best", lambda x: x["term"]))
-        .withColumn(f"{out}_scores", F.transform("_best", lambda x: -x["neg_score"]))
+        .withColumn(f"{out}_scores", F.transform("_best", lambda x: F.round(-x["neg_weight"] / F.col("_norm"), 9)))
         .drop("_runs", "_vocab", "_n", "_w", "_norm", "_best")
     )
 

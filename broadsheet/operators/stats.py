@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from broadsheet.dims import config_rows, dim_frame
+from broadsheet.functions.arrays import unnest
 from broadsheet.functions.dates import as_date, month_key
 from broadsheet.operators.entities import check_category
 from broadsheet.operators.filters import filter_date_lexical
@@ -15,7 +16,7 @@ from broadsheet.operators.names import canonicalize_fuzzy
 
 
 def exploded(df: DataFrame, column: str, *keep: str, name: str = "value") -> DataFrame:
-    return df.select(*keep, F.explode(column).alias(name))
+    return unnest(df, column, name, *keep)
 
 
 def value_counts(df: DataFrame, column: str, name: str = "value") -> DataFrame:
@@ -110,7 +111,7 @@ def categorization_summary(categorized: DataFrame) -> DataFrame:
 
 def party_activity(articles: DataFrame) -> DataFrame:
     """A06. Per party: its articles and the distinct figures affiliated with it in them."""
-    per = articles.select("people", "people_affiliations", F.explode("parties").alias("party"))
+    per = unnest(articles, "parties", "party", "people", "people_affiliations")
     counts = per.groupBy("party").agg(F.count("*").alias("total_articles"))
     return counts.join(affiliated_figures(per), "party", "left").withColumn(
         "figures", F.coalesce("figures", F.array().cast("array<string>")))
@@ -124,7 +125,7 @@ def affiliated_figures(per_party: DataFrame) -> DataFrame:
 
 def party_popular_figures(articles: DataFrame, aliases=None, n: int = 5) -> DataFrame:
     """A07. Per party the n people who occur most often in its articles: (party, figure, mentions, rank)."""
-    pairs = articles.select(F.explode("parties").alias("party"), "people").select("party", F.explode("people").alias("figure"))
+    pairs = unnest(unnest(articles, "parties", "party", "people"), "people", "figure", "party")
     counted = pairs.groupBy("party", "figure").agg(F.count("*").alias("mentions"))
     if aliases is not None:
         counted = canonicalize_fuzzy(counted, "figure", aliases, "_c").groupBy(
@@ -137,7 +138,7 @@ def party_figure_breakdown(articles: DataFrame) -> DataFrame:
     """A08. Party → its affiliated figures, sorted; parties of articles with people but no affiliated
     figure stay with an empty list."""
     both = articles.where((F.size("parties") > 0) & (F.size("people") > 0))
-    per = both.select("people", "people_affiliations", F.explode("parties").alias("party"))
+    per = unnest(both, "parties", "party", "people", "people_affiliations")
     parties = per.select("party").distinct()
     return parties.join(affiliated_figures(per), "party", "left").withColumn(
         "figures", F.coalesce("figures", F.array().cast("array<string>")))
@@ -151,8 +152,7 @@ def party_figure_breakdown_inferred(articles: DataFrame, gaz) -> DataFrame:
         if row["kind"] == "figure":
             home.setdefault(row["canonical"], row["party"])
     own = F.create_map(*[F.lit(x) for kv in home.items() for x in kv]) if home else F.create_map().cast("map<string,string>")
-    rows = articles.where(F.size("people") > 0).select(
-        "parties", "people_affiliations", F.explode("people").alias("figure"))
+    rows = unnest(articles, "people", "figure", "parties", "people_affiliations")
     listed = F.try_element_at(own, F.col("figure"))
     party = (
         F.when(F.coalesce(F.try_element_at("people_affiliations", "figure"), F.lit("")) != "",
@@ -161,7 +161,7 @@ def party_figure_breakdown_inferred(articles: DataFrame, gaz) -> DataFrame:
         .when(F.array_contains("parties", listed), listed)
     )
     resolved = rows.select(party.alias("party"), "figure").where("party is not null").distinct()
-    seen = rows.select(F.explode("parties").alias("party")).distinct()
+    seen = unnest(rows, "parties", "party").distinct()
     figures = resolved.groupBy("party").agg(F.array_sort(F.collect_list("figure")).alias("figures"))
     return seen.join(figures, "party", "full").withColumn(
         "figures", F.coalesce("figures", F.array().cast("array<string>")))
@@ -169,8 +169,7 @@ def party_figure_breakdown_inferred(articles: DataFrame, gaz) -> DataFrame:
 
 def party_figure_cooccurrence(articles: DataFrame) -> DataFrame:
     """A10. Every person of an article under every party of it."""
-    pairs = articles.select(F.explode("parties").alias("party"), "people").select(
-        "party", F.explode("people").alias("figure")).distinct()
+    pairs = unnest(unnest(articles, "parties", "party", "people"), "people", "figure", "party").distinct()
     return pairs.groupBy("party").agg(F.array_sort(F.collect_list("figure")).alias("figures"))
 
 
@@ -185,7 +184,7 @@ def category_stats(articles: DataFrame, taxonomy, start=None, end=None) -> DataF
     spark = articles.sparkSession
     ranged = filter_date_lexical(articles, start, end)
     done = categorised(articles, start, end)
-    per = done.select(F.explode("ai_categories").alias("category"), "primary_category", "parties", "date")
+    per = unnest(done, "ai_categories", "category", "primary_category", "parties", "date")
     names = dim_frame(spark, taxonomy).select("category")
     total = per.groupBy("category").agg(F.count("*").alias("count"))
     primary = done.groupBy(F.col("primary_category").alias("category")).agg(F.count("*").alias("count"))
@@ -199,7 +198,7 @@ def category_stats(articles: DataFrame, taxonomy, start=None, end=None) -> DataF
         counts = df.groupBy("category", "key").agg(F.count("*").alias("count"))
         return counts.join(names, "category", "left_semi").select("category", F.lit(measure).alias("measure"), "key", "count")
 
-    parties = per.select("category", F.explode("parties").alias("key"))
+    parties = unnest(per, "parties", "key", "category")
     months = per.where("date is not null").select("category", month_key("date").alias("key"))
     sums = ranged.agg(
         F.count("*").alias("total_articles"),
@@ -237,7 +236,7 @@ def category_party_month_pivot(articles: DataFrame, category: str, parties: list
     """A13. One row per month, one column per listed party. The party list comes from the gazetteer, so
     the pivot needs no extra pass to find its columns."""
     rows = in_category(articles, category, start, end).where("date is not null")
-    per = rows.select(month_key("date").alias("month"), F.explode("parties").alias("party"))
+    per = unnest(rows, "parties", "party", month_key("date").alias("month"))
     return per.groupBy("month").pivot("party", parties).agg(F.count("*")).fillna(0).orderBy("month")
 
 
@@ -303,7 +302,7 @@ def party_store_stats(assigned: DataFrame, gaz) -> DataFrame:
     grand = stored.agg(F.count("*").alias("articles")).select(
         F.lit(None).cast("string").alias("party"), F.lit(None).cast("string").alias("figure"), "articles")
     figures = g.where("kind = 'figure'").select("party", F.col("canonical").alias("figure")).distinct()
-    mentions = stored.select(F.col("party_id").alias("party"), F.explode("mentioned_figures").alias("figure")).groupBy(
+    mentions = unnest(stored, "mentioned_figures", "figure", F.col("party_id").alias("party")).groupBy(
         "party", "figure").agg(F.count("*").alias("articles"))
     per_figure = figures.join(mentions, ["party", "figure"], "left").fillna(0, ["articles"])
     return facets(per_party, per_figure.select("party", "figure", "articles"), grand)
