@@ -1,4 +1,4 @@
-"""Column functions on arrays and maps, and the in-row counting used by the keyword operators."""
+"""Column functions on arrays and maps."""
 
 from __future__ import annotations
 
@@ -74,36 +74,3 @@ def unnest(df: DataFrame, column: str, name: str, *keep) -> DataFrame:
     plain explode the optimizer adds a size test below the projections that compute the list, and so
     computes the list twice."""
     return df.select(*keep, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
-
-
-def count_runs(df: DataFrame, tokens: str, out: str) -> DataFrame:
-    """Counts per distinct token inside each row: array<struct<neg_count, token>>.
-
-    The tokens are sorted and run boundaries read off by index: linear after the sort, with no shuffle
-    and no Python, because one document's tokens never leave their row.
-    """
-    s, b = f"_{out}_sorted", f"_{out}_starts"
-    sorted_df = df.withColumn(s, F.sort_array(F.col(tokens)))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(s) - 1),
-        lambda i: (i == 0) | (F.get(F.col(s), i) != F.get(F.col(s), i - 1)),
-    )
-    with_starts = sorted_df.withColumn(
-        b, F.when(F.size(s) > 0, starts).otherwise(F.array().cast("array<int>"))
-    )
-    runs = F.transform(
-        F.col(b),
-        lambda at, j: F.struct(
-            (at - F.coalesce(F.get(F.col(b), j + 1), F.size(s))).alias("neg_count"),
-            F.get(F.col(s), at).alias("token"),
-        ),
-    )
-    return with_starts.withColumn(out, runs).drop(s, b)
-
-
-def top_tokens(df: DataFrame, tokens: str, n: int, out: str) -> DataFrame:
-    """The ``n`` most frequent tokens of each row, ties in token order."""
-    runs = f"_{out}_runs"
-    counted = count_runs(df, tokens, runs)
-    best = F.slice(F.sort_array(F.col(runs)), 1, n)
-    return counted.withColumn(out, F.transform(best, lambda r: r["token"])).drop(runs)

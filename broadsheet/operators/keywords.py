@@ -1,40 +1,34 @@
-"""Keyword extraction. Per-document counting happens inside the document's row, so nothing shuffles
-except the corpus-wide term statistics of the tf-idf ranking, which are aggregated map-side first."""
+"""Keyword extraction. Counting is narrow (see :mod:`broadsheet.functions.tokens`); only the corpus-wide
+term statistics of the tf-idf ranking shuffle, summed per batch first."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
-from broadsheet.functions.arrays import count_runs, literal_array, top_tokens, unnest
-from broadsheet.functions.text import WS, clean_text, strip
+from broadsheet.functions.text import strip
+from broadsheet.functions.tokens import (
+    spaced_text, term_statistics, top_weighted, top_words, word_count, word_text,
+)
 from broadsheet.operators.entities import combined_text
 from broadsheet.operators.matching import any_of
 
-#: A vocabulary up to this size travels with the plan as one value.
+#: The vocabulary is collected as a fitted model, so it must stay small.
 VOCABULARY_LIMIT = 10_000
-
-
-def words(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), 0)
-
-
-def long_words(text: Column, stopwords=None, min_len: int = 4) -> Column:
-    """Lower-case words of cleaned text, at least ``min_len`` long, without stopwords."""
-    stop = literal_array(fixed.STOPWORDS if stopwords is None else stopwords)
-    tokens = words(F.lower(clean_text(text)), r"[\p{L}\p{N}_]+")
-    return F.filter(tokens, lambda w: (F.length(w) >= min_len) & ~F.array_contains(stop, w))
+LONG_WORD = 4
 
 
 def keywords_by_frequency(
-    articles: DataFrame, n: int = 15, min_len: int = 4, stopwords=None, text: Column | None = None,
+    articles: DataFrame, n: int = 15, min_len: int = LONG_WORD, stopwords=None, text: Column | None = None,
     out: str = "keywords",
 ) -> DataFrame:
     """T04. Most frequent words of each article; equal counts in word order."""
     text = combined_text() if text is None else text
-    work = articles.withColumn("_tokens", long_words(text, stopwords, min_len))
-    return top_tokens(work, "_tokens", n, out).drop("_tokens")
+    stop = fixed.STOPWORDS if stopwords is None else stopwords
+    return articles.withColumn(out, top_words(word_text(text), n, min_len, stop))
 
 
 def keywords_simple(
@@ -42,84 +36,42 @@ def keywords_simple(
 ) -> DataFrame:
     """T07. Most frequent space-separated words longer than three characters."""
     text = F.col("content") if text is None else text
-    stop = literal_array(fixed.SIMPLE_STOPWORDS if stopwords is None else stopwords)
-    tokens = F.filter(
-        F.split(F.lower(text), f"[{WS}]+"), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w)
-    )
-    return top_tokens(articles.withColumn("_tokens", tokens), "_tokens", n, out).drop("_tokens")
+    stop = fixed.SIMPLE_STOPWORDS if stopwords is None else stopwords
+    return articles.withColumn(out, top_words(spaced_text(text), n, LONG_WORD, stop))
 
 
-def _terms(df: DataFrame, text: Column, stopwords, ngrams: tuple[int, int], out: str) -> DataFrame:
-    """Words of two or more characters without stopwords, and their n-grams, as one array."""
-    stop = literal_array(fixed.STOPWORDS if stopwords is None else stopwords)
-    base = df.withColumn(
-        "_uni",
-        F.filter(words(F.lower(clean_text(text)), r"[\p{L}\p{N}_]{2,}"), lambda w: ~F.array_contains(stop, w)),
-    )
-    u = F.col("_uni")
-
-    def grams(size: int) -> Column:
-        if size == 1:
-            return u
-        starts = F.sequence(F.lit(1), F.greatest(F.size(u) - size + 1, F.lit(1)))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(u, i, size), " "))
-        return F.when(F.size(u) >= size, joined).otherwise(F.array().cast("array<string>"))
-
-    parts = [grams(size) for size in range(ngrams[0], ngrams[1] + 1)]
-    return base.withColumn(out, F.concat(*parts)).drop("_uni")
+def fit_idf(articles: DataFrame, text: Column, ngrams: tuple[int, int], max_features: int, stopwords) -> dict[str, float]:
+    """Inverse document frequencies of the ``max_features`` most frequent terms of a corpus, ties in term
+    order: ln((1+N)/(1+df))+1."""
+    statistics = term_statistics(articles.select(word_text(text).alias("_t")), "_t", 2, stopwords, ngrams)
+    rows = statistics.orderBy(F.desc("tf"), "term").limit(max_features).collect()
+    total = articles.count()
+    return {r["term"]: math.log((1 + total) / (1 + r["df"])) + 1 for r in rows}
 
 
 def keywords_tfidf(
     articles: DataFrame, n: int = 15, ngrams: tuple[int, int] = (1, 2), max_features: int = 100,
-    corpus: str = "all", stopwords=None, text: Column | None = None, out: str = "keywords_tfidf",
+    corpus: DataFrame | str = "all", stopwords=None, text: Column | None = None, out: str = "keywords_tfidf",
 ) -> DataFrame:
-    """T05. Terms of each article by tf·idf, idf = ln((1+N)/(1+df))+1, rows L2-normalised; adds
-    the terms as ``out`` and their scores as ``out``_scores.
+    """T05. Terms of each article by tf·idf, rows L2-normalised; adds the terms as ``out`` and their scores
+    as ``out``_scores. Terms are words of two or more characters without stopwords, and their n-grams.
 
-    The vocabulary is the ``max_features`` most frequent terms of the corpus (ties in term order), so its
-    statistics are a bounded value that travels as a scalar subquery. ``corpus='self'`` ranks each
-    article by its own term counts alone.
+    Fitting the vocabulary is one job that returns at most ``max_features`` rows; scoring is narrow.
+    ``corpus`` names another table to fit on; ``'self'`` ranks each article by its own counts alone.
     """
     if not 0 < max_features <= VOCABULARY_LIMIT:
         raise ValueError(f"max_features must be between 1 and {VOCABULARY_LIMIT}")
     text = combined_text() if text is None else text
-    with_terms = _terms(articles, text, stopwords, ngrams, "_terms")
-    if corpus == "self":
-        return top_tokens(with_terms, "_terms", n, out).drop("_terms")
-    runs = count_runs(with_terms, "_terms", "_runs").drop("_terms")
-    statistics = (
-        unnest(runs, "_runs", "r")
-        .groupBy(F.col("r.token").alias("term"))
-        .agg(F.sum(-F.col("r.neg_count")).alias("tf"), F.count("*").alias("df"))
-        .orderBy(F.desc("tf"), "term").limit(max_features)
-    )
-    slots = 1 << (8 * max_features - 1).bit_length()
-    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
-    by_slot = statistics.groupBy(slot("term").alias("slot")).agg(F.collect_list(F.struct("term", "df")).alias("entries"))
-    # one-row tables whose size does not depend on the data: a hash table of the vocabulary, and N
-    vocabulary = by_slot.agg(F.map_from_entries(F.collect_list(F.struct("slot", "entries"))).alias("m")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.try_element_at("m", i)).alias("table"))
-    total = articles.agg(F.count("*").alias("n"))
-    work = runs.withColumn("_vocab", vocabulary.scalar()).withColumn("_n", total.scalar())
-
-    def weigh(r: Column) -> Column:
-        entries = F.get(F.col("_vocab"), slot(r["token"]))
-        df = F.get(F.filter(entries, lambda e: e["term"] == r["token"]), F.lit(0))["df"]
-        idf = F.ln((1 + F.col("_n")) / (1 + df)) + 1
-        return F.struct(F.round(r["neg_count"] * idf, 9).alias("neg_weight"), r["token"].alias("term"))
-
-    weighted = work.withColumn("_w", F.filter(F.transform("_runs", weigh), lambda x: x["neg_weight"].isNotNull()))
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x["neg_weight"] * x["neg_weight"]))
-    scored = weighted.withColumn("_best", F.slice(F.sort_array("_w"), 1, n)).withColumn("_norm", norm)
-    return (
-        scored.withColumn(out, F.transform("_best", lambda x: x["term"]))
-        .withColumn(f"{out}_scores", F.transform("_best", lambda x: F.round(-x["neg_weight"] / F.col("_norm"), 9)))
-        .drop("_runs", "_vocab", "_n", "_w", "_norm", "_best")
-    )
+    stop = fixed.STOPWORDS if stopwords is None else stopwords
+    if isinstance(corpus, str) and corpus == "self":
+        return articles.withColumn(out, top_words(word_text(text), n, 2, stop, ngrams))
+    idf = fit_idf(articles if isinstance(corpus, str) else corpus, text, ngrams, max_features, stop)
+    scored = articles.withColumn("_best", top_weighted(word_text(text), n, idf, 2, stop, ngrams))
+    return scored.withColumn(out, F.col("_best.terms")).withColumn(f"{out}_scores", F.col("_best.scores")).drop("_best")
 
 
 def keywords_combined(
-    articles: DataFrame, n: int = 15, corpus: str = "all", stopwords=None, text: Column | None = None,
+    articles: DataFrame, n: int = 15, corpus: DataFrame | str = "all", stopwords=None, text: Column | None = None,
     out: str = "keywords_combined", **tfidf,
 ) -> DataFrame:
     """T06. T04 and T05 merged: each word by its better rank, then by word. Articles with ten or fewer
@@ -127,7 +79,8 @@ def keywords_combined(
     text = combined_text() if text is None else text
     freq = keywords_by_frequency(articles, n, stopwords=stopwords, text=text, out="_freq")
     both = keywords_tfidf(freq, n, corpus=corpus, stopwords=stopwords, text=text, out="_tfidf", **tfidf)
-    counted = both.withColumn("_long", F.size(long_words(text, stopwords)))
+    stop = fixed.STOPWORDS if stopwords is None else stopwords
+    counted = both.withColumn("_long", word_count(word_text(text), LONG_WORD, stop))
     far = F.lit(1_000_000).cast("bigint")
     rank = lambda arr, w: F.coalesce(F.nullif(F.array_position(arr, w), F.lit(0)), far)
     merged = F.transform(
