@@ -6,7 +6,7 @@ import importlib
 
 from broadsheet.catalog.base import QUERIES, SQL
 
-for _section in ("scalars", "rows", "tags", "vectors"):
+for _section in ("scalars", "rows", "tags", "vectors", "dashboards", "enrichment"):
     importlib.import_module(f"broadsheet.catalog.{_section}")
 
 __all__ = ["QUERIES", "SQL"]

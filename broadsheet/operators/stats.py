@@ -237,7 +237,7 @@ def category_party_month_pivot(articles: DataFrame, category: str, parties: list
     the pivot needs no extra pass to find its columns."""
     rows = in_category(articles, category, start, end).where("date is not null")
     per = unnest(rows, "parties", "party", month_key("date").alias("month"))
-    return per.groupBy("month").pivot("party", parties).agg(F.count("*")).fillna(0).orderBy("month")
+    return per.groupBy("month").pivot("party", parties).agg(F.count(F.lit(1))).fillna(0).orderBy("month")
 
 
 def category_detail(articles: DataFrame, category: str, taxonomy=None, aliases=None) -> DataFrame:
