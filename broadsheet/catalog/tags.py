@@ -40,10 +40,10 @@ def _(t):
     return entity_rows(ent.tag_entities_word(t.articles, GAZ))
 
 
-@query("j01_party_mentions", with_(BASE, GAZ_CTE, hits(), FIGURE_HITS, ENTS) + "SELECT id, string_agg(party, '|' ORDER BY ord) AS parties FROM ents GROUP BY id")
+@query("j01_party_mentions", with_(BASE, GAZ_CTE, hits(), FIGURE_HITS, ENTS) + "SELECT b.id, coalesce(string_agg(party, '|' ORDER BY ord), '') AS parties FROM base b LEFT JOIN ents e ON e.id = b.id GROUP BY b.id")
 def _(t):
     tags = ent.tag_entities_word(t.articles, GAZ)
-    return tags.where(F.size("entities") > 0).select("id", text_of(ent.party_list()).alias("parties"))
+    return tags.select("id", text_of(ent.party_list()).alias("parties"))
 
 
 @query("j02_tag_entities_substring", with_(BASE, GAZ_CTE, hits("substring"), FIGURE_HITS, ENTS) + ENT_SELECT)
@@ -226,7 +226,7 @@ def _(t):
 @query("t01_theme_scores", with_(BASE, LEX_CTE, THEMES) + "SELECT id, theme, score FROM themes")
 def _(t):
     scored = themes.theme_scores(t.articles, LEXICON)
-    return scored.select("id", F.explode("theme_scores").alias("theme", "score")).select("id", "theme", F.col("score").cast("bigint").alias("score"))
+    return scored.select("id", F.explode_outer("theme_scores").alias("theme", "score")).where("theme is not null").select("id", "theme", F.col("score").cast("bigint").alias("score"))
 
 
 def hit_count(words, expr="lower(both_text)"):

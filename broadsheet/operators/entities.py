@@ -10,7 +10,7 @@ from broadsheet import fixed_values as fixed
 from broadsheet.dims import UNROLL_LIMIT, config_rows, dim_frame, dim_rows, grouped
 from broadsheet.functions.arrays import literal_array, unnest
 from broadsheet.functions.text import WS, escape
-from broadsheet.operators.matching import TESTS, any_of, match_by_join
+from broadsheet.operators.matching import TESTS, any_test, match_by_join, term_tests
 
 ENTITY = "array<struct<party:string,party_mentioned:boolean,figures:array<string>>>"
 
@@ -19,12 +19,12 @@ def combined_text(title: str = "title", content: str = "content") -> Column:
     return F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(content), F.lit("")))
 
 
-def _figures(rows: list[dict], lowered: Column, mode: str) -> Column:
+def _figures(rows: list[dict], test) -> Column:
     by_name: dict = {}
     for row in rows:
         if row["kind"] == "figure":
             by_name.setdefault(row["canonical"], []).append(row["variant"])
-    hits = [F.when(any_of(lowered, variants, mode), F.lit(name)) for name, variants in by_name.items()]
+    hits = [F.when(any_test(test, variants), F.lit(name)) for name, variants in by_name.items()]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
@@ -45,8 +45,8 @@ def tag_entities(
     rows = dim_rows(gaz, unroll_limit)
     if rows is None:
         return _tag_by_join(articles, gaz, mode, key, text, out, require_figure)
-    work = articles.withColumn("_lower", F.lower(text))
-    low = F.col("_lower")
+    work, test = term_tests(
+        articles.withColumn("_lower", F.lower(text)), "_lower", [r["variant"] for r in rows], mode)
     found = []
     for party, members in grouped(rows, "party", "party_ordinal"):
         members = sorted(members, key=lambda r: r["variant_ordinal"])
@@ -55,8 +55,8 @@ def tag_entities(
             F.struct(
                 F.lit(party).alias("party"),
                 F.lit(bool(members[0]["requires_figure"]) and require_figure).alias("requires"),
-                any_of(low, names, mode).alias("party_mentioned"),
-                _figures(members, low, mode).alias("figures"),
+                any_test(test, names).alias("party_mentioned"),
+                _figures(members, test).alias("figures"),
             )
         )
     kept = F.filter(F.array(*found), lambda e: _kept(e["requires"], e["party_mentioned"], e["figures"]))
@@ -66,7 +66,7 @@ def tag_entities(
             e["party"].alias("party"), e["party_mentioned"].alias("party_mentioned"), e["figures"].alias("figures")
         ),
     )
-    return work.withColumn(out, slim.cast(ENTITY)).drop("_lower")
+    return work.withColumn(out, slim.cast(ENTITY)).drop("_lower", "_found")
 
 
 def _tag_by_join(articles, gaz, mode, key, text, out, require_figure) -> DataFrame:
@@ -281,12 +281,13 @@ def assign_party(
     need a figure; ties go to the party listed first. Adds party_id, party_score, mentioned_figures
     (NULL, NULL, empty when nothing scored)."""
     text = combined_text() if text is None else text
-    work = articles.withColumn("_lower", F.lower(text))
-    low = F.col("_lower")
+    rows = config_rows(gaz)
+    work, test = term_tests(
+        articles.withColumn("_lower", F.lower(text)), "_lower", [r["variant"] for r in rows], "substring")
     scored = []
-    for party, members in grouped(config_rows(gaz), "party", "party_ordinal"):
+    for party, members in grouped(rows, "party", "party_ordinal"):
         members = sorted(members, key=lambda r: r["variant_ordinal"])
-        flags = [F.contains(low, F.lit(r["variant"].lower())).cast("int") for r in members]
+        flags = [test(r["variant"]).cast("int") for r in members]
         score, figures = F.lit(0), F.lit(0)
         for row, hit in zip(members, flags):
             score = score + hit * (keyword_weight if row["kind"] == "party" else figure_weight)
@@ -297,7 +298,7 @@ def assign_party(
         scored.append(
             F.struct(
                 (-score).alias("neg"), F.lit(members[0]["party_ordinal"]).alias("ordinal"), F.lit(party).alias("party"),
-                _figures(members, low, "substring").alias("figures"),
+                _figures(members, test).alias("figures"),
             )
         )
     best = F.array_min(F.filter(F.array(*scored), lambda s: s["neg"] < 0))
@@ -306,7 +307,7 @@ def assign_party(
         .withColumn("party_id", F.col("_best.party"))
         .withColumn("party_score", -F.col("_best.neg"))
         .withColumn("mentioned_figures", F.coalesce(F.col("_best.figures"), F.array().cast("array<string>")))
-        .drop("_best", "_lower")
+        .drop("_best", "_lower", "_found")
     )
 
 

@@ -1,8 +1,10 @@
 """Term matching: which dimension terms occur in which texts.
 
-Two exact forms with one meaning:
+Three exact forms with one meaning:
 
-* few terms — one literal test per term in a projection: no join, no shuffle;
+* a few terms — one literal test per term in a projection: no join, no shuffle;
+* some hundreds — one pass over each text with a term automaton, in Arrow batches: no join, no shuffle
+  (where the automaton library is not installed, the first form is used);
 * many terms — texts are cut into short anchor grams, joined to the terms on the anchor, and each
   candidate is checked in a window just long enough for the longest term. Only grams travel, never whole
   texts, and a gram that is frequent in the corpus meets only the few terms that start with it, which
@@ -11,14 +13,27 @@ Two exact forms with one meaning:
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 from broadsheet.dims import UNROLL_LIMIT
+from broadsheet.functions.arrays import unnest
 from broadsheet.functions.text import WORD, escape
 from broadsheet.session import bounded_rows
 
 ANCHOR_CHARS = 8
+#: From this many terms on, one pass with an automaton beats a test per term.
+SCAN_FROM = 24
 
 
 def contains_term(lowered: Column, term: str) -> Column:
@@ -27,22 +42,66 @@ def contains_term(lowered: Column, term: str) -> Column:
 
 def contains_word(lowered: Column, term: str) -> Column:
     """Term with no letter, mark, digit or underscore next to it. The plain substring test runs first,
-    so the regex only sees texts that hold the term."""
+    so the regex only sees texts that hold the term; in the regex the term comes first, so the character
+    classes are only tried where it occurs."""
     t = term.lower()
-    return F.contains(lowered, F.lit(t)) & lowered.rlike(f"(?<![{WORD}]){escape(t)}(?![{WORD}])")
+    e = escape(t)
+    return F.contains(lowered, F.lit(t)) & lowered.rlike(f"{e}(?![{WORD}])(?<![{WORD}]{e})")
 
 
 TESTS = {"word": contains_word, "substring": contains_term}
 
 
-def any_of(lowered: Column, terms, mode: str = "substring") -> Column:
+def scan_terms(lowered: Column, terms: list[str], mode: str) -> Column:
+    """The terms (in lower case) that occur in each text, as an array in term order."""
+    words = sorted({t.lower() for t in terms if t})
+    edge = None if mode == "substring" else re.compile(r"\w", re.UNICODE)
+
+    def part_of_word(c: str) -> bool:
+        return bool(edge.match(c)) or unicodedata.category(c)[0] == "M"
+
+    @F.arrow_udf("array<string>")
+    def scan(texts: pa.Array) -> pa.Array:
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        out = []
+        for text in texts.to_pylist():
+            found = set()
+            for end, w in automaton.iter(text or ""):
+                if w in found:
+                    continue
+                start = end - len(w) + 1
+                if edge is None or not (
+                    (start > 0 and part_of_word(text[start - 1])) or (end + 1 < len(text) and part_of_word(text[end + 1]))
+                ):
+                    found.add(w)
+            out.append(sorted(found))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return scan(lowered)
+
+
+def term_tests(df: DataFrame, lowered: str, terms: list[str], mode: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """A test per term, and the table it applies to. Helper columns start with an underscore."""
+    if len(terms) < SCAN_FROM or ahocorasick is None:
+        return df, lambda term: TESTS[mode](F.col(lowered), term)
+    scanned = df.withColumn("_found", scan_terms(F.col(lowered), terms, mode))
+    return scanned, lambda term: F.array_contains("_found", term.lower())
+
+
+def any_test(test: Callable[[str], Column], terms) -> Column:
     out = F.lit(False)
     for i, term in enumerate(terms):
-        hit = TESTS[mode](lowered, term)
-        out = hit if i == 0 else out | hit
+        out = test(term) if i == 0 else out | test(term)
     return out
 
 
+def any_of(lowered: Column, terms, mode: str = "substring") -> Column:
+    return any_test(lambda term: TESTS[mode](lowered, term), terms)
+
+
 def distinct_hits(lowered: Column, terms) -> Column:
     """How many of the terms occur at least once."""
     out = F.lit(0)
@@ -101,5 +160,9 @@ def match_terms(df: DataFrame, key: str, text: str, terms: DataFrame, term: str,
     if not found:
         return df.select(key, F.lit(None).cast("string").alias(term)).where(F.lit(False))
     work = df.select(key, F.lower(F.col(text)).alias("_low"))
-    each = F.array(*[F.when(TESTS[mode](F.col("_low"), r["t"]), F.lit(r["t"])) for r in found])
-    return work.select(key, F.explode(F.array_compact(each)).alias(term))
+    names = [r["t"] for r in found]
+    if len(names) >= SCAN_FROM and ahocorasick is not None:
+        each = scan_terms(F.col("_low"), names, mode)
+    else:
+        each = F.array_compact(F.array(*[F.when(TESTS[mode](F.col("_low"), t), F.lit(t)) for t in names]))
+    return unnest(work.withColumn("_each", each), "_each", term, key)

@@ -57,6 +57,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on an input that comes in fewer splits than there are cores (a small table, or one
+    large row group), by hashing it on a key. Larger inputs are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """All rows of ``df`` when there are at most ``limit`` of them, else None (nothing is truncated)."""
     rows = df.limit(limit + 1).collect()
