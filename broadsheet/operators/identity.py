@@ -25,13 +25,13 @@ def assign_article_id(df: DataFrame, id: str = "id", url: str = "url", text: str
 
 
 def dedup_by_url(df: DataFrame, url: str = "url", order: str = "id") -> DataFrame:
-    """R02. First row of each URL. Rows without a URL are never duplicates: they bypass the shuffle, so
-    they cannot pile up in one task. Only (order, key) pairs are aggregated, with partial aggregation
-    map-side, so a URL with many copies never gathers its rows in one place."""
+    """R02. First row of each URL. The aggregate keeps one row per URL in every task before it shuffles, so
+    a URL with very many copies never gathers them. Rows without a URL are never duplicates: they bypass
+    the shuffle, so they cannot pile up in one task either."""
     has = F.coalesce(F.col(url), F.lit("")) != ""
-    first = df.where(has).groupBy(F.col(url).alias("_u")).agg(F.min(order).alias("_first"))
-    kept = df.where(has).join(first, (F.col(url) == F.col("_u")) & (F.col(order) == F.col("_first")), "left_semi")
-    return kept.unionByName(df.where(~has))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = df.where(has).groupBy(F.col(url).alias("_u")).agg(F.min_by(row, F.col(order)).alias("_row"))
+    return first.select("_row.*").unionByName(df.where(~has))
 
 
 def insert_new(store: DataFrame, batch: DataFrame, url: str = "url", order: str = "id") -> DataFrame:

@@ -173,9 +173,9 @@ def knn_join(
         blocks_q = int(np.ceil(size["n"] * size["d"] / broadcast_numbers))
         blocks_c = int(np.ceil(max(1, c.count()) / block_rows))
         left = q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks_q))).withColumn(
-            "bc", F.explode(F.sequence(F.lit(0), F.lit(blocks_c - 1))).cast("bigint"))
+            "bc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks_c - 1).cast("bigint"))))
         right = c.withColumn("bc", F.pmod(F.xxhash64("cid"), F.lit(blocks_c))).withColumn(
-            "bq", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))).cast("bigint"))
+            "bq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks_q - 1).cast("bigint"))))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):

@@ -12,6 +12,7 @@ from broadsheet.operators.identity import assign_article_id, insert_new
 from broadsheet.operators.search import embed
 from broadsheet.operators.stats import ingest_report
 from broadsheet.operators.tagging import categorize
+from broadsheet.session import materialize
 from broadsheet.sources.html import PageRules, extract_articles
 
 
@@ -42,8 +43,9 @@ def prepare_batch(pages: DataFrame, config: IngestConfig) -> DataFrame:
 
 
 def ingest_batch(pages: DataFrame, store: DataFrame | None, config: IngestConfig) -> DataFrame:
-    """I01. The rows to append to the store."""
-    batch = prepare_batch(pages, config)
+    """I01. The rows to append to the store. The prepared batch is staged once, so that pages are parsed and
+    texts embedded once however often the next steps read them."""
+    batch = materialize(prepare_batch(pages, config), "batch")
     known = store if store is not None else batch.where(F.lit(False))
     return insert_new(known.select("url"), batch)
 
