@@ -226,7 +226,7 @@ def failing(prompts: pd.Series) -> pd.Series:
 
 
 @query("e13_entity_digest", tagged("""
-SELECT 'party' AS entity_type, 'P1' AS entity_name, 'k1|k2' AS keywords, 't1' AS topics, '20 articles' AS summary, 20 AS articles_analyzed FROM (SELECT count(*) AS n FROM tagged WHERE list_contains(parties, 'P1')) WHERE n >= 20"""))
+SELECT 'party' AS entity_type, 'P1' AS entity_name, 'k1|k2' AS keywords, 't1' AS topics, '20 articles' AS summary, 20::BIGINT AS articles_analyzed FROM (SELECT count(*) AS n FROM tagged WHERE list_contains(parties, 'P1')) WHERE n >= 20"""))
 def _(t):
     d = digest.entity_digest(t.tagged, "party", "P1", recorded_digest, 20, now=TODAY)
     return d.select("entity_type", "entity_name", text_of("keywords").alias("keywords"), text_of("topics").alias("topics"), "summary", "articles_analyzed")
