@@ -87,13 +87,14 @@ def extract_dates(text, digits: str = "০১২৩৪৫৬৭৮৯") -> Colum
     Year 1900–2100, month 1–12, day 1–31 are checked, the calendar is not. ``digits`` are read as 0–9.
     """
     t = F.translate(col(text), digits, "0123456789")
+    # the look-ahead in front of each pattern is cheap and spares the look-behind at most positions
     left, right = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     names = "|".join(fixed.MONTHS)
     gap = r"\s+"
-    ymd = rf"{left}(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){right}"
-    dmy = rf"{left}(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){right}"
-    mdy = rf"(?i){left}({names}){gap}(\d{{1,2}}),?{gap}(\d{{4}}){right}"
-    dmy_named = rf"(?i){left}(\d{{1,2}}){gap}({names}){gap}(\d{{4}}){right}"
+    ymd = rf"(?=\d){left}(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){right}"
+    dmy = rf"(?=\d){left}(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){right}"
+    mdy = rf"(?i)(?=[adfjmnos]){left}({names}){gap}(\d{{1,2}}),?{gap}(\d{{4}}){right}"
+    dmy_named = rf"(?i)(?=\d){left}(\d{{1,2}}){gap}({names}){gap}(\d{{4}}){right}"
     month_list = F.array(*[F.lit(m) for m in fixed.MONTHS])
 
     def iso(year: Column, month: Column, day: Column) -> Column:
@@ -112,7 +113,8 @@ def extract_dates(text, digits: str = "০১২৩৪৫৬৭৮৯") -> Colum
     found = F.concat(
         each(ymd, 0, 1, 2, False), each(dmy, 2, 1, 0, False), each(mdy, 2, 0, 1, True), each(dmy_named, 2, 1, 0, True)
     )
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+    distinct = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+    return F.when(t.rlike(r"\d{4}"), distinct).otherwise(F.array().cast("array<string>"))
 
 
 def recency_score(date, now, window_days=None) -> Column:
