@@ -360,9 +360,11 @@ def _(t):
 
 
 @query("o05_group_by_date", base("""
-SELECT CAST(date AS VARCHAR) AS date, count(*) AS n, string_agg(title || '@' || source, '|' ORDER BY id DESC) AS entries FROM base GROUP BY date"""))
+SELECT CAST(date AS VARCHAR) AS date, count(*) AS n, string_agg(title || '@' || source, '|' ORDER BY id DESC) AS entries
+FROM (SELECT * FROM base ORDER BY date DESC, id DESC LIMIT 200) GROUP BY date"""))
 def _(t):
-    g = paging.group_by_date(t.articles)
+    """The timeline of one page of articles, as the feature shows it."""
+    g = paging.group_by_date(paging.paginate(t.articles, 1, 200))
     return g.select(F.col("date").cast("string").alias("date"), F.size("articles").cast("bigint").alias("n"),
                     text_of(F.transform("articles", lambda e: F.concat(e["title"], F.lit("@"), e["source"]))).alias("entries"))
 

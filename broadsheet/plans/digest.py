@@ -29,7 +29,8 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 20, now=None, met
     Only ids and scores leave the scan; the few chosen articles are joined back to their texts.
     """
     filters = intent_filters(questions, known_parties)
-    found = filtered_knn_join(filters, corpus, 2 * k, metric)
+    # staged, so that the corpus is scored once although the next steps read the hits several times
+    found = materialize(filtered_knn_join(filters, corpus, 2 * k, metric), "hits")
     hits = relax_if_empty(found.where("strict"), found.where("not strict")).select("query_id", "id", "similarity")
     window = questions.select("query_id", F.col("time_constraint.days").alias("_days"))
     articles = broadcast_if_small(hits).join(corpus.drop("embedding"), "id").join(window, "query_id", "left")
