@@ -86,7 +86,8 @@ def knn(query: list[float], corpus: DataFrame, k: int, metric: str = "cosine", i
     """V03. The k most similar rows, best first, ties by id. Adds ``similarity``."""
     scored = corpus.where(F.col(embedding).isNotNull()).withColumn(
         "similarity", similarity_to(embedding, query, metric))
-    return scored.where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), id).limit(k)
+    # rows without a similarity sort last and go after the cut: a test before it would score every row twice
+    return scored.orderBy(F.desc_nulls_last("similarity"), id).limit(k).where(F.col("similarity").isNotNull())
 
 
 def search(query_text: str, corpus: DataFrame, k: int, encoder: Encoder | None = None, dim: int = 384,
