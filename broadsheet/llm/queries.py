@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontamination, exact_dedup, language_id, language_model, license_scan, quality, sentencepiece, substring_dedup
+from broadsheet.llm import decontamination, exact_dedup, language_id, language_model, license_scan, line_dedup, quality, sentencepiece, substring_dedup
 from broadsheet.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,20 @@ def id_remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+@query("op1_line_dedup", """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     w AS (SELECT doc_id, ls[i] AS line, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY ls[i:i + 2] ORDER BY doc_id, i) > 1 AS gone
+           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d)),
+     c AS (SELECT doc_id, i, line, coalesce(bool_or(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), false) AS gone
+           FROM w LEFT JOIN r USING (doc_id, i)),
+     k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(ls) AS n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN k USING (doc_id)""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.remove_repeated_lines(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op2_license_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("detections")
