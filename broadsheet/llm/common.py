@@ -118,9 +118,21 @@ def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa
     return df.mapInArrow(run, schema)
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def filter_rows(docs: DataFrame, text_col: str, build: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text (null: empty) a function made once per task says to keep."""
+    def run(batches):
+        keep = build()
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                text = part.column(part.schema.get_field_index(text_col)).cast(pa.string()).fill_null("")
+                yield part.filter(pa.array(keep(text)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def chunks(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about CHUNK_CHARS bytes of text each, at least one row."""
-    at = batch.schema.get_field_index("text")
+    at = batch.schema.get_field_index(text_col)
     if at < 0 or batch.num_rows < 2:
         yield batch
         return

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import map_batches, narrow, window_hashes
+from broadsheet.llm.common import filter_rows, map_batches, narrow, window_hashes
 from broadsheet.llm.tokens import SYMBOL, Words, within, words
 
 SEED = 4
@@ -189,17 +189,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the rows that hold a copy of a test item: a narrow pass for each block of items."""
     out = docs
-    for block in item_blocks(narrow(docs, docs.columns[0], text_col) if "doc_id" not in docs.columns else narrow(docs, "doc_id", text_col), benchmark, item_col, item_text):
+    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    for block in item_blocks(texts, benchmark, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def build(sent=sent):
-            def work(batch):
-                text = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).fill_null("")
-                gone = np.zeros(batch.num_rows, bool)
-                gone[[m[0] for m in matches(sent.value, words(text, SYMBOL, lower=True), threshold)]] = True
-                return batch.filter(pa.array(~gone))
+            def keep(text):
+                good = np.ones(len(text), bool)
+                good[[m[0] for m in matches(sent.value, words(text, SYMBOL, lower=True), threshold)]] = False
+                return good
 
-            return work
+            return keep
 
-        out = map_batches(out, build, out.schema)
+        out = filter_rows(out, text_col, build)
     return out

@@ -53,3 +53,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.when(F.col("all_size").isNotNull(), F.col("all_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("all_size", "group_size").alias("group_size"), "text_sha256")
     return whole.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise=ascii_lower) -> DataFrame:
+    """``docs``, all columns, with one row of each group of equal texts: the one with the smallest (or largest) id.
+
+    The rows themselves are sorted as in ``exact_groups``, so nothing is joined back by id: of rows that also share
+    their id, one stays. The copies of very frequent texts are settled beforehand by a pre-aggregated group-by.
+    """
+    if keep not in ("min", "max"):
+        raise ValueError("keep is 'min' or 'max'")
+    n = parts(docs.sparkSession)
+    norm = normalise(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    key = docs[id_col].cast("bigint")
+    prepared = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"), F.substring(norm, 1, RANGE_CHARS).alias("head"),
+                           F.xxhash64(norm).alias("hash"))
+    counts = stage(prepared.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    hot = counts.where(F.col("copies") > docs.count() / (4 * n)).select("hash")
+    of_row = normalise(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))
+    best = F.min if keep == "min" else F.max
+    settled = (prepared.join(F.broadcast(hot), "hash", "left_semi").groupBy("hash", F.sha2(of_row.cast("binary"), 256).alias("sha"))
+               .agg(best("key").alias("all_keep")))  # hot hashes have few texts, so at most about 4 * n rows
+    salted = (prepared.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "hash", "left")
+              .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(n))).otherwise(F.lit(0)).cast("int"))
+              .repartitionByRange(n, "head", "hash", "salt").withColumn("norm", of_row))
+    order = F.asc_nulls_last("key") if keep == "min" else F.desc_nulls_last("key")
+    first = salted.withColumn("place", F.row_number().over(W.partitionBy("head", "hash", "salt", "norm").orderBy(order))).where("place = 1")
+    sha = F.when(F.col("hot"), F.sha2(F.col("norm").cast("binary"), 256))
+    kept = first.withColumn("sha", sha).join(F.broadcast(settled), ["hash", "sha"], "left").where(F.col("hot").isNull() | F.col("key").eqNullSafe(F.col("all_keep")))
+    return kept.select("row.*")

@@ -303,7 +303,8 @@ def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles (size of its set), component_id (smallest id of all rows that
-    links lead to, the row's own included).
+    links lead to, the row's own included), row_hash (of id and text) and stays (true for the component's first row by id
+    and row_hash; rows that share both are one).
 
     Sets hold the distinct 5-word shingles of the text with A-Z lower-cased; a shorter text's whole word sequence is its
     one shingle. Texts without words have an empty set, link with nothing and are their own component. Null ids come
@@ -328,9 +329,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = links.unionByName(stage(_verified(more, rows, classes), "links"))
         labels = stage(components(links), "labels")
 
-    known = classes.select("cls", "ord").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "ord", F.coalesce("root", "cls").alias("root"))
-    least = known.groupBy("root").agg(F.min("ord").alias("component"))
-    found = known.join(least, "root").select("cls", "component")
+    known = (classes.select("cls", "ord", F.col("row_hash").alias("first_hash")).join(labels, F.col("cls") == F.col("node"), "left")
+             .select("cls", "ord", "first_hash", F.coalesce("root", "cls").alias("root")))
+    least = known.groupBy("root").agg(F.min(F.struct("ord", "first_hash")).alias("r")).select("root", F.col("r.ord").alias("component"), F.col("r.first_hash").alias("head"))
+    found = known.join(least, "root").select("cls", "component", "head")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("ord"))
     null_last = lambda c: F.when(c != LAST, c)
-    return sizes.join(found, "cls", "left").select(null_last(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), null_last(own).alias("component_id"))
+    stays = (F.col("n") == 0) | ((F.col("ord") == F.col("component")) & (F.col("row_hash") == F.col("head")))
+    return sizes.join(found, "cls", "left").select(null_last(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), null_last(own).alias("component_id"), "row_hash",
+                                                   stays.alias("stays"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each component: the first by id. Rows without words all stay."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    gone = stage(near_groups(docs, id_col, text_col).where(~F.col("stays")).select("doc_id", "row_hash").distinct(), "gone")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("key"), text.alias("text"))
+    rows = rows.select("row", "key", F.xxhash64("key", "text").alias("hash"))
+    gone = gone.hint("shuffle_hash")
+    return rows.join(gone, rows["key"].eqNullSafe(gone["doc_id"]) & (rows["hash"] == gone["row_hash"]), "left_anti").select("row.*")

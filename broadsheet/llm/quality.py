@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import map_batches, narrow, words_of
+from broadsheet.llm.common import filter_rows, map_batches, narrow, words_of
 
 #: Rows of labelled text that training looks at, at most (those with the smallest hashes of id and text); the bound on
 #: the memory of the one task that trains.
@@ -143,6 +143,18 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     return map_batches(rows, build, schema).withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
+def drop_poor(docs: DataFrame, weights: np.ndarray, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs``, all columns, without the rows whose text scores below ``least``."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    limit = float(np.log(least / (1 - least)))
+
+    def build():
+        table = WordSums(sent.value)
+        return lambda text: np.array([table.logit(t) >= limit for t in text.to_pylist()], bool)
+
+    return filter_rows(docs, text_col, build)
+
+
 class WordSums(dict):
     """word -> sum of its features' weights + 1j * their number, remembered for a bounded number of words."""
 

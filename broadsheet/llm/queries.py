@@ -120,7 +120,7 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
      r AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.seen) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_groups(documents(spark, sf_dir))
+    return jaccard_join.near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op10_sentencepiece")
