@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words and their character n-grams, hashed into ``buckets`` rows of a matrix of learned
-vectors. The text's vector is the mean of its features' vectors; a softmax over the two classes follows. Vectors and
+A text's features are its words, their character n-grams, and one for each pair of neighbouring words that are the same
+(the only word pairs that mean the same in every language), hashed into ``buckets`` rows of a matrix of learned vectors. The text's vector is the mean of its features' vectors; a softmax over the two classes follows. Vectors and
 output weights are trained by stochastic gradient descent in numpy, over a bounded sample of the labelled rows.
 
 The output is linear in the mean, so for scoring each feature's vector shrinks to one number (its share of the
@@ -10,6 +10,8 @@ difference of the two classes' logits), and a word's features to their sum: scor
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +28,8 @@ DIM = 8
 EPOCHS = 6
 RATE = 0.4
 SHORTEST, LONGEST = 3, 4
+#: A repeated word counts as often as a word has n-grams, or they would drown it.
+REPEAT_TIMES = 8
 SEED = 7
 
 
@@ -39,6 +43,15 @@ def features(word: str, buckets: int = BUCKETS) -> np.ndarray:
     return (np.array(out, np.uint64) % np.uint64(buckets)).astype(np.int32)
 
 
+def repeats(words: list[str]) -> int:
+    """How many words are the same as the one before."""
+    return sum(map(eq, words, words[1:]))
+
+
+def repeat_bucket(buckets: int) -> int:
+    return xxhash.xxh3_64_intdigest("=") % buckets
+
+
 class Bags:
     """Words -> features, remembered."""
 
@@ -46,15 +59,16 @@ class Bags:
         self.buckets, self.memo = buckets, {}
 
     def of(self, text: str) -> np.ndarray:
-        found = []
-        for w in words_of(text):
+        found, words = [], words_of(text)
+        for w in words:
             f = self.memo.get(w)
             if f is None:
                 if len(self.memo) > 200_000:
                     self.memo.clear()
                 f = self.memo[w] = features(w, self.buckets)
             found.append(f)
-        return np.concatenate(found) if found else np.empty(0, np.int32)
+        found.append(np.full(repeats(words) * REPEAT_TIMES, repeat_bucket(self.buckets), np.int32))
+        return np.concatenate(found)
 
 
 def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
@@ -162,6 +176,7 @@ class WordSums(dict):
         super().__init__()
         self.weights, self.bias, self.buckets, self.limit = weights[:-1], float(weights[-1]), len(weights) - 1, limit
         self.list = self.weights.tolist()
+        self.repeat = complex(self.list[repeat_bucket(self.buckets)], 1) * REPEAT_TIMES
 
     def __missing__(self, word: str) -> complex:
         digest, w, n = xxhash.xxh3_64_intdigest, self.list, self.buckets
@@ -182,5 +197,6 @@ class WordSums(dict):
         return value
 
     def logit(self, text: str) -> float:
-        total = sum(map(self.__getitem__, words_of(text)), 0j)
+        words = words_of(text)
+        total = sum(map(self.__getitem__, words), repeats(words) * self.repeat)
         return self.bias + (total.real / total.imag if total.imag else 0.0)
