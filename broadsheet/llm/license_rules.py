@@ -107,7 +107,7 @@ _PLAIN = [
     ("bsd-4-clause", 1, "bsd", "(?:original|old) bsd licen[sc]e"),
     ("bsd", 2, "bsd", "bsd (?:style )?licen[sc]ed?"),
     ("bsd", 2, "bsd", "licen[sc]ed under (?:the |a )?bsd"),
-    ("isc", 0, "disclaims", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("isc", 0, "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("isc", 2, "isc", "isc licen[sc]e"),
     ("zlib", 0, "altered", "altered source versions must be plainly marked as such"),
     ("zlib", 2, "zlib", "zlib (?:libpng )?licen[sc]e"),
