@@ -5,8 +5,9 @@ dealt into blocks once; each block asks about each of its keys once, however man
 third of all texts hold makes one question per block); a question goes to the bucket that the key hashes to. A bucket
 sees all questions about its keys, and answers each block in the order in which it asked, so that an answer can be as
 short as a bit. Rows are (block, bucket, body) with packed arrays as bodies: Spark partitions, shuffles and spills
-them, numpy works inside a block or bucket. Blocks and buckets are as many as a multiple of the shuffle partitions, so
-the size of either stays the same as tables and partitions grow together.
+them, numpy works inside a block or bucket. There are twice as many blocks and as many buckets as shuffle partitions,
+so the size of either stays the same as tables and partitions grow together; there are no more rows than a shuffle
+between these partitions has pieces, and no more than keys.
 
 A block goes through its rows in an order of content (id, hash of id and text), so all passes over it agree.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.common import narrow, parts
 
-#: Blocks (and buckets) for each shuffle partition: several, so that partitions get about alike.
-PER_PARTITION = 4
+#: Blocks for each shuffle partition: more than one, so that partitions get about alike.
+BLOCKS_PER_PARTITION = 2
 MESSAGE = "block int, bucket int, kind int, body binary"
 LAST = np.iinfo(np.int64).max
 
@@ -33,7 +34,7 @@ def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     refer to the id as ``doc_id``."""
     n = parts(docs.sparkSession)
     rows = narrow(docs, id_col, text_col).select("*", *[c.alias(name) for name, c in more.items()])
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n * PER_PARTITION)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n * BLOCKS_PER_PARTITION)).cast("int")
     return rows.select(block.alias("block"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash"), *more).repartition(n, "block")
 
 

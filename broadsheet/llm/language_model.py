@@ -124,7 +124,7 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     n = parts(spark)
-    buckets = n * ex.PER_PARTITION
+    buckets = n
     size = narrow(docs, id_col, text_col).agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     bits = min(max_bits, max(1 << 16, 1 << math.ceil(math.log2(max(1, size / 4)))))
     segment = -(-bits // buckets // 8) * 8

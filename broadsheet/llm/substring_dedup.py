@@ -130,7 +130,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     after all others; rows that share an id are not earlier than one another but by their starts. Null and empty texts
     have no words and an empty ``kept``; an empty table gives none.
     """
-    buckets = parts(docs.sparkSession) * ex.PER_PARTITION
+    buckets = parts(docs.sparkSession)
     blocks = ex.blocks_of(docs, id_col, text_col)
 
     def ask_keys(block: ex.Block) -> list[tuple]:
