@@ -48,9 +48,9 @@ MENU = "\n".join(f"{i}. {r['category']}: {r['description']}" for i, r in enumera
 
 
 @query("e01_build_classification_prompts", base(f"""
-SELECT id, contains(left(content, 500), 'é') AS is_accented, 'Title: ' || title || chr(10) || 'Content: ' || left(content, 2000) AS tail, true AS has_menu FROM base"""))
+SELECT id, contains(content, 'é') AS is_accented, 'Title: ' || title || chr(10) || 'Content: ' || content AS tail, true AS has_menu FROM base"""))
 def _(t):
-    lang = F.when(F.substring("content", 1, 500).contains("é"), "Bangla").otherwise("English")
+    lang = F.when(F.col("content").contains("é"), "Bangla").otherwise("English")
     p = enrich.build_classification_prompts(t.articles, TAXONOMY, GAZ, language=lang)
     tail = F.substr(F.col("prompt"), F.instr("prompt", "Title: "))
     return p.select("id", F.contains("prompt", F.lit("this Bangla news")).alias("is_accented"), tail.alias("tail"),
@@ -58,9 +58,9 @@ def _(t):
 
 
 def responses(t):
-    """Model responses made of each document's first words: bare, fenced, wrapped in prose, or broken."""
+    """Model responses made of each document's text: bare, fenced, wrapped in prose, or broken."""
     k = F.col("doc_id") % 5
-    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    word = F.regexp_replace("text", "[{}]", "")
     cats = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("T1"), F.lit("Bogus"))).when(
         F.col("doc_id") % 3 == 1, F.array(F.lit("Bogus"))).otherwise(F.array(F.lit("T2"), F.lit("T3")))
     body = F.to_json(F.struct(
@@ -74,7 +74,7 @@ def responses(t):
 
 RESPONSES = ("resp", """
 SELECT doc_id AS id, doc_id % 5 <> 3 AS ok, CASE doc_id % 3 WHEN 0 THEN ['T1'] WHEN 1 THEN ['Others'] ELSE ['T2', 'T3'] END AS valid,
- CASE WHEN doc_id % 2 = 0 THEN 'T2' END AS prim, regexp_extract(text, '[A-Za-z]+') AS word FROM documents""")
+ CASE WHEN doc_id % 2 = 0 THEN 'T2' END AS prim, regexp_replace(text, '[{}]', '', 'g') AS word FROM documents""")
 
 
 @query("e02_parse_json_response", with_(RESPONSES) + """
@@ -127,11 +127,11 @@ def _(t):
 
 
 def line(t):
-    """The first 60 characters of each document, on one line without marks."""
-    return F.btrim(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]+", ""), F.lit(" "))
+    """Each document on one line, without marks."""
+    return F.btrim(F.regexp_replace("text", "[^A-Za-z ]+", ""), F.lit(" "))
 
 
-LINE = "trim(regexp_replace(left(text, 60), '[^A-Za-z ]+', '', 'g'), ' ')"
+LINE = "trim(regexp_replace(text, '[^A-Za-z ]+', '', 'g'), ' ')"
 
 
 @query("e06_parse_sectioned_summary", f"""
@@ -173,9 +173,9 @@ def _(t):
 
 @query("e09_parse_period_sections", f"""
 SELECT doc_id, trim('so ' || {LINE}, ' ') AS summary, 'one two|three' AS key_points, 'k1|k 2' AS keywords, 't1|t2' AS topics FROM
- (SELECT doc_id, regexp_replace(text, '  +', ' ', 'g') AS text FROM (SELECT doc_id, regexp_replace(left(text, 60), '[^A-Za-z]+', ' ', 'g') AS text FROM documents))""")
+ (SELECT doc_id, regexp_replace(text, '  +', ' ', 'g') AS text FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS text FROM documents))""")
 def _(t):
-    short = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]+", " ")
+    short = F.regexp_replace("text", "[^A-Za-z]+", " ")
     r = F.concat(F.lit("### SUMMARY: so "), short, F.lit("\n\nKEY POINTS:\n- one  two\n• three\nnot a point\n\nKEYWORDS: k1, k  2,\n\nTOPICS: t1, t2"))
     p = t.documents.select("doc_id", enrich.parse_period_sections(r).alias("p"))
     return p.select("doc_id", F.col("p.summary").alias("summary"), text_of("p.key_points").alias("key_points"),
@@ -192,7 +192,7 @@ def _(t):
         (F.col("doc_id") % 2 == 0).alias("has_election_impact"), F.lit("why").alias("election_impact_description"),
         F.array(F.lit("P2"), F.lit("?")).alias("election_impact_parties")))
     p = t.documents.select("doc_id", enrich.parse_json_response(body, enrich.ANALYSIS_SCHEMA).alias("parsed"))
-    v = enrich.validate_article_analysis(p, GAZ)
+    v = enrich.validate_article_analysis(p, GAZ, n_keywords=3, n_topics=2, n_figures=10, keyword_chars=50, topic_chars=100)
     return v.select("doc_id", text_of("keywords").alias("keywords"), text_of("parties").alias("parties"), text_of("figures").alias("figures"),
                     "has_election_impact", "election_impact_description", text_of("election_impact_parties").alias("election_impact_parties"))
 

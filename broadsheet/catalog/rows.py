@@ -354,17 +354,16 @@ def _(t):
     return paging.offset_limit_stats(t.tagged, 10, 25)
 
 
-@query("o04_latest_n", base("SELECT id FROM base ORDER BY date DESC, id DESC LIMIT 100"))
+@query("o04_latest_n", base("SELECT id FROM base ORDER BY date DESC, id DESC LIMIT 500"))
 def _(t):
     return paging.latest_n(t.articles, 500).select("id")
 
 
 @query("o05_group_by_date", base("""
 SELECT CAST(date AS VARCHAR) AS date, count(*) AS n, string_agg(title || '@' || source, '|' ORDER BY id DESC) AS entries
-FROM (SELECT * FROM base ORDER BY date DESC, id DESC LIMIT 200) GROUP BY date"""))
+FROM base WHERE date IS NOT NULL GROUP BY date"""))
 def _(t):
-    """The timeline of one page of articles, as the feature shows it."""
-    g = paging.group_by_date(paging.paginate(t.articles, 1, 200))
+    g = paging.group_by_date(t.articles)
     return g.select(F.col("date").cast("string").alias("date"), F.size("articles").cast("bigint").alias("n"),
                     text_of(F.transform("articles", lambda e: F.concat(e["title"], F.lit("@"), e["source"]))).alias("entries"))
 

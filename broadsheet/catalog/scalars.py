@@ -175,8 +175,8 @@ def _(t):
 
 
 @query("p02_detect_language", """
-SELECT doc_id, CASE WHEN regexp_matches(left(text, 500), '[ঀ-৿]') THEN 'Bangla'
-  WHEN regexp_matches(left(text, 500), '[à-ÿ]') THEN 'Accented' ELSE 'Plain' END AS language FROM documents""")
+SELECT doc_id, CASE WHEN regexp_matches(text, '[ঀ-৿]') THEN 'Bangla'
+  WHEN regexp_matches(text, '[à-ÿ]') THEN 'Accented' ELSE 'Plain' END AS language FROM documents""")
 def _(t):
     blocks = {"Bangla": "ঀ-৿", "Accented": "à-ÿ"}
     return t.documents.select("doc_id", detect_language("text", blocks, "Plain").alias("language"))
@@ -252,7 +252,7 @@ SELECT k.id, k.title, CAST(k.date AS VARCHAR) AS date, epoch(k.date)::BIGINT AS
   CASE WHEN k.id % 2 = 0 AND k.id % 3 = 0 THEN 'k1, k2' END AS llm_extra_keywords
 FROM k LEFT JOIN flags f USING (id)""").replace("WITH base", "WITH flags AS (SELECT doc_id AS id, quality = 1 AS is_speech FROM labels), base", 1))
 def _(t):
-    return flatten_article(nested(t)).select("id", "title", "date", "date_ts", "parties", "people", "themes", "keywords",
+    return flatten_article(nested(t), chars=500, n_keywords=20, n_model_keywords=15).select("id", "title", "date", "date_ts", "parties", "people", "themes", "keywords",
                                              "is_speech", "llm_summary", "llm_key_points", "llm_extra_keywords")
 
 

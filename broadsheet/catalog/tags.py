@@ -144,9 +144,9 @@ def _(t):
     return names.same_person(a, "a", "b", ALIASES).select("id", "same_person")
 
 
-@query("j09_normalize_name", f"""SELECT doc_id, {trimmed("regexp_replace(left(text, 120), '[" + WS + "]+', ' ', 'g')")} AS name FROM documents""")
+@query("j09_normalize_name", f"""SELECT doc_id, {trimmed("regexp_replace(text, '[" + WS + "]+', ' ', 'g')")} AS name FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", normalize_name(F.substring("text", 1, 120)).alias("name"))
+    return t.documents.select("doc_id", normalize_name("text").alias("name"))
 
 
 ALLOWED = ["the", "of", "and", "thing", "erin"]
@@ -263,8 +263,8 @@ TFIDF = ("tfidf", """
 SELECT id, w, s, row_number() OVER (PARTITION BY id ORDER BY x DESC, w) AS rn FROM (
  SELECT id, w, x, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 9) AS s FROM (
   SELECT c.id, c.w, round(c.n * (ln((1 + (SELECT count(*) FROM base)) / (1 + v.df)::DOUBLE) + 1), 9) AS x
-  FROM (SELECT id, w, count(*) AS n FROM terms GROUP BY id, w) c JOIN (
-   SELECT w, count(*) AS tf, count(DISTINCT id) AS df FROM terms GROUP BY w ORDER BY tf DESC, w LIMIT 100) v USING (w)))""")
+  FROM (SELECT id, w, n FROM (SELECT id, w, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, w) AS k FROM terms GROUP BY id, w) WHERE k <= 100) c
+  JOIN (SELECT w, count(DISTINCT id) AS df FROM terms GROUP BY w) v USING (w)))""")
 
 
 @query("t05_keywords_tfidf", with_(BASE, TERMS, TFIDF) + """
@@ -298,7 +298,7 @@ def _(t):
 
 
 POINTS = ("points", f"""
-SELECT id, list_slice(list_filter(list_transform(list_slice(string_split(content, '.'), 1, 20), lambda s: {trimmed('s')}),
+SELECT id, list_slice(list_filter(list_transform(string_split(content, '.'), lambda s: {trimmed('s')}),
  lambda s: length(s) > 30 AND ({' OR '.join(f"contains(lower(s), {quote(v)})" for v in VERBS)})), 1, 5) AS p FROM base""")
 
 

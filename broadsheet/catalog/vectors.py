@@ -12,6 +12,8 @@ from broadsheet.functions.dates import recency_score, time_window
 from broadsheet.functions.vectors import distance_to_similarity, similarity
 from broadsheet.operators import ranking, search
 from broadsheet.plans.digest import retrieve
+from broadsheet.session import scratch_path
+from broadsheet.sources.store import write_party_partitioned
 
 TODAY = dt.date.fromisoformat(NOW)
 QID = 7
@@ -125,10 +127,10 @@ def _(t):
 
 
 @query("v10_search_all_partitions", with_(Q) + f"""
-SELECT vec_id AS id, label AS party_id, round({cos('embedding', 'qv')}, 6) AS similarity FROM embeddings, q WHERE label IN (1, 2, 3) ORDER BY {cos('embedding', 'qv')} DESC, vec_id LIMIT 10""")
+SELECT vec_id AS id, label AS party_id, round({cos('embedding', 'qv')}, 6) AS similarity FROM embeddings, q ORDER BY {cos('embedding', 'qv')} DESC, vec_id LIMIT 10""")
 def _(t):
-    store = vectors(t).withColumn("party_id", F.when(F.col("label").isin(1, 2, 3), F.col("label"))).where("party_id is not null")
-    return search.search_all_partitions(probe(t), store, 10).select("id", "party_id", F.round("similarity", 6).alias("similarity"))
+    path = write_party_partitioned(vectors(t).withColumn("party_id", F.col("label")), scratch_path(t.spark, "parties"))
+    return search.search_all_partitions(probe(t), t.spark.read.parquet(path), 10).select("id", "party_id", F.round("similarity", 6).alias("similarity"))
 
 
 def recency(date: str, window: str = "NULL") -> str:
@@ -160,13 +162,12 @@ def _(t):
 
 
 def intents(t):
-    """One intent per tenth vector: entities from its label, topics and a time window by turns."""
+    """One intent per vector: entities from its label, topics and a time window by turns."""
     k = F.col("vec_id")
-    e = t.embeddings.where("vec_id % 10 = 3")
     period = F.when(k % 4 == 0, "month").when(k % 4 == 1, "quarter").otherwise("recent")
     window = time_window(period, F.lit(400), F.lit(TODAY))
     days = F.when(k % 4 == 0, 30).when(k % 4 == 1, 90).otherwise(400)
-    return e.select(
+    return t.embeddings.select(
         k.alias("query_id"), "embedding",
         F.when(k % 3 == 0, "comparison").when(k % 3 == 1, "entity_focus").otherwise("topic_focus").alias("type"),
         F.when(k % 30 == 3, literal_array(["P4"])).when(k % 30 == 13, literal_array(["P1", "f1x"])).otherwise(literal_array(["P2"])).alias("entities"),
@@ -178,11 +179,11 @@ def intents(t):
 
 INTENTS = ("intents", f"""
 SELECT vec_id AS query_id, embedding AS qv, CASE vec_id % 3 WHEN 0 THEN 'comparison' WHEN 1 THEN 'entity_focus' ELSE 'topic_focus' END AS type,
- CASE WHEN vec_id % 30 = 23 THEN ['P2'] WHEN vec_id % 30 = 3 THEN ['P4'] ELSE ['P1'] END AS fp, CASE WHEN vec_id % 30 = 13 THEN ['f1x'] ELSE [] END AS fpe,
+ CASE WHEN vec_id % 30 = 3 THEN ['P4'] WHEN vec_id % 30 = 13 THEN ['P1'] ELSE ['P2'] END AS fp, CASE WHEN vec_id % 30 = 13 THEN ['f1x'] ELSE [] END AS fpe,
  CASE WHEN vec_id % 20 = 3 THEN ['T1'] ELSE [] END AS ft,
  CASE WHEN vec_id % 20 = 13 THEN CAST(DATE '{NOW}' - CASE vec_id % 4 WHEN 0 THEN 30 WHEN 1 THEN 90 ELSE 400 END AS DATE) END AS ff,
  CASE WHEN vec_id % 20 = 13 THEN DATE '{NOW}' END AS fto, CASE WHEN vec_id % 20 = 13 THEN CASE vec_id % 4 WHEN 0 THEN 30 WHEN 1 THEN 90 ELSE 400 END END AS days
-FROM embeddings WHERE vec_id % 10 = 3""")
+FROM embeddings""")
 MATCH = """(ff IS NULL OR c.date >= ff) AND (fto IS NULL OR c.date <= fto)"""
 STRICT = MATCH + """ AND list_has_any(c.parties, fp) AND (len(fpe) = 0 OR list_has_any(c.people, fpe)) AND (len(ft) = 0 OR list_has_any(c.themes, ft))"""
 RETRIEVED = ("retrieved", f"""

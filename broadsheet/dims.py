@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.session import bounded_rows
@@ -44,7 +45,12 @@ class Dim:
 
 
 def dim_frame(spark: SparkSession, dim) -> DataFrame:
-    return dim.frame(spark) if isinstance(dim, Dim) else dim
+    """A dimension as a table. A :class:`Dim` of bounded size is marked for broadcast, as a table made from
+    rows has no statistics that would tell Catalyst that it is small."""
+    if not isinstance(dim, Dim):
+        return dim
+    frame = dim.frame(spark)
+    return F.broadcast(frame) if len(dim.rows) <= CONFIG_LIMIT else frame
 
 
 def dim_rows(dim, limit: int = UNROLL_LIMIT) -> list[dict] | None:

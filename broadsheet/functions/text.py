@@ -43,10 +43,11 @@ def document_text(title, content, sep: str = "\n\n") -> Column:
     return strip(F.concat_ws(sep, F.coalesce(col(title), F.lit("")), F.coalesce(col(content), F.lit(""))))
 
 
-def detect_language(text, blocks: dict[str, str] | None = None, default: str = "English", head: int = 500) -> Column:
-    """P02. First language whose Unicode block (a regex class body) occurs in the first ``head`` chars."""
+def detect_language(text, blocks: dict[str, str] | None = None, default: str = "English", head: int | None = None) -> Column:
+    """P02. First language whose Unicode block (a regex class body) occurs in the text, or in its first
+    ``head`` characters."""
     blocks = blocks or {"Bangla": "\u0980-\u09ff"}
-    sample = F.substring(col(text), 1, head)
+    sample = col(text) if head is None else F.substring(col(text), 1, head)
     out = None
     for language, block in blocks.items():
         hit = sample.rlike(f"[{block}]")

@@ -122,28 +122,18 @@ def term_statistics(df: DataFrame, text: str, min_len: int, stop, ngrams: tuple[
     return partial.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
-def top_weighted(text: Column, n: int, idf: dict[str, float], min_len: int, stop, ngrams: tuple[int, int]) -> Column:
-    """struct(terms, scores): the ``n`` heaviest vocabulary terms of each text by count·idf, scores divided
-    by the length of the row's weight vector."""
+def top_counts(text: Column, n: int, min_len: int = 1, stop=(), ngrams: tuple[int, int] = (1, 1)) -> Column:
+    """struct(terms, counts): the ``n`` most frequent words (or n-grams) of space-separated text, ties in order."""
     stop = list(stop)
-    names = sorted(idf)
-    weights = np.array([idf[t] for t in names])
 
-    @F.arrow_udf("terms array<string>, scores array<double>")
+    @F.arrow_udf("terms array<string>, counts array<bigint>")
     def top(texts: pa.Array) -> pa.Array:
         rows, terms = with_ngrams(*split_words(texts, min_len, stop), ngrams)
-        index = pc.index_in(terms, value_set=pa.array(names, terms.type))
-        known = np.asarray(index.is_valid())
-        places = index.drop_null().to_numpy().astype(np.int64)
-        width = max(1, len(names))
-        keys, counts = np.unique(rows[known].astype(np.int64) * width + places, return_counts=True)
-        rows, places = keys // width, keys % width
-        weight = np.round(counts * weights[places], 9) if len(names) else np.zeros(0)
-        norm = np.sqrt(np.bincount(rows, weight * weight, len(texts)))
-        offsets, kept = best_lists(len(texts), rows, places, weight, n)
-        words = pa.array(names, pa.string()).take(pa.array(places[kept]))
-        scores = pa.array(np.round(weight[kept] / norm[rows[kept]], 9))
+        rows, places, counts, vocabulary = counted(rows, terms)
+        offsets, kept = best_lists(len(texts), rows, places, counts, n)
+        words = vocabulary.take(pa.array(places[kept])).cast(pa.string())
         return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, scores)], ["terms", "scores"])
+            [pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(counts[kept].astype(np.int64)))],
+            ["terms", "counts"])
 
     return top(text)

@@ -82,10 +82,10 @@ def _article_part(title: str, content: str, head: int | None) -> Column:
                     F.substring(body, 1, head) if head else body)
 
 
-def build_classification_prompts(articles: DataFrame, taxonomy, gaz, head: int = 2000, out: str = "prompt",
+def build_classification_prompts(articles: DataFrame, taxonomy, gaz, head: int | None = None, out: str = "prompt",
                                  language: Column | None = None) -> DataFrame:
     """E01. Prompt per article: the categories with descriptions, the names that may be used, the title and
-    the first ``head`` characters, in the wording for the article's language."""
+    the text (only its first ``head`` characters if asked for), in the wording for the article's language."""
     cats = sorted(config_rows(taxonomy), key=lambda r: r["ordinal"])
     menu = "\n".join(f"{i}. {c['category']}: {c['description']}" for i, c in enumerate(cats, 1))
     names = f"Parties: {', '.join(party_names(gaz))}\nFigures: {', '.join(figure_names(gaz))}"
@@ -358,18 +358,24 @@ def parse_period_sections(response) -> Column:
     )
 
 
-def validate_article_analysis(df: DataFrame, gaz, parsed: str = "parsed") -> DataFrame:
-    """E10. Caps on counts and lengths, known names only, impact fields only when the flag is set. A NULL
+def validate_article_analysis(
+    df: DataFrame, gaz, parsed: str = "parsed", n_keywords: int | None = None, n_topics: int | None = None,
+    n_figures: int | None = None, keyword_chars: int | None = None, topic_chars: int | None = None,
+) -> DataFrame:
+    """E10. Caps on counts and lengths where they are given, known names only, impact fields only when the flag is set. A NULL
     ``parsed`` gives the empty analysis."""
     p = F.col(parsed)
-    cut = lambda c, n, chars: F.transform(F.slice(_list(c), 1, n), lambda x: F.substring(x, 1, chars))
+    def cut(c, n, chars=None):
+        c = _list(c) if n is None else F.slice(_list(c), 1, n)
+        return c if chars is None else F.transform(c, lambda x: F.substring(x, 1, chars))
+
     parties, figures = party_names(gaz), figure_names(gaz)
     flag = F.coalesce(p["has_election_impact"], F.lit(False))
     return (
         df.withColumn("summary", F.coalesce(p["summary"], F.lit("")))
-        .withColumn("keywords", cut(p["keywords"], 3, 50)).withColumn("topics", cut(p["topics"], 2, 100))
+        .withColumn("keywords", cut(p["keywords"], n_keywords, keyword_chars)).withColumn("topics", cut(p["topics"], n_topics, topic_chars))
         .withColumn("parties", validate_against(_list(p["parties"]), parties))
-        .withColumn("figures", F.slice(validate_against(_list(p["figures"]), figures), 1, 10))
+        .withColumn("figures", cut(validate_against(_list(p["figures"]), figures), n_figures))
         .withColumn("has_election_impact", flag)
         .withColumn("election_impact_description", F.when(
             flag, F.coalesce(p["election_impact_description"], F.lit(""))).otherwise(""))
@@ -496,7 +502,7 @@ def build_intent_prompts(queries: DataFrame, known: list[str], topics: list[str]
     fields = ", ".join(["type", "entities", "topics", "time_constraint", "comparison", "trend_analysis", "complexity",
                         "confidence", "reasoning"])
     intro = (
-        "Read the intent of a question about political news.\nKnown entities: " + ", ".join(known[:30])
+        "Read the intent of a question about political news.\nKnown entities: " + ", ".join(known)
         + "\nKnown topics: " + ", ".join(topics) + "\nTypes: entity_focus, topic_focus, comparison, time_range, "
         f"trend_analysis, general.\nAnswer with one JSON object with the fields {fields}; time_constraint is null or has "
         "period, days, start, end.\n\nQuestion: "

@@ -58,10 +58,13 @@ def filter_any(df: DataFrame, parties=None, people=None, themes=None) -> DataFra
 def filter_date_lexical(df: DataFrame, start=None, end=None, date: str = "date") -> DataFrame:
     """F03. ISO text comparison: a missing date sorts below every bound, so it fails a start bound only."""
     c = F.coalesce(F.col(date).cast("string"), F.lit(""))
+    is_date = _is_date(df, date)  # bounds on a date column reach the scan
     if start:
-        df = df.where(F.col(date) >= F.lit(check_bound(start)) if _is_date(df, date) else c >= start)
+        bound = check_bound(start)
+        df = df.where(F.col(date) >= F.lit(bound) if is_date else c >= str(bound))
     if end:
-        df = df.where(c <= str(check_bound(end)))
+        bound = check_bound(end)
+        df = df.where((F.col(date) <= F.lit(bound)) | F.col(date).isNull() if is_date else c <= str(bound))
     return df
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LATEST = 100
-
 
 def newest(date: str = "date", id: str = "id"):
     return [F.desc_nulls_last(date), F.desc(id)]
@@ -43,8 +41,8 @@ def offset_limit_stats(df: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def latest_n(df: DataFrame, n: int) -> DataFrame:
-    """O04. The newest n rows, never more than 100."""
-    return newest_first(df).limit(min(n, MAX_LATEST))
+    """O04. The newest n rows."""
+    return newest_first(df).limit(n)
 
 
 def group_by_date(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ corpus × queries is ever shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,26 +53,22 @@ def embed(
     text = document_text("title", "content", " ") if text is None else text
     if encoder is None:
         return hashing_embed(articles, text, dim, out).withColumn("embedding_dimension", F.lit(dim))
-    work = articles.withColumn("_text", text)
-    keep = articles.columns
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in articles.schema.fields]
-        + [f"`{out}` array<float>", "embedding_dimension int"]
-    )
 
-    def run(batches):
-        for pdf in batches:
-            vectors = []
-            for at in range(0, len(pdf), batch_size):
-                m = np.asarray(encoder(pdf["_text"].iloc[at:at + batch_size]), dtype=np.float64)
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out_ = []
+            for at in range(0, len(texts), batch_size):
+                part = texts.iloc[at:at + batch_size]
+                m = np.asarray(encoder(part), dtype=np.float64)
+                if len(m) != len(part):
+                    raise ValueError(f"the encoder returned {len(m)} vectors for {len(part)} texts")
                 norm = np.sqrt((m * m).sum(1, keepdims=True))
-                vectors.extend((m / np.where(norm == 0, 1.0, norm)).astype(np.float32))
-            result = pdf[keep].copy()
-            result[out] = pd.Series(vectors, index=pdf.index, dtype=object)
-            result["embedding_dimension"] = pd.Series([len(v) for v in vectors], index=pdf.index, dtype="int32")
-            yield result
+                out_.extend((m / np.where(norm == 0, 1.0, norm)).astype(np.float32))
+            yield pd.Series(out_, index=texts.index, dtype=object)
 
-    return work.mapInPandas(run, schema)
+    # only the text goes to Python: every other column stays as it is in the JVM
+    return articles.withColumn(out, vectors(text)).withColumn("embedding_dimension", F.size(out))
 
 
 def embed_text(spark: SparkSession, query: str, encoder: Encoder | None = None, dim: int = 384) -> list[float]:
@@ -92,9 +88,9 @@ def knn(query: list[float], corpus: DataFrame, k: int, metric: str = "cosine", i
 
 def search(query_text: str, corpus: DataFrame, k: int, encoder: Encoder | None = None, dim: int = 384,
            metric: str = "cosine", id: str = "id") -> DataFrame:
-    """V04. Text query, 1 ≤ k ≤ 50."""
-    if not 1 <= k <= 50:
-        raise ValueError("k must be between 1 and 50")
+    """V04. Text query, k ≥ 1."""
+    if k < 1:
+        raise ValueError("k starts at 1")
     return knn(embed_text(corpus.sparkSession, query_text, encoder, dim), corpus, k, metric, id)
 
 

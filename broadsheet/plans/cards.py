@@ -20,9 +20,11 @@ def _field(df: DataFrame, path: str, kind: str) -> Column:
     return F.col(path) if _has(df, path) else F.lit(None).cast(kind)
 
 
-def flatten_article(df: DataFrame) -> DataFrame:
+def flatten_article(df: DataFrame, chars: int | None = None, n_keywords: int | None = None,
+                    n_model_keywords: int | None = None) -> DataFrame:
     """P08. Nested article → flat store row of scalars. Top-level fields beat ``categorization``; keywords
-    of a model fill an empty list or go to ``llm_extra_keywords``; long texts are cut."""
+    of a model fill an empty list or go to ``llm_extra_keywords``. ``chars`` cuts summary and stance, the
+    others the keyword lists, where they are given."""
     arr = "array<string>"
     f = lambda p, k="string": _field(df, p, k)
 
@@ -32,8 +34,9 @@ def flatten_article(df: DataFrame) -> DataFrame:
     keywords = pick("keywords", "categorization.keywords")
     model_keywords = f("llm_keywords.keywords", arr)
     has_model = F.coalesce(F.size(model_keywords) > 0, F.lit(False))
-    model_text = F.when(has_model, join_list(model_keywords, 15))
+    model_text = F.when(has_model, join_list(model_keywords, n_model_keywords))
     text_or_null = lambda c: F.nullif(c, F.lit(""))
+    cut = lambda c: c if chars is None else F.substring(c, 1, chars)
     joined_or_null = lambda c: F.when(F.size(c) > 0, join_list(c))
     out = {
         "title": f("title"), "date": f("date").cast("string"),
@@ -43,15 +46,15 @@ def flatten_article(df: DataFrame) -> DataFrame:
         "parties": join_list(pick("parties", "categorization.parties")),
         "people": join_list(pick("people", "categorization.people")),
         "people_affiliations": F.to_json(f("people_affiliations", "map<string,string>")),
-        "keywords": F.when(keywords.isNull(), model_text).otherwise(join_list(keywords, 20)),
+        "keywords": F.when(keywords.isNull(), model_text).otherwise(join_list(keywords, n_keywords)),
         "themes": join_list(pick("themes", "categorization.categories")),
         "is_speech": F.initcap(F.coalesce(f("is_speech", "boolean"), f("categorization.is_speech", "boolean")).cast("string")),
         "is_stance": F.initcap(F.coalesce(f("is_stance", "boolean"), f("categorization.is_stance", "boolean")).cast("string")),
         "mentioned_figures": join_list(f("mentioned_figures", arr)),
         "primary_parties": join_list(f("primary_parties", arr)),
-        "llm_summary": F.substring(text_or_null(f("llm_summary.summary")), 1, 500),
+        "llm_summary": cut(text_or_null(f("llm_summary.summary"))),
         "llm_key_points": joined_or_null(f("llm_summary.key_points", arr)),
-        "llm_stance": F.substring(text_or_null(f("llm_summary.stance_analysis")), 1, 500),
+        "llm_stance": cut(text_or_null(f("llm_summary.stance_analysis"))),
         "llm_figure": text_or_null(f("llm_summary.political_figure")),
         "llm_party": text_or_null(f("llm_summary.political_party")),
         "llm_extra_keywords": F.when(keywords.isNotNull(), model_text),

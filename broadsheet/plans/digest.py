@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from broadsheet.functions.dates import check_bound, parse_multi_format_date
 from broadsheet.operators.enrich import (
@@ -145,47 +146,58 @@ def period_articles(articles: DataFrame, entity_type: str, name: str, start, end
 
 
 def summarize_missing(rows: DataFrame, completer: Completer) -> DataFrame:
-    """E14's per-article step: (id, title, date, summary, already_summarized). Articles whose summary fails
-    are left out, as they have nothing to add."""
+    """E14's per-article step: (id, title, date, summary, already_summarized, error). An article whose summary
+    fails stays, with a NULL summary and the reason."""
     done = F.coalesce("is_summarized", F.lit(False)) if "is_summarized" in rows.columns else F.lit(False)
     flagged = rows.withColumn("_done", done)
     asked = build_summary_prompts(flagged.withColumn("language", F.lit("Bangla")), "_all")
     asked = complete(asked.withColumn("_p", F.when(~F.col("_done"), F.col("_all"))), completer, "_p", "_r", "_e")
     fresh = F.when(F.col("_r").isNotNull(), parse_sectioned_summary("_r")["summary"])
+    summary = F.when(F.col("_done"), F.col("content")).otherwise(fresh)
     return asked.select(
-        "id", "title", "date", F.when(F.col("_done"), F.col("content")).otherwise(fresh).alias("summary"),
-        F.col("_done").alias("already_summarized"),
-    ).where("summary is not null")
+        "id", "title", "date", summary.alias("summary"), F.col("_done").alias("already_summarized"),
+        F.when(summary.isNull(), F.coalesce("_e", F.lit("no summary in the response"))).alias("error"))
 
 
-def combine_texts(rows: DataFrame, completer: Completer, instruction: str, max_chars: int) -> str | None:
-    """One response over the texts of all rows (order_key, text), in key order.
+def combine_texts(rows: DataFrame, completer: Completer, instruction: str, max_chars: int) -> tuple[str | None, str | None]:
+    """(response, error): one response over the texts of all rows (order_key, text), in key order.
 
-    While everything fits one prompt it is one call. Otherwise the rows are cut into prompt-sized groups by
-    key, each group is summarised in its task, and the summaries are combined the same way: no text is
-    dropped and no task or driver ever holds more than one prompt.
+    While everything fits one prompt it is one call. Otherwise the rows are cut into groups that each fit a
+    prompt (a text beyond half a prompt in pieces first), each group is summarised in its task, and the
+    summaries are combined the same way, for as many levels as it takes. The texts of a group whose call fails
+    go on as they are, so none is lost; if they then do not get shorter, the failure is the error and there is
+    no response. No task or driver ever holds more than one prompt.
     """
-    before = None
-    for level in ("month", "year", None, *[None] * 8):
+    half, before, failure, levels = max(1, max_chars // 2), None, None, iter(("month", "year"))
+    while True:
         total = rows.agg(F.sum(F.length("text") + 2).alias("chars"), F.count("*").alias("n")).first()
         if not total["n"]:
-            return None
-        if total["chars"] <= max_chars or total["n"] == 1:
+            return None, None
+        if total["chars"] <= max_chars or total["n"] == 1 and total["chars"] <= max_chars + 2:
             packed = rows.agg(F.sort_array(F.collect_list(F.struct("order_key", "text"))).alias("a"))
             prompt = F.concat(F.lit(instruction), F.array_join(F.transform("a", lambda x: x["text"]), "\n\n"))
-            return complete(packed.select(prompt.alias("prompt")), completer).first()["response"]
+            last = complete(packed.select(prompt.alias("prompt")), completer).first()
+            return last["response"], last["error"]
         if before is not None and total["chars"] >= before:
-            break
+            if failure:
+                return None, failure
+            raise ValueError("responses are not shorter than their prompts, so the texts cannot be combined")
         before = total["chars"]
-        sizes = rows.groupBy("order_key").agg(F.sum(F.length("text") + 2).alias("_chars"))
-        parts = F.ceil(F.col("_chars") / F.lit(max_chars // 2))
-        grouped = rows.join(sizes, "order_key").withColumn("_part", F.pmod(F.xxhash64("text"), parts))
-        packed = grouped.groupBy("order_key", "_part").agg(F.sort_array(F.collect_list("text")).alias("a"))
-        prompts = packed.select("order_key", F.concat(F.lit(instruction), F.array_join("a", "\n\n")).alias("prompt"))
-        coarser = F.lit("") if level is None else F.trunc(F.to_date("order_key"), level).cast("string")
-        partial = complete(prompts, completer).select(coarser.alias("order_key"), F.coalesce("response", F.lit("")).alias("text"))
+        level = next(levels, None)
+        cuts = F.sequence(F.lit(0), F.ceil(F.greatest(F.length("text"), F.lit(1)) / half).cast("int") - 1)
+        pieces = rows.select("order_key", F.posexplode(F.transform(cuts, lambda i: F.substring("text", i * half + 1, F.lit(half)))).alias("_at", "text"))
+        # running lengths: a group begins below half a prompt and takes in at most half a prompt more
+        run = W.partitionBy("order_key").orderBy(F.xxhash64("text"), "_at").rowsBetween(W.unboundedPreceding, -1)
+        part = F.floor(F.coalesce(F.sum(F.length("text") + 2).over(run), F.lit(0)) / half)
+        packed = pieces.withColumn("_part", part).groupBy("order_key", "_part").agg(
+            F.array_join(F.sort_array(F.collect_list("text")), "\n\n").alias("_texts"))
+        prompts = packed.select("order_key", "_texts", F.concat(F.lit(instruction), F.col("_texts")).alias("prompt"))
+        coarser = F.lit("") if level is None else F.coalesce(F.trunc(F.to_date("order_key"), level).cast("string"), F.lit(""))
+        partial = complete(prompts, completer).select(
+            coarser.alias("order_key"), F.coalesce("response", "_texts").alias("text"),
+            F.when(F.col("response").isNull(), F.coalesce("error", F.lit("no response"))).alias("error"))
         rows = materialize(partial, "combined")
-    raise ValueError("responses are not shorter than their prompts, so the texts cannot be combined")
+        failure = rows.agg(F.max("error")).first()[0]
 
 
 PERIOD_INSTRUCTION = (
@@ -198,20 +210,23 @@ def period_summary(
     articles: DataFrame, cache: DataFrame, entity_type: str, name: str, start, end, article_completer: Completer,
     period_completer: Completer, max_chars: int = 200_000, now=None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """E14. (summary row, articles to merge by R08). A cached key is returned as it is, with no model call
+    """E14. (summary row, articles to merge by R08). ``failed_articles`` counts articles without a summary and
+    ``error`` says why the answer is not complete (NULL: it is). A cached key is returned as it is, with no model call
     and no articles to merge; an entity without articles gives no row."""
     hit = lookup_summary(cache, entity_type, name, start, end)
     if bounded_rows(hit.select("entity_name").limit(1), 1):
         return hit.withColumn("from_cache", F.lit(True)), None
     rows = materialize(summarize_missing(period_articles(articles, entity_type, name, start, end), article_completer), "period")
-    texts = rows.select(
+    texts = rows.where("summary is not null").select(
         F.col("date").cast("string").alias("order_key"),
         F.concat(F.lit("Date: "), F.col("date").cast("string"), F.lit("\nTitle: "), F.coalesce("title", F.lit("")),
                  F.lit("\nSummary: "), F.col("summary")).alias("text"))
-    response = combine_texts(texts, period_completer, PERIOD_INSTRUCTION, max_chars)
+    response, error = combine_texts(texts, period_completer, PERIOD_INSTRUCTION, max_chars)
     stats = rows.agg(
-        F.count("*").alias("total_articles"), F.count_if(~F.col("already_summarized")).alias("newly_summarized"),
-        F.count_if("already_summarized").alias("already_summarized"))
+        F.count("*").alias("total_articles"),
+        F.count_if(~F.col("already_summarized") & F.col("summary").isNotNull()).alias("newly_summarized"),
+        F.count_if("already_summarized").alias("already_summarized"), F.count_if(F.col("summary").isNull()).alias("failed"),
+        F.max("error").alias("_error"))
     out = (
         stats.where("total_articles > 0")
         .withColumn("_p", parse_period_sections(F.lit(response if response is not None else "")))
@@ -221,7 +236,8 @@ def period_summary(
             "_p.key_points", "_p.keywords", "_p.topics",
             F.struct("total_articles", "newly_summarized", "already_summarized").alias("statistics"),
             (F.current_timestamp() if now is None else F.lit(now)).cast("timestamp").alias("last_updated"),
-            F.lit(False).alias("from_cache"))
+            F.lit(False).alias("from_cache"), F.col("failed").alias("failed_articles"),
+            F.coalesce(F.lit(error).cast("string"), F.col("_error")).alias("error"))
     )
-    fresh = rows.where("not already_summarized").select("id", "summary")
+    fresh = rows.where("not already_summarized and summary is not null").select("id", "summary")
     return out, replace_document(articles, fresh)

@@ -34,11 +34,14 @@ def build_session(app: str = "broadsheet", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    A folder of our own is made only when the setting is absent, which is the single-machine case.
+    Where the setting is absent, a folder of our own is made in local mode only: on a cluster no folder of one
+    machine is seen by the others, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     configured = tempfile.mkdtemp(prefix="broadsheet-")
     spark.conf.set("spark.checkpoint.dir", configured)
     return configured

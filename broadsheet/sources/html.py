@@ -204,21 +204,18 @@ def extract_pages(pages: DataFrame, rules: dict[str, PageRules] | PageRules, htm
                   source: str | None = None) -> DataFrame:
     """S03 and the fields of S02, S04–S06 for every page, before any row is dropped."""
     single = rules if isinstance(rules, PageRules) else None
-    keep = [f for f in pages.schema.fields if f.name != html]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [PAGE_SCHEMA])
-    names = [f.name for f in keep]
-    fields = ["title", "content", "author", "category", "published", "html_links"]
-
-    def run(batches):
-        for pdf in batches:
-            chosen = [single] * len(pdf) if single else [rules.get(s) for s in pdf[source]]
-            rows = [_read_page(h if r else None, r) for h, r in zip(pdf[html], chosen)]
-            out = pdf[names].copy()
-            for name, values in zip(fields, zip(*rows) if rows else [[]] * len(fields)):
-                out[name] = pd.Series(list(values), index=out.index, dtype=object)
-            yield out
-
-    return pages.mapInPandas(run, schema)
+    names = ["title", "content", "author", "category", "published", "html_links"]
+
+    @F.pandas_udf(PAGE_SCHEMA)
+    def read(texts: pd.Series, sources: pd.Series) -> pd.DataFrame:
+        chosen = [single] * len(texts) if single else [rules.get(s) for s in sources]
+        rows = [_read_page(h if r else None, r) for h, r in zip(texts, chosen)]
+        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+
+    # only the HTML and the source go to Python: every other column stays as it is in the JVM
+    key = F.lit(single.source) if single else F.col(source)
+    kept = [c for c in pages.columns if c != html and c not in names]
+    return pages.withColumn("_page", read(F.col(html), key)).select(*kept, *[F.col("_page")[n].alias(n) for n in names])
 
 
 def extract_articles(

@@ -44,18 +44,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def list_dir(spark: SparkSession, path: str) -> list:
+    """File statuses of a directory."""
+    fs, p = _path(spark, path)
+    return list(fs.listStatus(p))
+
+
 def rewrite(df: DataFrame, path: str, partition_by=()) -> str:
-    """Replace a store by a table derived from it: written beside the store first, then swapped in by
-    renames, so readers never see half a store and a failure leaves the old one."""
+    """Replace a store by a table derived from it: written beside the store first, then swapped in by two
+    renames whose results are checked. When the second one fails, the old store is put back; it is deleted
+    only after the new one is in place. Between the renames a reader may find no store, never half of one."""
     spark = df.sparkSession
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     write_articles(df, fresh, "overwrite", partition_by)
     fs, target = _path(spark, path)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(target):
-        fs.rename(target, path_of(old))
-    fs.rename(path_of(fresh), target)
-    fs.delete(path_of(old), True)
+    had = fs.exists(target)
+    if had and not fs.rename(target, path_of(old)):
+        fs.delete(path_of(fresh), True)
+        raise OSError(f"{path} could not be moved aside; it is unchanged")
+    if not fs.rename(path_of(fresh), target):
+        restored = not had or fs.rename(path_of(old), target)
+        raise OSError(f"the new table could not be moved to {path}; " + (
+            "the old one is back" if restored else f"the old one is at {old}") + f", the new one at {fresh}")
+    if had:
+        fs.delete(path_of(old), True)
     return path
 
 
@@ -103,12 +116,22 @@ def party_counts(assigned: DataFrame, party: str = "party_id") -> DataFrame:
 def drop_party_partition(spark: SparkSession, path: str, party: str, column: str = "party_id") -> dict:
     """S17. Remove one party's directory; the others are not read or rewritten. Returns row counts."""
     before = spark.read.parquet(path).count()
-    fs, p = _path(spark, f"{path}/{column}={party}")
-    removed = spark.read.parquet(path).where(F.col(column) == party).count() if fs.exists(p) else 0
-    fs.delete(p, True)
+    fs, p = _path(spark, f"{path}/{column}={escape_partition(party)}")
+    removed = 0
+    if fs.exists(p):
+        removed = spark.read.parquet(p.toString()).count()
+        if not fs.delete(p, True):
+            raise OSError(f"{p} could not be deleted")
     return {"before": before, "after": before - removed}
 
 
+def escape_partition(value: str) -> str:
+    """A partition value as Spark writes it in a directory name: control characters and those with a meaning
+    in paths or globs as ``%`` and two hex digits."""
+    special = set('"#%\'*/:=?\\{[]^') | {chr(c) for c in range(1, 32)} | {"\x7f"}
+    return "".join(f"%{ord(c):02X}" if c in special else c for c in value)
+
+
 def reset_store(spark: SparkSession, path: str, confirm: str, token: str = "DELETE_ALL") -> dict:
     """S17. Empty a store. The caller must pass the confirmation token."""
     if confirm != token:

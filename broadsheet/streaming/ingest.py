@@ -3,25 +3,40 @@ store, so a restart or a repeated batch never inserts an article twice."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.plans.ingest import IngestConfig, ingest_batch
-from broadsheet.sources.store import exists
+from broadsheet.sources.store import exists, list_dir
 
 BATCH = "ingest_batch"
 
 
-def write_batch(pages: DataFrame, batch_id: int, store_path: str, config: IngestConfig) -> None:
-    """Store one micro-batch in a directory of its own, replacing what an earlier attempt at the same
-    batch left there. Other batches are what the new rows are compared with."""
+def write_batch(pages: DataFrame, batch_id: int, store_path: str, config: IngestConfig, stream: str = "batch") -> None:
+    """Store one micro-batch in a directory of its own, named by the stream and the batch: an earlier attempt
+    at the same batch is replaced, another stream's batch of the same number never is. All other batches are
+    what the new rows are compared with."""
     spark = pages.sparkSession
+    own = f"{stream}-{batch_id}"
     earlier = None
-    if exists(spark, store_path):
-        earlier = spark.read.option("basePath", store_path).parquet(store_path).where(F.col(BATCH) != batch_id)
+    if exists(spark, store_path) and has_batches(spark, store_path):
+        stored = spark.read.option("basePath", store_path).option("mergeSchema", "true").parquet(store_path)
+        earlier = stored.where(F.col(BATCH).cast("string") != own)
     rows = ingest_batch(pages, earlier, config)
-    rows.write.mode("overwrite").parquet(f"{store_path}/{BATCH}={batch_id}")
+    rows.write.mode("overwrite").parquet(f"{store_path}/{BATCH}={own}")
+
+
+def has_batches(spark: SparkSession, store_path: str) -> bool:
+    """Whether an existing store directory holds a batch; an empty one cannot be read as a table."""
+    return any(s.getPath().getName().startswith(f"{BATCH}=") for s in list_dir(spark, store_path))
+
+
+def stream_name(checkpoint: str) -> str:
+    """The same for every run from one checkpoint, another for a new one."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
 
 def ingest_stream(spark: SparkSession, pages_path: str, page_schema, store_path: str, checkpoint: str,
@@ -30,7 +45,8 @@ def ingest_stream(spark: SparkSession, pages_path: str, page_schema, store_path:
     pages = (
         spark.readStream.schema(page_schema).option("maxFilesPerTrigger", files_per_batch).parquet(pages_path)
     )
+    name = stream_name(checkpoint)
     return (
-        pages.writeStream.foreachBatch(lambda df, batch_id: write_batch(df, batch_id, store_path, config))
+        pages.writeStream.foreachBatch(lambda df, batch_id: write_batch(df, batch_id, store_path, config, name))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -14,7 +14,8 @@ def test_document_text_strips(one):
 
 def test_language_block(one):
     assert one([text.detect_language("t")], t="hello নির্বাচন")[0] == "Bangla"
-    assert one([text.detect_language("t")], t="x" * 500 + "নির্বাচন")[0] == "English"
+    assert one([text.detect_language("t")], t="x" * 500 + "নির্বাচন")[0] == "Bangla"
+    assert one([text.detect_language("t", head=500)], t="x" * 500 + "নির্বাচন")[0] == "English"
 
 
 def test_clean_text(one):

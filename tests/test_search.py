@@ -63,7 +63,7 @@ def test_encoder_plugin(spark):
 
 def test_search_bounds(spark):
     with pytest.raises(ValueError):
-        search.search("x", vectors(spark), 51)
+        search.search("x", vectors(spark), 0)
 
 
 def test_context_stops_at_first_overflow(spark):
@@ -147,7 +147,45 @@ def test_combine_in_parts_covers_every_text(spark):
     texts = spark.createDataFrame([(f"2024-0{1 + i % 3}-1{i % 9}", f"#w{i:02d} " + "filler " * 30) for i in range(60)], "order_key string, text string")
     whole = digest.combine_texts(texts, shorten, "", 1_000_000)
     parts = digest.combine_texts(texts, shorten, "", 2_000)
-    assert set(whole.split()) == set(parts.split()) == {f"#w{i:02d}" for i in range(60)} and not seen
+    assert whole[1] is None and parts[1] is None
+    assert set(whole[0].split()) == set(parts[0].split()) == {f"#w{i:02d}" for i in range(60)} and not seen
+    long = spark.createDataFrame([("2024-01-01", " ".join(f"#w{i:02d} filler" for i in range(60)) + " x" * 2_000)], "order_key string, text string")
+    pieces = digest.combine_texts(long, shorten, "", 1_500)[0]
+    assert len({w for w in pieces.split() if len(w) == 4}) >= 58  # a cut may part a word in two
+
+
+def test_a_failing_group_loses_no_text(spark):
+    def shorten(prompts: pd.Series) -> pd.Series:
+        if prompts.str.contains("#w07").any() and prompts.str.len().max() > 1_000:
+            raise RuntimeError("model is down")
+        return prompts.map(lambda p: " ".join(sorted({w for w in p.split() if w.startswith("#")})))
+
+    def never(prompts):
+        raise RuntimeError("model is down")
+
+    texts = spark.createDataFrame([(f"2024-0{1 + i % 3}-1{i % 9}", f"#w{i:02d} " + "filler " * 30) for i in range(60)], "order_key string, text string")
+    response, error = digest.combine_texts(texts, shorten, "", 2_000)
+    assert error or set(response.split()) == {f"#w{i:02d}" for i in range(60)}
+    assert digest.combine_texts(texts, never, "", 2_000) == (None, "model is down")
+    articles = spark.createDataFrame([(i, f"t{i}", "body", dt.date(2024, 1, 5), ["A"], [], []) for i in range(6)],
+                                     "id bigint, title string, content string, date date, parties array<string>, people array<string>, themes array<string>")
+
+    def some(prompts: pd.Series) -> pd.Series:
+        if prompts.str.contains("Title: t3").any() or prompts.str.contains("t3").any():
+            raise RuntimeError("model is down")
+        return prompts.map(lambda p: "**Summary**: fine")
+
+    cache = spark.createDataFrame([], summaries.PERIOD_SUMMARY_SCHEMA)
+    row, merged = digest.period_summary(articles, cache, "party", "A", "2024-01-01", "2024-01-31", some, lambda p: p.map(lambda x: "SUMMARY: all"), now=dt.datetime(2024, 2, 1))
+    got = row.first()
+    assert (got["statistics"]["total_articles"], got["statistics"]["newly_summarized"], got["failed_articles"], got["error"]) == (6, 5, 1, "model is down")
+    assert merged.where("id = 3").first()["content"] == "body" and merged.where("id = 4").first()["content"] == "fine"
+
+
+def test_encoder_leaves_other_columns_alone(spark):
+    df = spark.createDataFrame([(None, "a", "x"), (2**53 + 1, "b", "y")], "id bigint, title string, content string")
+    got = search.embed(df, lambda s: np.array([[len(t), 1.0] for t in s])).collect()
+    assert {r["id"] for r in got} == {None, 2**53 + 1} and all(len(r["embedding"]) == 2 == r["embedding_dimension"] for r in got)
 
 
 def test_period_cache_hit_asks_no_model(spark):

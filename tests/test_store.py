@@ -47,7 +47,7 @@ def test_article_round_trip(spark):
         "id bigint, title string, date string, parties array<string>, keywords array<string>, is_speech boolean, "
         "llm_summary struct<summary:string,key_points:array<string>,stance_analysis:string>, "
         "llm_keywords struct<keywords:array<string>,phrases:array<string>,topics:array<string>>")
-    flat = flatten_article(df)
+    flat = flatten_article(df, chars=500)
     assert flat.first()["parties"] == "A, B" and flat.first()["is_speech"] == "True" and flat.first()["date_ts"] == 1722816000
     back = unflatten_article(flat).first()
     assert back["parties"] == ["A", "B"] and back["is_speech"] is True and len(back["llm_summary"]["summary"]) == 500
@@ -116,3 +116,53 @@ def test_stream_never_inserts_twice(spark):
     run()
     run()
     assert sorted(r["url"][-1] for r in store.read_articles(spark, out).collect()) == ["1", "2", "3"]
+    # a new checkpoint over the same store starts at batch 0 again: nothing stored is lost, nothing comes twice
+    add(4)
+    progress += "-new"
+    run()
+    assert sorted(r["url"][-1] for r in store.read_articles(spark, out).collect()) == ["1", "2", "3", "4"]
+
+
+def test_failed_rename_keeps_the_store(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store.write_articles(spark.range(5), path)
+
+    class Stubborn:
+        """A file system whose second rename fails."""
+
+        def __init__(self, fs):
+            self.fs, self.calls = fs, 0
+
+        def rename(self, a, b):
+            self.calls += 1
+            return False if self.calls == 2 else self.fs.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    real = store._path
+    monkeypatch.setattr(store, "_path", lambda s, p: (Stubborn(real(s, p)[0]), real(s, p)[1]))
+    with pytest.raises(OSError, match="the old one is back"):
+        store.rewrite(spark.range(2), path)
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() == 5
+    store.rewrite(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_party_with_special_characters_can_be_dropped(spark, tmp_path):
+    path = str(tmp_path / "parties")
+    df = spark.createDataFrame([(1, "A/B: C"), (2, "A/B: C"), (3, "50% = x"), (4, "P")], "id bigint, party_id string")
+    store.write_party_partitioned(df, path)
+    assert store.drop_party_partition(spark, path, "A/B: C") == {"before": 4, "after": 2}
+    assert store.drop_party_partition(spark, path, "50% = x") == {"before": 2, "after": 1}
+    assert [r["party_id"] for r in spark.read.parquet(path).collect()] == ["P"]
+
+
+def test_page_fields_leave_other_columns_alone(spark):
+    from broadsheet.sources.html import PageRules, extract_pages
+
+    page = "<h1>T</h1><article><p>" + "word " * 20 + "</p></article>"
+    df = spark.createDataFrame([(None, page), (2**53 + 1, page), (3, None)], "page_id bigint, html string")
+    got = extract_pages(df, PageRules(source="s")).collect()
+    assert {r["page_id"] for r in got} == {None, 2**53 + 1, 3} and sum(r["title"] == "T" for r in got) == 2
