@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from broadsheet.catalog.base import (
-    GAZ, LEXICON, NOW, SPEECH, STANCE, TAXONOMY, base, query, tagged, text_of, trimmed, with_,
+    FLAGS, GAZ, LEXICON, NOW, SPEECH, STANCE, TAXONOMY, base, listing, query, tagged, text_of, trimmed, with_,
 )
 from broadsheet.catalog.scalars import PAGE_RULES
 from broadsheet.operators import enrich, summaries
@@ -26,9 +26,10 @@ CATS = [r["category"] for r in TAXONOMY.dicts()]
 
 
 def recorded_classifier(prompts: pd.Series) -> pd.Series:
-    """A recorded model: the category by the length of the prompt; prose around the JSON for some."""
+    """A recorded model: the category by the length of title and text; prose around the JSON for some."""
     def one(p: str) -> str:
-        n = len(p) % 4
+        title, content = p.rsplit("Title: ", 1)[1].split("\nContent: ", 1)
+        n = (len(title) + len(content)) % 4
         if n == 3:
             return "I cannot tell."
         body = json.dumps({"categories": [CATS[n], "Unknown"], "primary_category": CATS[n], "confidence_scores": {CATS[n]: 80},
@@ -102,7 +103,11 @@ def _(t):
     return c.select("id", text_of("categories").alias("categories"), "primary_category", "error")
 
 
-@query("e04_classify_batch")
+@query("e04_classify_batch", tagged(f"""
+, n AS (SELECT *, (length(title) + length(content)) % 4 AS n FROM tagged)
+SELECT id, CASE WHEN n = 3 THEN array_to_string(ai_categories, '|') ELSE {listing(CATS)}[n + 1] END AS ai_categories,
+ CASE WHEN n = 3 THEN primary_category ELSE {listing(CATS)}[n + 1] END AS primary_category,
+ CASE WHEN n = 3 THEN array_to_string(people, '|') ELSE 'F1' END AS people, CASE WHEN n <> 3 THEN 'r' END AS category_reasoning FROM n"""))
 def _(t):
     c = enrich.classify_batch(t.articles, recorded_classifier, TAXONOMY, GAZ)
     merged = merge_columns(t.tagged.withColumn("category_reasoning", F.lit(None).cast("string")), enrich.classification_updates(c, NOW))
@@ -197,7 +202,9 @@ def _(t):
                     "has_election_impact", "election_impact_description", text_of("election_impact_parties").alias("election_impact_parties"))
 
 
-@query("e11_enrich_articles")
+@query("e11_enrich_articles", tagged("""
+SELECT id, length(content) AS original_length, CASE WHEN f.is_speech THEN trim(replace(left(content, 60), chr(10), ' ')) END AS summary,
+ 'reform, vote' AS keywords, 'Neutral' AS stance FROM tagged LEFT JOIN flags f USING (id)""", FLAGS))
 def _(t):
     e = enrich.enrich_articles(t.tagged_flagged, recorded_summary)
     return e.select("id", F.col("original_length").cast("bigint").alias("original_length"), "llm_summary.summary",

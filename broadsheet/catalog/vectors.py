@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from broadsheet.catalog.base import ARTICLES, BASE, FLAGS, NOW, query, text_of, with_
@@ -35,7 +36,8 @@ def cos(a: str, b: str) -> str:
 Q = ("q", f"SELECT embedding AS qv FROM embeddings WHERE vec_id = {QID}")
 
 
-@query("v01_embed")
+@query("v01_embed", with_(BASE) + r"""
+SELECT id, 64 AS dim, CASE WHEN regexp_matches(both_text, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM base""")
 def _(t):
     e = search.embed(t.articles, dim=64)
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -65,10 +67,28 @@ def _(t):
     return search.knn(probe(t), vectors(t), 10, "euclidean").select("id", F.round("similarity", 5).alias("similarity"))
 
 
-@query("v04_search")
+LETTERS = "etaonihsrdlu"
+
+
+def letter_counts(texts):
+    """An encoder that SQL can repeat: how often each of some letters occurs."""
+    return np.array([[x.count(c) for c in LETTERS] for x in texts], dtype=float)
+
+
+def letters_sql(expr: str) -> str:
+    return "[" + ", ".join(f"length({expr}) - length(replace({expr}, '{c}', ''))" for c in LETTERS) + "]"
+
+
+QUESTION_TEXT = "thing of the erin onan"
+
+
+@query("v04_search", with_(BASE) + f"""
+SELECT id, round({cos(letters_sql('both_text'), letters_sql("'" + QUESTION_TEXT + "'"))}, 5) AS similarity FROM base
+WHERE NOT isnan({cos(letters_sql('both_text'), letters_sql("'" + QUESTION_TEXT + "'"))})
+ORDER BY round({cos(letters_sql('both_text'), letters_sql("'" + QUESTION_TEXT + "'"))}, 9) DESC, id LIMIT 60""")
 def _(t):
-    corpus = search.embed(t.articles, dim=64)
-    return search.search("thing of the erin onan", corpus, 10, dim=64).select("id", F.round("similarity", 6).alias("similarity"))
+    corpus = search.embed(t.articles, letter_counts, batch_size=1000)
+    return search.search(QUESTION_TEXT, corpus, 60, letter_counts).select("id", F.round("similarity", 5).alias("similarity"))
 
 
 @query("v05_knn_join", f"""
@@ -80,9 +100,14 @@ def _(t):
     return out.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("v06_approx_knn")
+@query("v06_approx_knn", with_(Q) + f"""
+SELECT count(*) AS k, true AS found_most FROM (SELECT vec_id FROM embeddings, q ORDER BY {cos('embedding', 'qv')} DESC, vec_id LIMIT 10)""")
 def _(t):
-    return search.approx_knn(probe(t), vectors(t), 10).select("id", F.round("similarity", 4).alias("similarity"))
+    """How many of the exact neighbours the approximate search finds: at least 9 of 10."""
+    near = search.approx_knn(probe(t), vectors(t), 10).select("id", F.lit(1).alias("hit"))
+    exact = search.knn(probe(t), vectors(t), 10).select("id")
+    both = exact.join(near, "id", "left")
+    return both.agg(F.count("*").alias("k"), (F.count("hit") >= 9).alias("found_most"))
 
 
 CORPUS = ("corpus", "SELECT t.*, e.embedding, e.label, f.is_speech, f.is_stance FROM tagged t JOIN embeddings e ON e.vec_id = t.id LEFT JOIN flags f ON f.id = t.id")
