@@ -38,23 +38,29 @@ STRINGS = "array<string>"
 
 
 def complete(df: DataFrame, completer: Completer, prompt: str = "prompt", out: str = "response",
-             error: str = "error") -> DataFrame:
-    """Run the model over a prompt column. NULL prompts get NULL responses."""
+             error: str = "error", batch_size: int = 32) -> DataFrame:
+    """Run the model over a prompt column, ``batch_size`` prompts a call. NULL prompts get NULL responses. The
+    prompts of a call that fails, or that answers too few or too many, are asked again one by one; other calls
+    are not repeated."""
 
     @F.pandas_udf("response string, error string")
     def ask(prompts: pd.Series) -> pd.DataFrame:
         answers = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
         errors = answers.copy()
         wanted = prompts[prompts.notna()]
-        try:
-            if len(wanted):
-                answers.loc[wanted.index] = list(completer(wanted))
-        except Exception:
-            for at, text in wanted.items():
-                try:
-                    answers.at[at] = list(completer(pd.Series([text])))[0]
-                except Exception as failure:
-                    errors.at[at] = str(failure) or type(failure).__name__
+        for begin in range(0, len(wanted), batch_size):
+            part = wanted.iloc[begin:begin + batch_size]
+            try:
+                found = list(completer(part))
+                if len(found) != len(part):
+                    raise ValueError(f"{len(found)} answers to {len(part)} prompts")
+                answers.loc[part.index] = found
+            except Exception:
+                for at, text in part.items():
+                    try:
+                        (answers.at[at],) = completer(pd.Series([text]))
+                    except Exception as failure:
+                        errors.at[at] = str(failure) or type(failure).__name__
         return pd.DataFrame({"response": answers, "error": errors})
 
     # nondeterministic: the optimizer must never evaluate the call twice for one row

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.dates import check_bound
-from broadsheet.functions.text import col, resolve_url, strip
+from broadsheet.functions.text import col, resolve_url, strip, strip_boilerplate
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNWANTED = frozenset("nav header footer aside script style".split())
@@ -42,6 +42,9 @@ class PageRules:
     default_category: str = "politics"
     min_content: int = 100
     require_date: bool = False
+    boilerplate: tuple = ()  # S10's patterns and markers, applied before the length test
+    head_marker: str | None = None
+    tail_marker: str | None = None
 
 
 #: Rules for English-language sites: matching paragraphs, joined by a space, a readable date required.
@@ -222,13 +225,20 @@ def extract_articles(
     pages: DataFrame, rules: dict[str, PageRules] | PageRules, html: str = "html", source: str | None = None,
     start=None, end=None,
 ) -> DataFrame:
-    """S01. Pages → article rows. Dropped: pages without a title, with too little text, outside the date
-    range, and (for sources that require one) without a readable date."""
+    """S01. Pages → article rows. Boilerplate that a source's rules name is taken out of the text first.
+    Dropped: pages without a title, with too little text, outside the date range, and (for sources that require
+    one) without a readable date."""
     table = {rules.source: rules} if isinstance(rules, PageRules) else rules
     per = lambda f: F.create_map(*[F.lit(x) for k, r in table.items() for x in (k, f(r))])
     key = F.lit(rules.source) if isinstance(rules, PageRules) else F.col(source)
+    content = F.col("content")
+    for name, r in table.items():
+        if r.boilerplate or r.head_marker or r.tail_marker:
+            cleaned = F.nullif(strip_boilerplate("content", r.boilerplate, r.head_marker, r.tail_marker), F.lit(""))
+            content = F.when(key == name, cleaned).otherwise(content)
     out = (
         extract_pages(pages, rules, html, source)
+        .withColumn("content", content)
         .withColumn("date", parse_published("published"))
         .where(F.col("title").isNotNull())
         .where(F.length(F.coalesce("content", F.lit(""))) >= F.try_element_at(per(lambda r: r.min_content), key))

@@ -218,3 +218,20 @@ def test_dimension_limits(spark):
         dims.config_rows(GAZ.frame(spark), 2)
     with pytest.raises(ValueError):
         dims.gazetteer({"A": {"names": [" "]}})
+
+
+def test_only_the_failed_call_is_repeated(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id bigint, prompt string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompts: pd.Series):
+        calls.add(1)
+        if len(prompts) > 1 and "p3" in set(prompts):
+            raise RuntimeError("busy")
+        if "p9" in set(prompts):
+            return ["too", "many", "answers", "for", "one", "call"]
+        return [p.upper() for p in prompts]
+
+    got = {r["id"]: (r["response"], r["error"]) for r in enrich.complete(df, model, batch_size=5).collect()}
+    assert got[3] == ("P3", None) and got[12] == ("P12", None) and got[9][0] is None and got[9][1]
+    assert calls.value == 4 + 5 + 5

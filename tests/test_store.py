@@ -166,3 +166,13 @@ def test_page_fields_leave_other_columns_alone(spark):
     df = spark.createDataFrame([(None, page), (2**53 + 1, page), (3, None)], "page_id bigint, html string")
     got = extract_pages(df, PageRules(source="s")).collect()
     assert {r["page_id"] for r in got} == {None, 2**53 + 1, 3} and sum(r["title"] == "T" for r in got) == 2
+
+
+def test_boilerplate_goes_before_the_length_test(spark):
+    page = "<h1>T</h1><article><p>" + "MENU junk MENU " * 10 + "</p><p>END of page " + "more " * 40 + "</p></article>"
+    df = spark.createDataFrame([(1, page)], "page_id bigint, html string")
+    rules = PageRules("web", body=("article",))
+    assert extract_articles(df, rules).count() == 1
+    from dataclasses import replace
+
+    assert extract_articles(df, replace(rules, boilerplate=("MENU junk MENU",), tail_marker="END of page")).count() == 0
