@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from broadsheet.catalog.base import (
-    FLAGS, GAZ, LEXICON, NOW, SPEECH, STANCE, TAXONOMY, base, listing, query, tagged, text_of, trimmed, with_,
+    ARTICLES, FLAGS, GAZ, LEXICON, NOW, SPEECH, STANCE, TAXONOMY, base, listing, query, quote, tagged, text_of, trimmed, with_,
 )
-from broadsheet.catalog.scalars import PAGE_RULES
+from broadsheet.catalog.scalars import BODIES, PAGE_RULES
 from broadsheet.operators import enrich, summaries
 from broadsheet.operators.identity import merge_columns
 from broadsheet.plans import digest
@@ -393,7 +393,14 @@ def _(t):
 CONFIG = IngestConfig(rules=PAGE_RULES, gaz=GAZ, lexicon=LEXICON, speech=tuple(SPEECH), stance=tuple(STANCE), dim=64)
 
 
-@query("i01_ingest_batch")
+INGESTED = (BODIES, ("base", """
+SELECT sha256(url) AS id, url, title, content, DATE '2024-01-01' AS date, 'web' AS source, 'English' AS language, 'politics' AS category, title || ' ' || content AS both_text
+FROM bodies WHERE title IS NOT NULL AND length(content) >= 100"""), *ARTICLES[1:])
+SPOKEN_OF = " + ".join(f"CAST(contains(lower(both_text), {quote(w)}) AS INTEGER)" for w in SPEECH)
+
+
+@query("i01_ingest_batch", with_(*INGESTED) + f"""
+SELECT id, url, title, array_to_string(parties, '|') AS parties, array_to_string(themes, '|') AS themes, {SPOKEN_OF} >= 2 AS is_speech, 64 AS dim FROM tagged""")
 def _(t):
     pages = t.pages.select("url", "html")
     rows = ingest_batch(pages, None, CONFIG)
@@ -401,7 +408,7 @@ def _(t):
                        F.size("embedding").alias("dim"))
 
 
-@query("i02_ingest_stream")
+@query("i02_ingest_stream", with_(*INGESTED) + "SELECT id, url, title, array_to_string(parties, '|') AS parties FROM tagged")
 def _(t):
     """Two runs over the same pages: the second finds nothing new."""
     store, checkpoint = scratch_path(t.spark, "store"), scratch_path(t.spark, "progress")

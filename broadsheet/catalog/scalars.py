@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from broadsheet.catalog.base import base, collapsed, query, quote, tagged, text_of, trimmed
+from broadsheet.catalog.base import base, collapsed, query, quote, tagged, text_of, trimmed, with_
 from broadsheet.functions.arrays import (
     export_metadata, first_non_empty, join_list, parse_affiliations, split_list,
 )
@@ -25,12 +25,6 @@ from broadsheet.sources.story import parse_story_json
 PAGE_RULES = PageRules(source="web", body=("article",), min_content=100)
 
 
-@query("s01_extract_articles")
-def _(t):
-    return extract_articles(t.pages, PAGE_RULES).select(
-        "page_id", "url", "title", F.length("content").alias("content_chars"), "category", "source", "language")
-
-
 def unescaped(expr: str) -> str:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
         expr = f"replace({expr}, {quote(entity)}, {quote(char)})"
@@ -41,13 +35,31 @@ def plain(expr: str) -> str:
     return trimmed(unescaped(f"regexp_replace({expr}, '<[^>]*>', '', 'g')"))
 
 
+#: The pages' paragraphs: one that is not closed holds all that follow it. Without any, the text of the block beside.
+BODIES = ("bodies", f"""
+SELECT page_id, url, nullif({plain(r"regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '') AS title,
+ CASE WHEN len(pieces) > 0 THEN array_to_string(pieces, chr(10) || chr(10)) WHEN length(beside) > 30 THEN beside END AS content
+FROM (SELECT page_id, url, html, beside, list_filter(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN contains(parts[i], '</p>') THEN texts[i] ELSE array_to_string(texts[i:], '') END),
+  lambda x: length(x) > 20) AS pieces
+ FROM (SELECT *, list_transform(parts, lambda s: {plain('s')}) AS texts, {plain(r"regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS beside
+  FROM (SELECT *, list_slice(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>'), 2, 100000) AS parts FROM pages)))""")
+
+
+@query("s01_extract_articles", with_(BODIES) + """
+SELECT page_id, url, title, length(content) AS content_chars, 'politics' AS category, 'web' AS source, 'English' AS language FROM bodies
+WHERE title IS NOT NULL AND length(content) >= 100""")
+def _(t):
+    return extract_articles(t.pages, PAGE_RULES).select(
+        "page_id", "url", "title", F.length("content").alias("content_chars"), "category", "source", "language")
+
+
 @query("s02_extract_title", f"""
 SELECT page_id, nullif({plain(r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)")}, '') AS title FROM pages""")
 def _(t):
     return t.pages.select("page_id", extract_title("html").alias("title"))
 
 
-@query("s03_extract_body")
+@query("s03_extract_body", with_(BODIES) + "SELECT page_id, length(content) AS content_chars, md5(content) AS content_md5 FROM bodies")
 def _(t):
     return extract_pages(t.pages, PAGE_RULES).select(
         "page_id", F.length("content").alias("content_chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
