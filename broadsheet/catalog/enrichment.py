@@ -342,20 +342,31 @@ def _(t):
 
 
 def recorded_intent(prompts: pd.Series) -> pd.Series:
-    return prompts.map(lambda p: json.dumps({"type": "entity_focus", "entities": ["P1"] if len(p) % 2 else [], "topics": []}))
+    """A recorded model: questions of odd length are about P1."""
+    return prompts.map(lambda p: json.dumps(
+        {"type": "entity_focus", "entities": ["P1"] if len(p.split("Question: ", 1)[1]) % 2 else [], "topics": []}))
+
+
+INTENT_ROWS = ("intent", f"""
+SELECT *, {trimmed('query')} = '' AS blank, length(query) % 2 = 1 AS odd FROM (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id)""")
 
 
 def recorded_answer(prompts: pd.Series) -> pd.Series:
     return prompts.map(lambda p: f" seen {p.count('Title: ')} articles ")
 
 
-@query("e18_classify_queries")
+@query("e18_classify_queries", with_(INTENT_ROWS) + """
+SELECT query_id, CASE WHEN blank THEN 'general' ELSE 'entity_focus' END AS type, CASE WHEN odd AND NOT blank THEN 'P1' ELSE '' END AS entities,
+ CASE WHEN blank THEN 'empty' ELSE 'llm' END AS classification_method FROM intent""")
 def _(t):
     i = enrich.classify_queries(questions(t), recorded_intent, KNOWN, ["T1"], TODAY)
     return i.select("query_id", "type", text_of("entities").alias("entities"), "classification_method")
 
 
-@query("e19_answer_batch")
+@query("e19_answer_batch", tagged("""
+, n AS (SELECT count(*) AS n_all, count(*) FILTER (list_contains(parties, 'P1')) AS n_own FROM tagged),
+ r AS (SELECT query_id, blank, least(5, CASE WHEN odd AND NOT blank AND n_own > 0 THEN n_own ELSE n_all END) AS hits FROM intent, n)
+SELECT query_id, 'seen ' || hits || ' articles' AS answer, CASE WHEN blank THEN 'general' ELSE 'entity_focus' END AS type, hits AS total_articles_retrieved FROM r""", INTENT_ROWS))
 def _(t):
     from broadsheet.operators.search import embed
 
