@@ -30,7 +30,11 @@ from broadsheet.llm.tokens import SPACE, within, words
 SHINGLE = 5
 #: Similarity from which on sets link: intersection * DEN >= NUM * union.
 NUM, DEN = 80, 100
-GROUPS = 64
+#: Groups of shingles, that is coordinates of a point. More of them bound the overlap closer: of the pairs that the
+#: bound on 64 groups leaves, that on 512 leaves a twentieth.
+GROUPS = 512
+#: Coordinates of the tree's nodes, each the sum of neighbouring groups; points that are left are compared in full.
+COARSE = 64
 #: Share of the classes from which on a shingle is frequent. At most 2 / FREQUENT times the mean set size are.
 FREQUENT = 1 / 2000
 #: Shingles counted together before the frequent ones among them are sent.
@@ -82,7 +86,7 @@ def points(first: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Each set's counts by group of its shingles."""
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
-    group = (h >> np.uint64(58)).astype(np.int64)
+    group = (h >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
     return np.bincount(doc * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
 
 
@@ -91,7 +95,18 @@ def packed(points_: np.ndarray) -> list[bytes]:
 
 
 def unpacked(bodies: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(b, np.uint8 if len(b) == GROUPS else np.uint32) for b in bodies], np.int64).reshape(-1, GROUPS)
+    return np.array([np.frombuffer(b, np.uint8 if len(b) == GROUPS else np.uint32) for b in bodies], np.int32).reshape(-1, GROUPS)
+
+
+def coarse(point: np.ndarray) -> np.ndarray:
+    return point.reshape(len(point), COARSE, -1).sum(axis=2)
+
+
+def bound(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sum of the coordinates' minima of a[i] and b[j], a slice at a time."""
+    step = max(1, 4_000_000 // max(1, a.shape[1]))
+    parts_ = [np.minimum(a[i[k:k + step]], b[j[k:k + step]]).sum(axis=1) for k in range(0, len(i), step)]
+    return np.concatenate(parts_) if parts_ else np.empty(0, np.int64)
 
 
 def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,12 +120,13 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """An R-tree over points, bulk-loaded in the order of set size; each node has the largest coordinates and the
-    smallest size below it."""
+    """An R-tree over points, bulk-loaded in the order of set size; each node has the largest (coarse) coordinates and
+    the smallest size below it."""
 
     def __init__(self, point: np.ndarray, size: np.ndarray):
         self.order = np.lexsort((point.argmax(axis=1), size))
-        self.levels = [(point[self.order], size[self.order])]
+        self.point, self.size = point, size
+        self.levels = [(coarse(point)[self.order], size[self.order])]
         while len(self.levels[-1][0]) > FANOUT:
             p, s = self.levels[-1]
             at = np.arange(0, len(p), FANOUT)
@@ -118,19 +134,21 @@ class Tree:
 
     def partners(self, point: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, place) of all points whose bound lets them link with a query."""
+        rough = coarse(point)
         q = np.repeat(np.arange(len(point)), len(self.levels[-1][0]))
         node = np.tile(np.arange(len(self.levels[-1][0])), len(point))
         for level in range(len(self.levels) - 1, -1, -1):
             p, s = self.levels[level]
-            good = np.concatenate([linked(np.minimum(point[q[i:i + 20_000]], p[node[i:i + 20_000]]).sum(axis=1), size[q[i:i + 20_000]], s[node[i:i + 20_000]])
-                                   for i in range(0, len(q), 20_000)]) if len(q) else np.empty(0, bool)
+            good = linked(bound(rough, q, p, node), size[q], s[node])
             q, node = q[good], node[good]
             if level:
                 below = len(self.levels[level - 1][0])
                 node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 q = np.repeat(q, FANOUT)
                 q, node = q[node < below], node[node < below]
-        return q, self.order[node]
+        at = self.order[node]
+        good = linked(bound(point, q, self.point, at), size[q], self.size[at])
+        return q[good], at[good]
 
 
 ROW = "kind int, ord bigint, row_hash bigint, cls bigint, n bigint, point binary, token bigint"
