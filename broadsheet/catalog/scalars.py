@@ -336,10 +336,10 @@ def _(t):
 
 def excerpt_hits(t):
     """Documents are matched with excerpts on the excerpts' first characters, then located exactly."""
-    from broadsheet.functions.text import collapse_spaces
+    from broadsheet.functions.text import collapse_spaces, excerpt_text
     from broadsheet.operators.matching import match_terms
 
-    x = t.benchmark.select("item_id", strip(collapse_spaces("text")).alias("w")).where(F.length("w") >= 10)
+    x = t.benchmark.select("item_id", excerpt_text("text").alias("w")).where(F.length("w") >= 10)
     heads = x.select("item_id", "w", F.lower(F.substring("w", 1, 25)).alias("head"))
     docs = t.documents.select("doc_id", collapse_spaces("text").alias("body"))
     pairs = match_terms(docs, "doc_id", "body", heads, "head", "substring").join(heads, "head").join(docs, "doc_id")

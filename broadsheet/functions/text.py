@@ -83,10 +83,9 @@ def locate_excerpt(text, excerpt) -> Column:
     """P16. Where a quoted excerpt starts in a text: struct(start, length), 1-based, NULL when absent.
 
     Positions count characters of the text with white space collapsed. The first 40 characters decide,
-    then the first 25, then the first 40 without case.
+    then the first 25, then the first 40 without case; ``whole`` says whether the text has all of the excerpt.
     """
-    quote = "[\"'\u201c\u201d" + WS + "]"
-    wanted = strip(collapse_spaces(F.regexp_replace(col(excerpt), f"^{quote}+|{quote}+$", "")))
+    wanted = excerpt_text(excerpt)
     body = collapse_spaces(text)
     head = F.substring(wanted, 1, 40)
 
@@ -101,10 +100,16 @@ def locate_excerpt(text, excerpt) -> Column:
     span = F.least(F.length(wanted), F.length(body) - start + 1)
     return F.when(
         (F.length(wanted) >= 10) & start.isNotNull(),
-        F.struct(start.cast("int").alias("start"), span.cast("int").alias("length")),
+        F.struct(start.cast("int").alias("start"), span.cast("int").alias("length"), F.contains(body, wanted).alias("whole")),
     )
 
 
+def excerpt_text(excerpt) -> Column:
+    """An excerpt as P16 looks for it: without quotation marks around it, with single spaces."""
+    quote = "[\"'\u201c\u201d" + WS + "]"
+    return strip(collapse_spaces(F.regexp_replace(col(excerpt), f"^{quote}+|{quote}+$", "")))
+
+
 def resolve_url(base: str, href, skip_http: bool = True) -> Column:
     """P17. Absolute form of a link found on a page of ``base``; NULL for links that are not followed."""
     h = col(href)

@@ -60,10 +60,10 @@ def test_locate_excerpt(one):
     body = "The  quick brown\nfox jumps over the lazy dog and runs far away from it"
     c = [text.locate_excerpt("b", e) for e in ("e", "f", "g", "h")]
     got = one(c, b=body, e='"quick brown fox"', f="QUICK brown fox jumps", g="short", h="quick brown fox jumps over the lazy cat")
-    assert got[0].asDict() == {"start": 5, "length": 15}
-    assert got[1].asDict()["start"] == 5
+    assert got[0].asDict() == {"start": 5, "length": 15, "whole": True}
+    assert got[1].asDict() == {"start": 5, "length": 21, "whole": False}
     assert got[2] is None
-    assert got[3].asDict() == {"start": 5, "length": 39}  # found by its first 25 characters
+    assert got[3].asDict() == {"start": 5, "length": 39, "whole": False}  # found by its first 25 characters
 
 
 def test_lists(one):
