@@ -154,3 +154,9 @@ BOILERPLATE_PATTERNS = [
 ]
 BOILERPLATE_HEAD_MARKER = "মেসেঞ্জার"
 BOILERPLATE_TAIL_MARKER = "সম্পর্কিত খবর"
+
+# Where an article's fields are on a page, tried in this order.
+TITLE_SELECTORS = ("h1.article-title", "h1", "h2~title|headline")
+BODY_SELECTORS = (".article-content", ".content", ".article-body", ".story-content", ".article-text", ".news-content")
+AUTHOR_SELECTORS = (".author", ".byline", ".writer", ".reporter")
+CATEGORY_SELECTORS = ("a~category",)

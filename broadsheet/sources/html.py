@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet import fixed_values as fixed
 from broadsheet.functions.dates import check_bound
 from broadsheet.functions.text import col, resolve_url, strip, strip_boilerplate
 
@@ -30,15 +31,15 @@ class PageRules:
 
     source: str
     language: str = "English"
-    title: tuple = ("h1.article-title", "h1", "h2~title|headline")
-    body: tuple = (".article-content", ".content", ".article-body", ".story-content", ".article-text", ".news-content")
+    title: tuple = fixed.TITLE_SELECTORS
+    body: tuple = fixed.BODY_SELECTORS
     body_items: str | None = "p"
     fallback_items: tuple = ("p", "div")
     min_item: int = 20
     fallback_min_item: int = 30
     joiner: str = "\n\n"
-    author: tuple = (".author", ".byline", ".writer", ".reporter")
-    category: tuple = ("a~category",)
+    author: tuple = fixed.AUTHOR_SELECTORS
+    category: tuple = fixed.CATEGORY_SELECTORS
     default_category: str = "politics"
     min_content: int = 100
     require_date: bool = False
