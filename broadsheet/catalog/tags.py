@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from broadsheet import dims
 from broadsheet import fixed_values as fixed
 from broadsheet.catalog.base import (
-    ALIAS_CTE, ALIASES, ARTICLES, BASE, ENTS, FIGURE_HITS, GAZ, GAZ_CTE, LEX_CTE, LEXICON, NEUTRAL, SPEECH, STANCE,
+    ALIAS_CTE, ALIASES, ARTICLES, BASE, EDGE, ENTS, FIGURE_HITS, GAZ, GAZ_CTE, LEX_CTE, LEXICON, NEUTRAL, SPEECH, STANCE,
     TAXONOMY, THEMES, base, hits, listing, query, quote, tagged, text_of, trimmed, values, with_,
 )
 from broadsheet.catalog.rows import score_sql
@@ -51,6 +51,39 @@ def _(t):
     return entity_rows(ent.tag_entities_substring(t.articles, GAZ))
 
 
+SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "es", "or", "en", "at"]
+
+
+def many_terms(n: int) -> list[str]:
+    """Made-up words from two and three syllables, as many as asked for."""
+    made = [a + b for a in SYLLABLES for b in SYLLABLES] + [a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
+    return made[:n]
+
+
+def many_gazetteer(n: int) -> dims.Dim:
+    return dims.gazetteer({f"N{i:04d}": {"names": [t]} for i, t in enumerate(many_terms(n))})
+
+
+def many_sql(n: int, mode: str) -> str:
+    terms = ", ".join(f"('N{i:04d}', {quote(t)})" for i, t in enumerate(many_terms(n)))
+    test = "list_contains(ws, v)" if mode == "word" else "contains(low, v)"
+    return with_(BASE) + f"""
+SELECT b.id, coalesce(string_agg(party, '|' ORDER BY party), '') AS parties FROM (SELECT id, low, regexp_split_to_array(low, '{EDGE}+') AS ws FROM (SELECT id, lower(both_text) AS low FROM base)) b
+LEFT JOIN (VALUES {terms}) AS t(party, v) ON {test} GROUP BY b.id"""
+
+
+def _many(name: str, n: int, mode: str):
+    @query(name, many_sql(n, mode))
+    def _(t):
+        return ent.tag_entities(t.articles, many_gazetteer(n), mode).select("id", text_of(ent.party_list()).alias("parties"))
+
+
+# one row for each way of matching: an automaton per text, and a join on anchors
+_many("j01_tag_30_terms", 30, "word")
+_many("j01_tag_500_terms", 500, "word")
+_many("j02_tag_500_terms", 500, "substring")
+
+
 def partial_sql() -> str:
     """J03: first variant per figure, whole or through a part between delimiters."""
     edge = "[" + WS + r",।.\-()]"
