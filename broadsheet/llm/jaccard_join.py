@@ -42,6 +42,8 @@ SEGMENT = 4_000_000
 #: Classes of a bucket that one task compares; larger buckets are cut into pairs of blocks.
 BLOCK = 1000
 FANOUT = 16
+#: Open buckets of a class, the smallest tokens first, that go along with it, so that a pair is made in one bucket only.
+KNOWN_BUCKETS = 32
 #: Bits of the map of the texts whose sets are needed for verification.
 MAP_BITS = 1 << 24
 LAST = 2**63 - 1
@@ -291,17 +293,22 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components that the R-tree leaves; the pivot's pairs are known already."""
+    """Pairs of one bucket and different components that the R-tree leaves; the pivot's pairs are known already.
+
+    A pair that shares many buckets is left to the first of them: each row carries the first of its class's open buckets,
+    and a bucket skips pairs whose lists have a smaller bucket in common."""
     rows = (buckets.where("cls <> pivot").join(labels, F.col("cls") == F.col("node"), "left")
             .select("token", "cls", "n", F.coalesce("root", "cls").alias("root")))
     # buckets with the same classes are compared once
     open_ = (rows.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("cls") % 1_000_000_007).alias("mark"))
              .where("low <> high").groupBy("m", "low", "high", "mark").agg(F.min("token").alias("token")).select("token", "m"))
-    rows = rows.join(open_, "token").join(classes.select("cls", "point"), "cls")
+    rows = rows.join(open_, "token")
+    known = rows.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("token")), 1, KNOWN_BUCKETS).alias("known"))  # of its first shingles
+    rows = rows.join(known, "cls").join(classes.select("cls", "point"), "cls")
     cuts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), cuts).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cls", "n", "root", "point")
+    rows = rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cls", "n", "root", "known", "point")
 
     def compare(table):
         own, cls, n, root = (np.asarray(table.column(c).combine_chunks()) for c in ("own", "cls", "n", "root"))
@@ -313,7 +320,11 @@ def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
             q, at = Tree(point[right], n[right]).partners(point[left], n[left])
             q, at = left[q], right[at]
             good = (root[q] != root[at]) & ((cls[q] < cls[at]) if a == b else True)
-            u, v = np.maximum(cls[q], cls[at])[good], np.minimum(cls[q], cls[at])[good]
+            q, at = q[good], at[good]
+            token = table.column("token")[0].as_py()
+            known = [{t for t in x if t < token} for x in table.column("known").to_pylist()]
+            here = np.array([known[i].isdisjoint(known[j]) for i, j in zip(q.tolist(), at.tolist(), strict=True)], bool)
+            u, v = np.maximum(cls[q], cls[at])[here], np.minimum(cls[q], cls[at])[here]
         return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return rows.groupBy("token", "a", "b").applyInArrow(compare, "u bigint, v bigint").distinct()
