@@ -53,8 +53,10 @@ class Items:
         """Leaves each item its rare seeds."""
         df = np.array([frequency.get(int(s), 0) for s in self.seed.view(np.int64)], np.int64)
         limit = np.zeros(len(self.ids))
-        for i in np.unique(self.item):
-            limit[i] = COMMON * max(1.0, np.percentile(df[self.item == i], 25))
+        by_item = np.argsort(self.item, kind="stable")
+        at = np.searchsorted(self.item[by_item], np.arange(len(self.ids) + 1))
+        for i in np.flatnonzero(np.diff(at)):
+            limit[i] = COMMON * max(1.0, np.percentile(df[by_item[at[i]:at[i + 1]]], 25))
         self._sort(np.flatnonzero(df <= limit[self.item]))
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
