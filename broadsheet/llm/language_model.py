@@ -5,34 +5,32 @@ an n-gram seen 2^q to 2^(q+1) - 1 times is entered with each of the levels 1 to
 read back by asking for level 1, 2, ... until one is missing, so errors can only raise it, and rarely by more than one
 level. Probabilities are those of pairs, interpolated with smoothed ones of single tokens.
 
-Counting is exact and covers all training texts: blocks of documents send the counts of their distinct n-grams to
-buckets of keys. Each bucket makes its own segment of the filter; the segments, end to end, are the filter (at most
-``MAX_BITS`` bits, whatever the input), which is broadcast. The exact counts of single tokens go back to the blocks
-that asked, for the unigram score that is reported beside the model's.
+Counting is exact and covers all training texts: blocks of documents send their distinct n-grams and the counts of these
+to buckets of keys. Each bucket makes its own segment of the filter, sized by the levels it enters, and answers the
+blocks from it; so the filter grows with the n-grams, no process holds all of it and nothing is broadcast. The exact
+counts of single tokens go back too, for the unigram score that is reported beside the model's.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import exchange as ex
-from broadsheet.llm.common import mix, narrow, parts, release, stage
+from broadsheet.llm.common import mix, parts, stage
 from broadsheet.llm.substring_dedup import split
 from broadsheet.llm.tokens import SPACE, words
 
-#: Bound on the filter that is broadcast: 32 MB. Below it there is a quarter of a bit per byte of input text or more.
-MAX_BITS = 1 << 28
+#: Bits of a segment for each level entered: with three probes, one in 200 keys that are not there is found.
+BITS_PER_LEVEL = 16
 PROBES = 3
 SMOOTHING = 0.1
 PAIR_SHARE = 0.6
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A275)
 SHORT = np.uint64((1 << 48) - 1)
-UNIGRAMS, PAIRS, SEGMENT, TOTALS = 0, 1, 2, 3
+COUNTS, TOTALS = 0, 1
 SCHEMA = ("doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
@@ -73,35 +71,47 @@ def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, np.bincount(inverse, weight, len(distinct)).astype(np.int64), inverse
 
 
+def n_levels(counts: np.ndarray) -> np.ndarray:
+    """How many levels a count is entered with."""
+    return np.maximum(np.frexp(counts.astype(np.float64))[1] - 1, 0)
+
+
 class Filter:
-    """Segments of equal size; a key's segment is that of its bucket, so each bucket fills its own. Within it, places
-    depend on the key's lower 48 bits, which is what travels of a pair."""
+    """Segments of equal size; a key's segment is that of its bucket. A bucket's own filter is one segment. Places depend
+    on the key's lower 48 bits, which is what travels of a pair."""
 
     def __init__(self, bits: bytes | None, buckets: int, segment: int):
         self.buckets, self.size = buckets, segment
         self.bits = np.frombuffer(bits, np.uint8) if bits is not None else np.zeros(segment // 8, np.uint8)
+        self.top = 63 if bits is not None else 0  # no level above it has been entered
+
+    @classmethod
+    def of(cls, counts: list[np.ndarray]) -> Filter:
+        """An empty filter of one segment with room for n-grams that occur so often."""
+        return cls(None, 1, 64 + 8 * (int(sum(n_levels(c).sum() for c in counts)) * BITS_PER_LEVEL // 8))
 
-    def places(self, keys: np.ndarray, level: int, whole: bool) -> np.ndarray:
+    def places(self, keys: np.ndarray, level: int) -> np.ndarray:
         a = mix(keys & SHORT, np.full(len(keys), 2 * level + 1, np.uint64))
         b = mix(a, np.full(len(keys), 0xB10C, np.uint64)) | np.uint64(1)
         at = (a + np.arange(PROBES, dtype=np.uint64)[:, None] * b) % np.uint64(self.size)
-        return at + ((keys >> np.uint64(40)) % np.uint64(self.buckets) * np.uint64(self.size)) if whole else at
+        return at + (keys >> np.uint64(40)) % np.uint64(self.buckets) * np.uint64(self.size)
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Enters keys of one bucket into its segment."""
+        """Enters keys with their counts."""
         level, left = 1, counts >= 2
         while left.any():
-            at = self.places(keys[left], level, False).ravel()
+            at = self.places(keys[left], level).ravel()
             np.bitwise_or.at(self.bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            self.top = max(self.top, level)
             level += 1
             left = counts >= 1 << level
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by asking for one level after the other."""
+        """The level of each key, by asking for one level after the other, up to the largest entered."""
         out = np.zeros(len(keys), np.int64)
         left, level = np.arange(len(keys)), 1
-        while len(left):
-            at = self.places(keys[left], level, True)
+        while len(left) and level <= self.top:
+            at = self.places(keys[left], level)
             found = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
             left = left[found]
             out[left] = level
@@ -114,7 +124,30 @@ def expected(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * np.exp2(levels) - 0.5, 0.5)
 
 
-def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def both_split(tokens: np.ndarray, pairs: np.ndarray, buckets: int):
+    """(bucket, indices of tokens, indices of pairs) for each bucket that has either."""
+    one, two, none = dict(split(tokens, buckets)), dict(split(pairs, buckets)), np.empty(0, np.int64)
+    for b in sorted({*one, *two}):
+        yield b, one.get(b, none), two.get(b, none)
+
+
+def question(tokens: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> bytes:
+    """Distinct tokens and pairs of a block and how often its training texts hold each."""
+    return (np.array([len(tokens), len(pairs)], np.uint64).tobytes() + tokens.tobytes() + pairs.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            + pack(counts) + pack(pair_counts))
+
+
+def read_question(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(body, np.uint64, 2))
+    at = 16 + 8 * n
+    pairs = np.zeros((m, 8), np.uint8)
+    pairs[:, :6] = np.frombuffer(body, np.uint8, 6 * m, at).reshape(-1, 6)
+    at += 6 * m
+    end = at + 1 + body[at] * n
+    return np.frombuffer(body, np.uint64, n, 16), unpack(body[at:end]), pairs.view(np.uint64).ravel(), unpack(body[end:])
+
+
+def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens (words and the end), n_known (tokens that training texts
     have), train_tokens (all training tokens), base_score (log10 of the smoothed unigram probability, from exact counts)
     and score (the filter model's log10 probability).
@@ -125,75 +158,53 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     n = parts(spark)
     buckets = n
-    size = narrow(docs, id_col, text_col).agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
-    bits = min(max_bits, max(1 << 16, 1 << math.ceil(math.log2(max(1, size / 4)))))
-    segment = -(-bits // buckets // 8) * 8
     blocks = ex.blocks_of(docs, id_col, text_col, learn=F.coalesce(train, F.lit(False)))
 
     def ask(block: ex.Block) -> list[tuple]:
         t = Tokens(block)
         learn = np.repeat(block.extra("learn"), t.n)
-        out = []
-        keys, counts, _ = counted(t.hash, learn)
-        for b, part in split(keys, buckets):
-            out.append(ex.message(block.number, b, UNIGRAMS, np.uint64(len(part)).tobytes() + keys[part].tobytes() + pack(counts[part])))
-        keys, counts = np.unique(t.pair[learn], return_counts=True)
-        for b, part in split(keys, buckets):
-            out.append(ex.message(block.number, b, PAIRS, np.uint64(len(part)).tobytes() + keys[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                                  + pack(counts[part])))
-        return out
+        tokens, pairs = (counted(x, learn)[:2] for x in (t.hash, t.pair))
+        return [ex.message(block.number, b, COUNTS, question(*(x[part] for x in tokens), *(x[other] for x in pairs)))
+                for b, part, other in both_split(tokens[0], pairs[0], buckets)]
 
     def answer(rows: list[tuple]) -> list[tuple]:
         bucket = rows[0][1]
-        tokens = [r for r in rows if r[2] == UNIGRAMS]
-        pairs = [r for r in rows if r[2] == PAIRS]
-        made = Filter(None, buckets, segment)
-        out = []
-        total = distinct = 0
-        if tokens:
-            sizes = [int(np.frombuffer(r[3], np.uint64, 1)[0]) for r in tokens]
-            keys = np.concatenate([np.frombuffer(r[3], np.uint64, k, 8) for r, k in zip(tokens, sizes, strict=True)])
-            counts = np.concatenate([unpack(r[3][8 + 8 * k:]) for r, k in zip(tokens, sizes, strict=True)])
-            one, sums, inverse = counted(keys, counts)
-            total, distinct = int(sums.sum()), int((sums > 0).sum())
-            made.add(one, sums)
-            out += [ex.message(r[0], bucket, UNIGRAMS, pack(c)) for r, c in zip(tokens, np.split(sums[inverse], np.cumsum(sizes)[:-1]), strict=True)]
-        if pairs:
-            sizes = [int(np.frombuffer(r[3], np.uint64, 1)[0]) for r in pairs]
-            keys = np.zeros((sum(sizes), 8), np.uint8)
-            keys[:, :6] = np.concatenate([np.frombuffer(r[3], np.uint8, 6 * k, 8) for r, k in zip(pairs, sizes, strict=True)]).reshape(-1, 6)
-            counts = np.concatenate([unpack(r[3][8 + 6 * k:]) for r, k in zip(pairs, sizes, strict=True)])
-            one, sums, _ = counted(keys.view(np.uint64).ravel(), counts)
-            made.add(one, sums)
-        out.append(ex.message(-1, bucket, SEGMENT, made.bits.tobytes()))
-        out.append(ex.message(-1, bucket, TOTALS, np.array([total, distinct], np.int64).tobytes()))
+        asked = [read_question(r[3]) for r in rows]
+        (keys, counts, inverse), (pairs, pair_counts, pair_inverse) = (
+            counted(np.concatenate([a[i] for a in asked]), np.concatenate([a[i + 1] for a in asked])) for i in (0, 2))
+        made = Filter.of([counts, pair_counts])
+        made.add(keys, counts)
+        made.add(pairs, pair_counts)
+        exact, single, both = counts[inverse], made.levels(keys).astype(np.int8)[inverse], made.levels(pairs).astype(np.int8)[pair_inverse]
+        out, at, pair_at = [], 0, 0
+        for r, a in zip(rows, asked, strict=True):
+            k, m = len(a[0]), len(a[2])
+            out.append(ex.message(r[0], bucket, COUNTS, single[at:at + k].tobytes() + both[pair_at:pair_at + m].tobytes() + pack(exact[at:at + k])))
+            at, pair_at = at + k, pair_at + m
+        out.append(ex.message(-1, bucket, TOTALS, np.array([counts.sum(), (counts > 0).sum()], np.int64).tobytes()))
         return out
 
     replies = stage(ex.answer(ex.ask(blocks, ask), answer), "counts")
-    release(spark)
     totals = [np.frombuffer(r["body"], np.int64) for r in replies.where(F.col("kind") == TOTALS).select("body").collect()]
     all_tokens, all_distinct = (int(sum(t[i] for t in totals)) for i in (0, 1))
-    filled = bytearray(buckets * segment // 8)  # at most max_bits and a little
-    for r in replies.where(F.col("kind") == SEGMENT).select("bucket", "body").toLocalIterator():
-        filled[r["bucket"] * segment // 8:(r["bucket"] + 1) * segment // 8] = r["body"]
-    sent = spark.sparkContext.broadcast(bytes(filled))
     floor = all_tokens + SMOOTHING * (all_distinct + 1)
 
     def score(block: ex.Block, answers: list[tuple]) -> pa.Table:
         t = Tokens(block)
         n_docs = len(block.ids)
         keys, inverse = np.unique(t.hash, return_inverse=True)
-        exact = np.zeros(len(keys), np.int64)
+        pairs, where = np.unique(t.pair, return_inverse=True)
+        exact, levels, pair_levels = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(pairs), np.int64)
         found = {r[1]: r[3] for r in answers}
-        for b, part in split(keys, buckets):
-            exact[part] = unpack(found[b])
-        known, table = exact[inverse], Filter(sent.value, buckets, segment)
+        for b, part, other in both_split(keys, pairs, buckets):
+            k, m = len(part), len(other)
+            levels[part], pair_levels[other] = np.frombuffer(found[b], np.int8, k), np.frombuffer(found[b], np.int8, m, k)
+            exact[part] = unpack(found[b][k + m:])
+        known = exact[inverse]
         base = np.bincount(t.doc, np.log10((exact + SMOOTHING) / floor)[inverse], n_docs)
-        single = expected(table.levels(keys))
-        starts = expected(table.levels(np.array([END])))[0]  # as many texts begin as end
-        pairs, where = np.unique(t.pair, return_inverse=True)
-        both = table.levels(pairs)
-        both = np.where(both > 0, expected(both), 0.0)[where]
+        single = expected(levels)
+        starts = single[np.searchsorted(keys, END)]  # as many texts begin as end
+        both = np.where(pair_levels > 0, expected(pair_levels), 0.0)[where]
         context = np.empty(len(t.hash))
         context[1:] = single[inverse][:-1]
         context[t.before == START] = starts
@@ -201,7 +212,7 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         return pa.table([block.doc_id, pa.array(t.n.astype(np.int64)), pa.array(np.bincount(t.doc, known > 0, n_docs).astype(np.int64)),
                          pa.array(np.full(n_docs, all_tokens, np.int64)), pa.array(base), pa.array(np.bincount(t.doc, np.log10(p), n_docs))], names=names())
 
-    own = replies.where(F.col("kind") == UNIGRAMS)
+    own = replies.where(F.col("kind") == COUNTS)
     return ex.finish(blocks, own, score, SCHEMA, lambda: pa.table([pa.array([], f.type) for f in ARROW], names=names()))
 
 

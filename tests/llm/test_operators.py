@@ -268,6 +268,20 @@ def test_filter_never_reads_a_count_too_low():
     assert (read.levels(rng.integers(0, 2**63, 5000).astype(np.uint64)) == 0).mean() > 0.95
 
 
+def test_filter_grows_with_what_it_holds():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1000, 200_000):
+        keys, counts = np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), rng.integers(0, 40, n)
+        made = language_model.Filter.of([counts[:n // 2], counts[n // 2:]])
+        made.add(keys, counts)
+        assert (made.levels(keys) >= np.floor(np.log2(np.maximum(counts, 1)))).all()
+        assert (made.levels(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.02
+    full = language_model.Filter.of([np.array([5])])
+    full.add(np.array([7], np.uint64), np.array([5]))
+    full.bits[:] = 255  # every probe succeeds: reading ends at the largest level entered
+    assert (full.levels(keys[:9]) == 2).all()
+
+
 # --- 8 exact duplicates ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("keep", ["min", "max"])
