@@ -1,9 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The filter holds, for each token and each pair of neighbours of the training texts, its count on a logarithmic scale:
-an n-gram seen 2^q to 2^(q+1) - 1 times is entered with each of the levels 1 to q (one seen once with none). A count is
-read back by asking for level 1, 2, ... until one is missing, so errors can only raise it, and rarely by more than one
-level. Probabilities are those of pairs, interpolated with smoothed ones of single tokens.
+an n-gram seen 2^q to 2^(q+1) - 1 times is entered with each of the levels 0 to q, so one seen once has a level of its
+own. A count is read back by asking for level 0, 1, ... until one is missing, so errors can only raise it, and rarely by
+more than one level. Probabilities are those of pairs, interpolated with smoothed ones of single tokens.
 
 Counting is exact and covers all training texts: blocks of documents send their distinct n-grams and the counts of these
 to buckets of keys. Each bucket makes its own segment of the filter, sized by the levels it enters, and answers the
@@ -73,7 +73,7 @@ def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def n_levels(counts: np.ndarray) -> np.ndarray:
     """How many levels a count is entered with."""
-    return np.maximum(np.frexp(counts.astype(np.float64))[1] - 1, 0)
+    return np.frexp(counts.astype(np.float64))[1]
 
 
 class Filter:
@@ -83,7 +83,7 @@ class Filter:
     def __init__(self, bits: bytes | None, buckets: int, segment: int):
         self.buckets, self.size = buckets, segment
         self.bits = np.frombuffer(bits, np.uint8) if bits is not None else np.zeros(segment // 8, np.uint8)
-        self.top = 63 if bits is not None else 0  # no level above it has been entered
+        self.top = 62 if bits is not None else -1  # no level above it has been entered
 
     @classmethod
     def of(cls, counts: list[np.ndarray]) -> Filter:
@@ -98,7 +98,7 @@ class Filter:
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Enters keys with their counts."""
-        level, left = 1, counts >= 2
+        level, left = 0, counts >= 1
         while left.any():
             at = self.places(keys[left], level).ravel()
             np.bitwise_or.at(self.bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
@@ -106,10 +106,10 @@ class Filter:
             level += 1
             left = counts >= 1 << level
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by asking for one level after the other, up to the largest entered."""
-        out = np.zeros(len(keys), np.int64)
-        left, level = np.arange(len(keys)), 1
+    def read(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key, -1 for one never seen, by asking for one level after the other up to the largest entered."""
+        out = np.full(len(keys), -1)
+        left, level = np.arange(len(keys)), 0
         while len(left) and level <= self.top:
             at = self.places(keys[left], level)
             found = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
@@ -118,10 +118,14 @@ class Filter:
             level += 1
         return out
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key, where never seen and seen once are alike."""
+        return np.maximum(self.read(keys), 0)
+
 
 def expected(levels: np.ndarray) -> np.ndarray:
-    """The count that stands for a level: the middle of its range; half a time for level 0."""
-    return np.where(levels > 0, 1.5 * np.exp2(levels) - 0.5, 0.5)
+    """The count that stands for a level: the middle of its range; 0 for one never seen."""
+    return np.where(levels >= 0, 1.5 * np.exp2(levels) - 0.5, 0.0)
 
 
 def both_split(tokens: np.ndarray, pairs: np.ndarray, buckets: int):
@@ -175,7 +179,7 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         made = Filter.of([counts, pair_counts])
         made.add(keys, counts)
         made.add(pairs, pair_counts)
-        exact, single, both = counts[inverse], made.levels(keys).astype(np.int8)[inverse], made.levels(pairs).astype(np.int8)[pair_inverse]
+        exact, single, both = counts[inverse], made.read(keys).astype(np.int8)[inverse], made.read(pairs).astype(np.int8)[pair_inverse]
         out, at, pair_at = [], 0, 0
         for r, a in zip(rows, asked, strict=True):
             k, m = len(a[0]), len(a[2])
@@ -204,7 +208,7 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         base = np.bincount(t.doc, np.log10((exact + SMOOTHING) / floor)[inverse], n_docs)
         single = expected(levels)
         starts = single[np.searchsorted(keys, END)]  # as many texts begin as end
-        both = np.where(pair_levels > 0, expected(pair_levels), 0.0)[where]
+        both = expected(pair_levels)[where]
         context = np.empty(len(t.hash))
         context[1:] = single[inverse][:-1]
         context[t.before == START] = starts

@@ -282,6 +282,18 @@ def test_filter_grows_with_what_it_holds():
     assert (full.levels(keys[:9]) == 2).all()
 
 
+def test_a_pair_seen_once_is_told_from_one_never_seen(spark):
+    rows = [(0, "alpha beta gamma delta"), (2, "one two three four"), (1, "alpha beta"), (3, "beta alpha"), (5, "alpha unheard")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in language_model.fit_score(docs, F.col("doc_id") % 2 == 0).collect()}
+    # the same tokens; only (1) has a pair that the training texts hold besides the first
+    assert got[1]["base_score"] == pytest.approx(got[3]["base_score"]) and got[1]["score"] > got[3]["score"] + 0.5
+    keys, counts = np.arange(1, 5, dtype=np.uint64), np.array([1, 0, 3, 4])
+    made = language_model.Filter(None, 1, 1 << 18)
+    made.add(keys, counts)
+    assert language_model.expected(made.read(keys)).tolist() == [1.0, 0.0, 2.5, 5.5]
+
+
 # --- 8 exact duplicates ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("keep", ["min", "max"])
