@@ -1,4 +1,5 @@
-"""The ordered license signatures: hand-written patterns over normalised words, each behind a keyword.
+"""The ordered license signatures: hand-written patterns over normalised words, each behind a keyword
+that every way to match it holds as a word.
 
 Patterns see a text as lower-case words (digits, letters) with one space before and after each, so ``2.0`` reads ``2 0``.
 A rule's level says how much it tells, and goes before its place in the list: 0 an identifier or a license's own
@@ -155,13 +156,16 @@ _PLAIN = [
     ("etalab", 1, "ouverte", "licence ouverte"), ("dl-de", 1, "datenlizenz", "datenlizenz deutschland"),
     ("proprietary", 1, "confidential", "proprietary and confidential"), ("proprietary", 1, "confidential", "confidential and proprietary"),
     ("proprietary", 1, "unauthorized", "unauthorized (?:copying|reproduction|use|distribution)"),
-    ("proprietary", 2, "eula", "(?:end user licen[sc]e agreement|eula)"), ("proprietary", 2, "prohibited", "(?:is )?strictly prohibited"),
-    ("proprietary", 2, "consent", "without (?:the )?(?:prior )?(?:express )?written (?:consent|permission)"),
+    ("proprietary", 2, "license", "end user license agreement"), ("proprietary", 2, "licence", "end user licence agreement"), ("proprietary", 2, "eula", "eula"),
+    ("proprietary", 2, "prohibited", "(?:is )?strictly prohibited"),
+    ("proprietary", 2, "consent", "without (?:the )?(?:prior )?(?:express )?written consent"),
+    ("proprietary", 2, "permission", "without (?:the )?(?:prior )?(?:express )?written permission"),
     ("reserved", 2, "reserved", "all rights reserved"), ("reserved", 3, "reserved", "(?:some|no) rights reserved"), ("reserved", 2, "rechte", "alle rechte vorbehalten"),
     ("reserved", 2, "droits", "tous droits r[eé]serv[eé]s"), ("reserved", 2, "derechos", "todos los derechos reservados"),
     ("copyright", 3, "copyright", "copyright(?: c)?(?: (?:19|20)[0-9][0-9])?"), ("copyright", 3, "copyrighted", "copyrighted"),
-    ("license", 3, "license", "licen[sc]e agreement"), ("license", 3, "licensed", "licen[sc]ed under"), ("license", 3, "license", "licen[sc]e terms"),
-    ("license", 3, "license", "(?:this|the) licen[sc]e"), ("license", 3, "licence", "(?:this|the) licence"),
+    ("license", 3, "license", "license agreement"), ("license", 3, "licence", "licence agreement"), ("license", 3, "licensed", "licensed under"),
+    ("license", 3, "licenced", "licenced under"), ("license", 3, "license", "license terms"), ("license", 3, "licence", "licence terms"),
+    ("license", 3, "license", "(?:this|the) license"), ("license", 3, "licence", "(?:this|the) licence"),
 ]
 #: Identifiers as machines write them (https://spdx.org/licenses): label; dashes and dots are spaces once normalised.
 _IDENTIFIERS = [

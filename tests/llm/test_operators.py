@@ -136,6 +136,42 @@ def test_every_license_rule_has_its_keyword_in_reach():
         assert re.search(r"(?<![a-z0-9])" + r.keyword, r.pattern.replace("[sc]", "s")) or re.search(r.keyword, r.pattern.replace("[sc]", "c").replace("(?:", "")), r
 
 
+def ways(pattern):
+    """Every text that a rule's pattern matches."""
+    def of(tokens):
+        out = [""]
+        for kind, value in tokens:
+            kind = str(kind)
+            if kind == "LITERAL":
+                more = [chr(value)]
+            elif kind == "IN":
+                more = [chr(c) for k, v in value for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))][:2]
+            elif kind == "BRANCH":
+                more = [x for branch in value[1] for x in of(branch)]
+            elif kind == "SUBPATTERN":
+                more = of(value[3])
+            else:
+                assert kind == "MAX_REPEAT" and value[:2] == (0, 1), kind
+                more = ["", *of(value[2])]
+            out = [a + b for a in out for b in more]
+        return out
+    return of(re._parser.parse(pattern))
+
+
+def test_every_way_to_match_a_license_rule_holds_its_keyword():
+    for r in license_rules.build():
+        for text in ways(r.pattern):
+            assert re.fullmatch(r.pattern, text) and r.keyword in text.split(), (r, text)
+
+
+def test_wordings_without_the_rule_s_first_keyword(spark):
+    want = {"An end user licence agreement applies": "license,proprietary", "End user license agreement": "proprietary", "not without prior written permission": "proprietary",
+            "a licence agreement": "license", "the licence terms": "license", "licenced under something": "license", "licensed under something": "license"}
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(want)), "doc_id bigint, text string")).collect()}
+    for i, (text, labels) in enumerate(want.items()):
+        assert set(got[i]["labels"].split(",")) & set(labels.split(",")) and got[i]["score"] > 0, (text, got[i])
+
+
 # --- 3 benchmark ----------------------------------------------------------------------------------------
 
 def plain_alignment(a, b):
