@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-A test item's n-grams are its seeds. One pass over the corpus counts in how many texts each occurs; seeds that are
-common by the item's own measure are set aside, as they say nothing. A second pass looks each text's n-grams up among
-the rare seeds; where some are found, the item is aligned with the words around them, so that edited and paraphrased
-copies score by the words they kept. Items whose size is not known to be small are taken in blocks of bounded size.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+A test item's n-grams are its seeds, however common. One pass over the corpus looks each text's n-grams up among them.
+Where some are found, the item is a candidate; it is aligned with the words around them, so that edited and paraphrased
+copies score by the words they kept. No alignment scores more than the item has words in common with what it is aligned
+with, so an item that has too few in common with the text, or with the words around the seeds, is left without one:
+that is what keeps common seeds cheap, and it drops no match. Items whose size is not known to be small are taken in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,8 +19,6 @@ from broadsheet.llm.common import filter_rows, map_batches, narrow, window_hashe
 from broadsheet.llm.tokens import SYMBOL, Words, within, words
 
 SEED = 4
-#: A seed is rare up to this many times the document frequency of its item's lower-quartile seed (at least 1).
-COMMON = 20
 #: Share of the greatest possible score from which on a text counts as holding an item.
 THRESHOLD = 0.5
 #: Shorter items hold too little to be told from chance and match nothing.
@@ -30,12 +30,15 @@ SCHEMA = "doc_id bigint, item_id bigint, score double, first_word bigint, last_w
 
 
 class Items:
-    """Word hashes of the items of one block, and their seeds: ``seed`` (sorted), ``item`` and ``at`` of each."""
+    """Word hashes of the items of one block, and their seeds: ``seed`` (sorted), ``item`` and ``at`` of each.
+    ``vocabulary`` holds the distinct words, ``word`` (from ``first``) the place in it of each item's."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         w = words(pa.array(texts, pa.string()), SYMBOL, lower=True)
         self.ids = ids
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        self.first = w.first
+        self.vocabulary, self.word = np.unique(w.hash, return_inverse=True)
         seeds, item, at = [], [], []
         for i, x in enumerate(self.words):
             if len(x) >= MIN_WORDS:
@@ -44,20 +47,10 @@ class Items:
                 item.append(np.full(len(g), i))
                 at.append(np.arange(len(g)))
         self.seed, self.item, self.at = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((seeds, np.uint64), (item, int), (at, int)))
-        self._sort(np.argsort(self.seed, kind="stable"))
-
-    def _sort(self, order: np.ndarray) -> None:
+        order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
-
-    def only_rare(self, frequency: dict[int, int]) -> None:
-        """Leaves each item its rare seeds."""
-        df = np.array([frequency.get(int(s), 0) for s in self.seed.view(np.int64)], np.int64)
-        limit = np.zeros(len(self.ids))
-        by_item = np.argsort(self.item, kind="stable")
-        at = np.searchsorted(self.item[by_item], np.arange(len(self.ids) + 1))
-        for i in np.flatnonzero(np.diff(at)):
-            limit[i] = COMMON * max(1.0, np.percentile(df[by_item[at[i]:at[i + 1]]], 25))
-        self._sort(np.flatnonzero(df <= limit[self.item]))
+        self.by_item = np.argsort(self.item, kind="stable")  # within an item by seed
+        self.own = np.searchsorted(self.item[self.by_item], np.arange(len(ids) + 1))
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Places in the texts whose n-gram is a seed, and the first such seed."""
@@ -95,34 +88,55 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers from each ``low`` to below its ``high``, end to end."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def candidates(items: Items, seeds: np.ndarray, text: np.ndarray, threshold: float) -> np.ndarray:
+    """Items with one of ``seeds`` of whose words enough occur in the text for a match."""
+    seeds = np.unique(seeds)
+    some = np.unique(items.item[ranges(np.searchsorted(items.seed, seeds), np.searchsorted(items.seed, seeds, side="right"))])
+    there = np.zeros(len(items.vocabulary), bool)
+    at = np.minimum(np.searchsorted(items.vocabulary, text), len(there) - 1)
+    there[at[items.vocabulary[at] == text]] = True
+    size = items.first[some + 1] - items.first[some]
+    shared = np.add.reduceat(there[items.word[ranges(items.first[some], items.first[some + 1])]].astype(np.int64), np.cumsum(size) - size)
+    return some[shared >= threshold * size]
+
+
 def matches(items: Items, w: Words, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first and last word) of every text and item that align well; the best place of each."""
     place, low = items.hits(w)
-    found: dict[tuple[int, int], list[int]] = {}
-    for p, s in zip(place.tolist(), low.tolist(), strict=True):
-        seed = items.seed[s]
-        while s < len(items.seed) and items.seed[s] == seed:
-            found.setdefault((int(w.doc[p]), int(items.item[s])), []).append(p - int(items.at[s]))
-            s += 1
+    if not len(place):
+        return []
+    found = items.seed[low]
+    docs, at = np.unique(w.doc[place], return_index=True)
     out = []
-    for (doc, item), begins in found.items():
-        one, best = items.words[item], None
-        size, begins = len(one), sorted(begins)
-        start = 0
-        for k in range(1, len(begins) + 1):
-            if k == len(begins) or begins[k] - begins[k - 1] > size:
-                low_, high = max(w.first[doc], begins[start] - size // 2), min(w.first[doc + 1], begins[k - 1] + size + size // 2)
-                score, a, b = align(one, w.hash[low_:high])
-                if best is None or score > best[0]:
-                    best = (score, a + low_ - w.first[doc], b + low_ - w.first[doc])
-                start = k
-        if best[0] >= threshold * MATCH * size:
-            out.append((doc, item, best[0] / (MATCH * size), int(best[1]), int(best[2])))
+    for doc, a, b in zip(docs.tolist(), at.tolist(), [*at[1:].tolist(), len(place)], strict=True):
+        for item in candidates(items, found[a:b], w.hash[w.first[doc]:w.first[doc + 1]], threshold).tolist():
+            one, best = items.words[item], (0, 0, -1)
+            own = items.by_item[items.own[item]:items.own[item + 1]]
+            left, right = (np.searchsorted(items.seed[own], found[a:b], side=side) for side in ("left", "right"))
+            begins = np.unique(np.repeat(place[a:b], right - left) - items.at[own[ranges(left, right)]])
+            size = len(one)
+            ends = np.flatnonzero(np.append(np.diff(begins) > size, True))
+            for start, end in zip([0, *(ends[:-1] + 1)], ends, strict=True):
+                low_, high = max(w.first[doc], begins[start] - size // 2), min(w.first[doc + 1], begins[end] + size + size // 2)
+                near = w.hash[low_:high]
+                if min(np.isin(one, near).sum(), np.isin(near, one).sum()) < threshold * size:
+                    continue
+                score, x, y = align(one, near)
+                if score > best[0]:
+                    best = (score, x + low_ - w.first[doc], y + low_ - w.first[doc])
+            if best[0] and best[0] >= threshold * MATCH * size:
+                out.append((doc, item, best[0] / (MATCH * size), int(best[1]), int(best[2])))
     return out
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str):
-    """The items in blocks of about BLOCK_BYTES, each with its rare seeds."""
+def item_blocks(benchmark: DataFrame, item_col: str, item_text: str):
+    """The items in blocks of about BLOCK_BYTES."""
     items = benchmark.select(benchmark[item_col].cast("bigint").alias("item_id"), benchmark[item_text].cast("string").alias("item_text")).where("item_text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("item_text").cast("bigint")), F.lit(0))).first()[0]
     n = size // BLOCK_BYTES + 1
@@ -131,34 +145,9 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text:
         rows = items.where(F.col("part") == part).select("item_id", "item_text").collect()
         block = Items([r[0] for r in rows], [r[1] for r in rows])
         if len(block.seed):
-            block.only_rare(seed_frequency(docs, block))
             yield block
 
 
-def seed_frequency(docs: DataFrame, block: Items) -> dict[int, int]:
-    """In how many texts each seed occurs; as many rows as the block has seeds at most."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
-    def build():
-        total = np.zeros(len(sent.value.seed), np.int64)
-
-        def work(batch):
-            w = words(batch.column(0), SYMBOL, lower=True)
-            place, low = sent.value.hits(w)
-            one = np.unique(np.stack([w.doc[place], low]), axis=1)[1]
-            np.add.at(total, one, 1)
-
-        def finish():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.seed[some].view(np.int64)), pa.array(total[some])], names=["seed", "n"])
-
-        work.finish = finish
-        return work
-
-    counts = map_batches(docs.select("text"), build, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in counts.collect()}
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs`` and test item that it holds a copy of: doc_id, item_id, score (alignment score over
@@ -169,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     spark, rows = docs.sparkSession, narrow(docs, id_col, text_col)
     out = None
-    for block in item_blocks(rows, benchmark, item_col, item_text):
+    for block in item_blocks(benchmark, item_col, item_text):
         sent = spark.sparkContext.broadcast(block)
 
         def build(sent=sent):
@@ -191,8 +180,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the rows that hold a copy of a test item: a narrow pass for each block of items."""
     out = docs
-    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    for block in item_blocks(texts, benchmark, item_col, item_text):
+    for block in item_blocks(benchmark, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def build(sent=sent):

@@ -215,6 +215,20 @@ def test_edited_copies_are_found_and_others_left(spark):
     assert {r["doc_id"] for r in decontamination.drop_leaking(docs, bench).collect()} == {i for i in range(300) if i % 3}
 
 
+def test_copies_in_many_rows_are_found_as_in_few(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    items = [" ".join(rng.choice(vocabulary, 40)) for _ in range(2)]
+    edited, begun = items[0].split(), items[1].split()[:28]
+    for p in (6, 19, 31):
+        edited[p] = "edited"
+    copies, rare = {0: " ".join(edited), 1: " ".join(begun)}, items[1].split()[28:40]
+    rows = [(i, " ".join(rng.choice(vocabulary, 60)) + " " + copies[i % 2]) for i in range(120)]
+    rows += [(200, " ".join(rare))]  # the rest of the second item occurs once, so its other seeds are common beside
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i % 2) for i in range(120)}
+
+
 # --- 4, 6 learned models --------------------------------------------------------------------------------
 
 def test_quality_on_held_out_texts(spark):
