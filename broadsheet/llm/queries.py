@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontamination, exact_dedup, jaccard_join, language_id, language_model, license_scan, line_dedup, quality, sentencepiece, substring_dedup
+from broadsheet.llm import (
+    decontamination, divergence, exact_dedup, jaccard_join, language_id, language_model, license_scan, line_dedup, quality, resampling, sentencepiece,
+    substring_dedup, token_counts)
 from broadsheet.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +128,50 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sentencepiece")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.digests(sentencepiece.encode_decode(documents(spark, sf_dir), tokenizer_path()))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.within_budget(token_counts.prefix_table(documents(spark, sf_dir), tokenizer_path()), 4096)
+
+
+@query("op12_source_divergence", r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term, rn
+           FROM (SELECT *, row_number() OVER () AS rn FROM documents)),
+     k AS (SELECT lang, term, count(*) AS ln FROM w GROUP BY ALL HAVING count(DISTINCT rn) >= 3),
+     c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+     v AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM k GROUP BY lang),
+     t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+     g AS (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v, coalesce(lt, 0)::HUGEINT AS lt
+           FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) LEFT JOIN t USING (lang, source) LEFT JOIN v USING (lang)),
+     p AS (SELECT lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p,
+                  1 + (1000000000::HUGEINT * (k.ln + 1)) // (g.lt + g.v) AS q
+           FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+           UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 200""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+@query("op13_importance_resampling", r"""
+WITH t256 AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+     x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+     b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+     d AS (SELECT word, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM (SELECT unnest(ws) AS word, 0 AS side FROM x UNION ALL SELECT unnest(ws), 1 FROM b) GROUP BY word),
+     h AS (SELECT word, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), 2 * i::INT + 1, 2))::BIGINT)),
+                  lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM d, t256),
+     u AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM h GROUP BY bucket),
+     g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM u) + 10000) / ((s + 1) * ((SELECT sum(t) FROM u) + 10000))))::BIGINT AS gain FROM u),
+     f AS (SELECT word, gain FROM h JOIN g USING (bucket)),
+     w AS (SELECT rn, sum(gain)::BIGINT AS weight FROM (SELECT rn, unnest(ws) AS word FROM (SELECT ws, row_number() OVER () AS rn FROM x)) JOIN f USING (word) GROUP BY rn),
+     y AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+                  + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+           FROM (SELECT *, row_number() OVER () AS rn FROM x) LEFT JOIN w USING (rn)),
+     z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 THEN place END AS rank FROM z""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
