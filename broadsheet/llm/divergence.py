@@ -30,7 +30,7 @@ _LETTERS = np.ones(256, bool)
 _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: Texts that a task counts together before it hands their sums on.
 GROUP_BYTES = 8_000_000
-#: Terms of a bucket, about, and pairs evaluated at once.
+#: Rows (source and term) of a bucket, about, and pairs evaluated at once.
 BUCKET_ROWS = 200_000
 PAIRS_AT_ONCE = 1_000_000
 
@@ -210,7 +210,8 @@ def audit(docs: DataFrame, min_df: int = 3, top: int = 200, text_col: str = "tex
     terms = scored.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
-    buckets = max(parts(spark), math.ceil(rows.count() / BUCKET_ROWS))
+    # as many as the rows need, however many partitions there are: each bucket gives a row for each pair of sources
+    buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     shared = scored.select("lang", bucket.alias("bucket"), "term", "g", "p", "p0").groupBy("lang", "bucket").applyInArrow(_shared, _PAIRS)
     block = F.pmod(F.col("g"), F.lit(parts(spark))).cast("int")
