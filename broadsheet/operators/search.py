@@ -1,9 +1,8 @@
 """Embedding and similarity search.
 
 Ranking always follows filtering. A single query keeps the best k rows of every task and merges them
-(Catalyst's TakeOrderedAndProject). A batch of queries scores a whole Arrow batch of corpus vectors
-against all queries in one matrix product and emits only each query's best k, so nothing proportional to
-corpus × queries is ever shuffled.
+(Catalyst's TakeOrderedAndProject). A batch of queries meets the corpus in the cells of a stored index, where one
+matrix product scores a cell's rows against the queries that visit it and only each query's best k leave.
 """
 
 from __future__ import annotations
@@ -12,26 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from broadsheet.functions.text import document_text
-from broadsheet.functions.vectors import check_metric, matrix, scores, similarity_to
+from broadsheet.functions.vectors import similarity_to
 from broadsheet.operators.filters import filter_any, filter_articles
-
-#: Query batches up to this many numbers travel to the tasks as one matrix (8 bytes each).
-BROADCAST_NUMBERS = 1_000_000
-#: Corpus rows per block when queries are too many for that.
-BLOCK_ROWS = 50_000
-#: Scores held at once in a task.
-SLICE_SCORES = 8_000_000
-#: Buckets of the first merge step, so no query's candidates meet in a single task at once.
-MERGE_BUCKETS = 64
+from broadsheet.operators.index import QUESTION_ROWS, VectorIndex, build_index, index_join, probes_for
 
 Encoder = Callable[[pd.Series], np.ndarray]
 
@@ -94,217 +82,64 @@ def search(query_text: str, corpus: DataFrame, k: int, encoder: Encoder | None =
     return knn(embed_text(corpus.sparkSession, query_text, encoder, dim), corpus, k, metric, id)
 
 
-def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id, without sorting everything."""
-    if len(score) > k:
-        floor = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= floor)
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))][:k]
-
-
-def _best_rows(qids, matrix_q, ids, matrix_c, k, metric, masks=None):
-    q, i, s = [], [], []
-    width = max(1, SLICE_SCORES // max(1, len(ids)))
-    for at in range(0, len(qids), width):
-        sim = scores(matrix_c, matrix_q[at:at + width], metric)
-        for column, qid in enumerate(qids[at:at + width]):
-            usable = ~np.isnan(sim[:, column])
-            if masks is not None and masks[at + column] is not None:
-                usable = usable & masks[at + column]
-            ok = np.flatnonzero(usable)
-            best = ok[_top(sim[ok, column], ids[ok], k)]
-            q.append(np.full(len(best), qid))
-            i.append(ids[best])
-            s.append(sim[best, column])
-    if not q:
-        return np.array([], "int64"), np.array([], "int64"), np.array([], "float64")
-    return np.concatenate(q), np.concatenate(i), np.concatenate(s)
-
-
-def _merge(partial: DataFrame, k: int, query_id: str, id: str) -> DataFrame:
-    """Best k per query from per-task bests, in two steps so that no task sees a whole query at once."""
-    order = [F.desc("similarity"), F.col(id)]
-    step = partial.withColumn("_b", F.pmod(F.xxhash64(id), F.lit(MERGE_BUCKETS)))
-    rn = F.row_number()
-    step = step.withColumn("_rn", rn.over(W.partitionBy(query_id, "_b").orderBy(*order))).where(F.col("_rn") <= k)
-    final = step.withColumn("rank", rn.over(W.partitionBy(query_id).orderBy(*order))).where(F.col("rank") <= k)
-    return final.select(query_id, id, "similarity", "rank")
+def _questions(queries: DataFrame, query_id: str, embedding: str, *more: str) -> DataFrame:
+    return queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(embedding).alias("qv"), *more)
 
 
 def knn_join(
-    queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", id: str = "id",
-    embedding: str = "embedding", broadcast_numbers: int = BROADCAST_NUMBERS, block_rows: int = BLOCK_ROWS,
+    queries: DataFrame, corpus: DataFrame | VectorIndex, k: int, metric: str = "cosine", query_id: str = "query_id", id: str = "id",
+    embedding: str = "embedding", question_rows: int = QUESTION_ROWS,
 ) -> DataFrame:
-    """V05. k nearest corpus rows of every query: (query_id, id, similarity, rank).
+    """V05. k nearest corpus rows of every query, exactly: (query_id, id, similarity, rank).
 
-    Query ids and corpus ids are integers. While the query vectors fit ``broadcast_numbers`` numbers they
-    travel as one matrix and the corpus is read once, in place. More queries are spread over a grid: both
-    sides are cut into blocks, each (query block, corpus block) pair meets in its own task, and only each
-    block's best k survive.
+    Query ids and corpus ids are integers. Questions meet the corpus in the cells of its index (see
+    :mod:`broadsheet.operators.index`), in those that can hold one of their k best; an index made before can be
+    given instead of the corpus.
     """
-    check_metric(metric)
-    q = queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(embedding).alias("qv")).where("qv is not null")
-    c = corpus.select(F.col(id).cast("bigint").alias("cid"), F.col(embedding).alias("cv")).where("cv is not null")
-    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("qv")), F.lit(1)).alias("d")).first()
-    schema = "qid bigint, cid bigint, similarity double"
-    if size["n"] * size["d"] <= broadcast_numbers:
-        rows = q.orderBy("qid").collect()
-        qids = np.array([r["qid"] for r in rows], dtype="int64")
-        mq = np.array([r["qv"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        shared = queries.sparkSession.sparkContext.broadcast((qids, mq))
-
-        def run(batches):
-            ids_q, m = shared.value
-            best = None
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                found = _best_rows(ids_q, m, ids, matrix(batch.column(1)), k, metric)
-                best = found if best is None else _keep(best, found, ids_q, k)
-            if best is not None and len(best[0]):
-                yield pa.record_batch([pa.array(x) for x in best], names=["qid", "cid", "similarity"])
-
-        partial = c.mapInArrow(run, schema)
-    else:
-        blocks_q = int(np.ceil(size["n"] * size["d"] / broadcast_numbers))
-        blocks_c = int(np.ceil(max(1, c.count()) / block_rows))
-        left = q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks_q))).withColumn(
-            "bc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks_c - 1).cast("bigint"))))
-        right = c.withColumn("bc", F.pmod(F.xxhash64("cid"), F.lit(blocks_c))).withColumn(
-            "bq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks_q - 1).cast("bigint"))))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"qid": [], "cid": [], "similarity": []}).astype(
-                    {"qid": "int64", "cid": "int64", "similarity": "float64"})
-            found = _best_rows(
-                a["qid"].to_numpy(), np.vstack(a["qv"].to_numpy()).astype(np.float64), b["cid"].to_numpy(),
-                np.vstack(b["cv"].to_numpy()).astype(np.float64), k, metric)
-            return pd.DataFrame(dict(zip(("qid", "cid", "similarity"), found)))
-
-        partial = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(meet, schema)
-    return _merge(partial, k, "qid", "cid").select(
-        F.col("qid").alias(query_id), F.col("cid").alias(id), "similarity", "rank")
-
-
-def _keep(best, found, qids, k):
-    """Best k per query of two candidate sets."""
-    q, i, s = (np.concatenate(pair) for pair in zip(best, found))
-    order = np.lexsort((i, -s, q))
-    q, i, s = q[order], i[order], s[order]
-    starts = np.searchsorted(q, q, side="left")
-    kept = np.arange(len(q)) - starts < k
-    return q[kept], i[kept], s[kept]
-
-
-def _row_masks(filters: list[dict], batch: pa.RecordBatch) -> list:
-    """Per query the rows of a batch its filters admit (None: all). Value lists are indexed once per batch."""
-    n = batch.num_rows
-    index: dict = {}
-    for name in ("parties", "people", "themes"):
-        wanted = {v for f in filters for v in (f.get(name) or ())}
-        if not wanted:
-            continue
-        column = batch.column(name)
-        rows = pa.compute.list_parent_indices(column).to_numpy()
-        values = column.flatten().to_pylist()
-        places: dict = {}
-        for row, value in zip(rows, values):
-            if value in wanted:
-                places.setdefault(value, []).append(row)
-        index[name] = places
-    dates = None
-    if any(f.get("from") or f.get("to") for f in filters):
-        dates = batch.column("date").to_numpy(zero_copy_only=False).astype("datetime64[D]")
-    masks = []
-    for f in filters:
-        mask = None
-        for name in ("parties", "people", "themes"):
-            if f.get(name):
-                hit = np.zeros(n, dtype=bool)
-                for value in f[name]:
-                    hit[index[name].get(value, [])] = True
-                mask = hit if mask is None else mask & hit
-        for bound, test in (("from", np.greater_equal), ("to", np.less_equal)):
-            if f.get(bound):
-                hit = test(dates, np.datetime64(f[bound])) & ~np.isnat(dates)
-                mask = hit if mask is None else mask & hit
-        masks.append(mask)
-    return masks
-
-
-def filtered_knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
-                      broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    index = corpus if isinstance(corpus, VectorIndex) else build_index(corpus, metric, id, embedding)
+    found = index_join(_questions(queries, query_id, embedding), index, k, question_rows=question_rows)
+    return found.select(F.col("qid").alias(query_id), F.col("cid").alias(id), "similarity", "rank")
+
+
+def approx_knn_join(queries: DataFrame, corpus: DataFrame | VectorIndex, k: int, recall: float = 0.95, metric: str = "cosine", query_id: str = "query_id",
+                    id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """V06 for many queries: as :func:`knn_join`, but each query visits only its nearest cells, as many as reach
+    ``recall`` for rows of the index's sample."""
+    index = corpus if isinstance(corpus, VectorIndex) else build_index(corpus, metric, id, embedding)
+    found = index_join(_questions(queries, query_id, embedding), index, k, probes=probes_for(index, k, recall))
+    return found.select(F.col("qid").alias(query_id), F.col("cid").alias(id), "similarity", "rank")
+
+
+def approx_knn(query: list[float], corpus: DataFrame, k: int, id: str = "id", embedding: str = "embedding", recall: float = 0.95,
+               index: VectorIndex | None = None) -> DataFrame:
+    """V06. Approximate nearest rows of one vector, best first; ``similarity`` is the cosine."""
+    one = corpus.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id bigint, embedding array<double>")
+    hits = approx_knn_join(one, index or build_index(corpus, "cosine", id, embedding), k, recall)
+    return corpus.join(F.broadcast(hits.select(F.col("id").alias(id), "similarity")), id).orderBy(F.desc("similarity"), id)
+
+
+def filtered_knn_join(queries: DataFrame, corpus: DataFrame | VectorIndex, k: int, metric: str = "cosine", question_rows: int = QUESTION_ROWS) -> DataFrame:
     """V07 for many questions in one pass over the corpus: each question's own filters, then its k best.
 
     ``queries``: query_id, embedding, filter_parties, filter_people, filter_themes, filter_from, filter_to.
     Returns (query_id, id, similarity, rank, strict): the strict answer of each question and, beside it,
-    the answer without list filters, for :func:`broadsheet.operators.ranking.relax_if_empty`. Questions
-    beyond ``broadcast_numbers`` numbers are taken in several passes.
+    the answer without list filters, for :func:`broadsheet.operators.ranking.relax_if_empty`. An index made by
+    :func:`filter_index` can be given instead of the corpus.
     """
-    check_metric(metric)
-    spark = queries.sparkSession
-    q = queries.where("embedding is not null").select(
-        F.col("query_id").cast("bigint"), "embedding", "filter_parties", "filter_people", "filter_themes",
-        F.col("filter_from").cast("date"), F.col("filter_to").cast("date"))
-    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("d")).first()
-    passes = max(1, int(np.ceil(2 * size["n"] * size["d"] / broadcast_numbers)))
-    c = corpus.where("embedding is not null").select(
-        F.col("id").cast("bigint").alias("cid"), F.col("embedding").alias("cv"), "parties", "people", "themes", "date")
-    out = None
-    for part in range(passes):
-        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == part).orderBy("query_id").collect()
-        ids, vectors, filters = [], [], []
-        for r in rows:
-            dates = {"from": r["filter_from"], "to": r["filter_to"]}
-            lists = {"parties": r["filter_parties"], "people": r["filter_people"], "themes": r["filter_themes"]}
-            ids += [2 * r["query_id"], 2 * r["query_id"] + 1]
-            vectors += [r["embedding"]] * 2
-            filters += [{**lists, **dates}, dates]
-        width = len(vectors[0]) if vectors else 1
-        shared = spark.sparkContext.broadcast(
-            (np.array(ids, dtype="int64"), np.array(vectors, dtype=np.float64).reshape(len(ids), width), filters))
-
-        def run(batches, shared=shared):
-            ids_q, m, per = shared.value
-            best = None
-            for batch in batches:
-                if not batch.num_rows or not len(ids_q):
-                    continue
-                found = _best_rows(ids_q, m, batch.column("cid").to_numpy(zero_copy_only=False),
-                                   matrix(batch.column("cv")), k, metric, _row_masks(per, batch))
-                best = found if best is None else _keep(best, found, ids_q, k)
-            if best is not None and len(best[0]):
-                yield pa.record_batch([pa.array(x) for x in best], names=["qid", "cid", "similarity"])
-
-        found = _merge(c.mapInArrow(run, "qid bigint, cid bigint, similarity double"), k, "qid", "cid")
-        out = found if out is None else out.unionByName(found)
-    return out.select(
-        F.expr("qid div 2").alias("query_id"), F.col("cid").alias("id"), "similarity", "rank",
-        (F.col("qid") % 2 == 0).alias("strict"))
-
-
-def lsh_model(corpus: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 42,
-              embedding: str = "embedding"):
-    """Random-projection hash tables over unit vectors, where Euclidean order is cosine order."""
-    vectors = corpus.where(F.col(embedding).isNotNull()).withColumn("_vec", array_to_vector(F.col(embedding)))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    return lsh.fit(vectors), vectors
-
-
-def approx_knn(query: list[float], corpus: DataFrame, k: int, id: str = "id", embedding: str = "embedding",
-               **lsh) -> DataFrame:
-    """V06. Approximate nearest rows through hash buckets; ``similarity`` is the cosine."""
-    from pyspark.ml.linalg import Vectors
-
-    model, vectors = lsh_model(corpus, embedding=embedding, **lsh)
-    near = model.approxNearestNeighbors(vectors, Vectors.dense([float(x) for x in query]), k, distCol="_d")
-    return (
-        near.withColumn("similarity", F.lit(1.0) - F.col("_d") * F.col("_d") / 2)
-        .drop("_vec", "_hashes", "_d").orderBy(F.desc("similarity"), id)
-    )
+    index = corpus if isinstance(corpus, VectorIndex) else filter_index(corpus, metric)
+    none = F.lit(None).cast("array<string>")
+    q = queries.where("embedding is not null").withColumn("_strict", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+        (F.col("query_id").cast("bigint") * 2 + F.when(F.col("_strict"), 0).otherwise(1)).alias("qid"), F.col("embedding").alias("qv"),
+        *[F.when(F.col("_strict"), F.col(c)).otherwise(none).alias(c) for c in ("filter_parties", "filter_people", "filter_themes")],
+        F.col("filter_from").cast("date").alias("filter_from"), F.col("filter_to").cast("date").alias("filter_to"))
+    found = index_join(q, index, k, question_rows=question_rows)
+    return found.select(F.shiftright("qid", 1).alias("query_id"), F.col("cid").alias("id"), "similarity", "rank",
+                        (F.pmod("qid", F.lit(2)) == 0).alias("strict"))
+
+
+def filter_index(corpus: DataFrame, metric: str = "cosine") -> VectorIndex:
+    """An index of articles that holds what filters test."""
+    return build_index(corpus, metric, keep=("parties", "people", "themes", "date"))
 
 
 def filtered_search(query: list[float], corpus: DataFrame, k: int, metric: str = "cosine", parties=None, people=None,

@@ -12,6 +12,7 @@ from broadsheet.operators.enrich import (
     parse_marked_sections, parse_period_sections, parse_sectioned_summary,
 )
 from broadsheet.operators.filters import filter_any, filter_date_strict
+from broadsheet.operators.index import VectorIndex
 from broadsheet.operators.identity import dedup_by_url, replace_document
 from broadsheet.operators.ranking import (
     intent_filters, pack_context, relax_if_empty, rerank, select_strategy, top_ranked, top_sources,
@@ -23,15 +24,16 @@ from broadsheet.session import bounded_rows, broadcast_if_small, materialize
 
 
 def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 20, now=None, metric: str = "cosine",
-             known_parties=("Interim Government",)) -> DataFrame:
+             known_parties=("Interim Government",), index: VectorIndex | None = None) -> DataFrame:
     """V13. Per question the k best articles: filters from its intent, twice k candidates, without list
     filters when those leave nothing, re-ranked. ``questions``: query_id, embedding and the intent columns.
 
-    Only ids and scores leave the scan; the few chosen articles are joined back to their texts.
+    Only ids and scores leave the index (``index``, or one made of the corpus: see
+    :func:`broadsheet.operators.search.filter_index`); the few chosen articles are joined back to their texts.
     """
     filters = intent_filters(questions, known_parties)
     # staged, so that the corpus is scored once although the next steps read the hits several times
-    found = materialize(filtered_knn_join(filters, corpus, 2 * k, metric), "hits")
+    found = materialize(filtered_knn_join(filters, corpus if index is None else index, 2 * k, metric), "hits")
     hits = relax_if_empty(found.where("strict"), found.where("not strict")).select("query_id", "id", "similarity")
     window = questions.select("query_id", F.col("time_constraint.days").alias("_days"))
     articles = broadcast_if_small(hits).join(corpus.drop("embedding"), "id").join(window, "query_id", "left")

@@ -210,6 +210,7 @@ def extract_pages(pages: DataFrame, rules: dict[str, PageRules] | PageRules, htm
     single = rules if isinstance(rules, PageRules) else None
     names = ["title", "content", "author", "category", "published", "html_links"]
 
+    # not deterministic to Catalyst: tests on its fields would otherwise be pushed below it and parse every page again
     @F.pandas_udf(PAGE_SCHEMA)
     def read(texts: pd.Series, sources: pd.Series) -> pd.DataFrame:
         chosen = [single] * len(texts) if single else [rules.get(s) for s in sources]
@@ -219,7 +220,7 @@ def extract_pages(pages: DataFrame, rules: dict[str, PageRules] | PageRules, htm
     # only the HTML and the source go to Python: every other column stays as it is in the JVM
     key = F.lit(single.source) if single else F.col(source)
     kept = [c for c in pages.columns if c != html and c not in names]
-    return pages.withColumn("_page", read(F.col(html), key)).select(*kept, *[F.col("_page")[n].alias(n) for n in names])
+    return pages.withColumn("_page", read.asNondeterministic()(F.col(html), key)).select(*kept, *[F.col("_page")[n].alias(n) for n in names])
 
 
 def extract_articles(

@@ -2,12 +2,15 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from broadsheet import dims
 from broadsheet.catalog.base import GAZ
+from broadsheet.functions.vectors import scores
 from broadsheet.operators import enrich, ranking, search, summaries
+from broadsheet.operators import index as index_module
 from broadsheet.plans import digest
 
 SF = "/root/testdata/sf0.01"
@@ -21,10 +24,52 @@ def rows(df):
     return sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
 
 
-def test_grid_equals_broadcast(spark):
-    c = vectors(spark)
-    q = c.where("id < 40").select(F.col("id").alias("query_id"), "embedding")
-    assert rows(search.knn_join(q, c, 4)) == rows(search.knn_join(q, c, 4, broadcast_numbers=640, block_rows=100))
+def brute(corpus, queries, k, metric):
+    """(query, rank, id) of the k best of each query."""
+    c, q = ([(r["id"] if "id" in r else r["query_id"], np.array(r["embedding"], float)) for r in d.collect()] for d in (corpus, queries))
+    m = scores(np.array([v for _, v in c]), np.array([v for _, v in q]), metric)
+    out = []
+    for j, (qid, _) in enumerate(q):
+        best = sorted((-m[i, j], c[i][0]) for i in range(len(c)) if not np.isnan(m[i, j]))[:k]
+        out += [(qid, n, i) for n, (_, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_exact_join_visits_all_it_needs(spark, metric):
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(12, 6))[rng.integers(0, 12, 700)] * 4 + rng.normal(size=(700, 6))
+    near[::90], near[100:400] = 0, near[100]  # zero vectors, and one vector that many rows share
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(near)], "id bigint, embedding array<double>")
+    q = c.where("id % 9 = 4").select(F.col("id").alias("query_id"), F.transform("embedding", lambda x: x + 0.25).alias("embedding"))
+    index = search.build_index(c, metric, sample_rows=200, part_rows=60)
+    assert len(index.centres) > 5 and index.parts.max() > 3 and index.sample.num_rows <= 200
+    want = brute(c, q, 5, metric)
+    assert rows(search.knn_join(q, index, 5)) == want
+    assert rows(search.knn_join(q, index, 5, question_rows=10)) == want
+    if metric != "dot":  # balls of clustered points shut most cells out
+        visits = index_module._visits(index, pa.RecordBatch.from_pylist([{"qv": r["embedding"]} for r in q.collect()]), 5, None)
+        assert visits.mean() < 0.6
+
+
+def test_join_edges(spark):
+    schema = "id bigint, embedding array<float>"
+    none = spark.createDataFrame([], schema)
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], schema)
+    q = one.select(F.col("id").alias("query_id"), "embedding")
+    assert rows(search.knn_join(q, none, 3)) == [] and rows(search.knn_join(q.where("false"), one, 3)) == []
+    assert rows(search.knn_join(q, one, 3)) == [(1, 1, 1)]
+    assert rows(search.approx_knn_join(q, one, 3)) == [(1, 1, 1)]
+    assert len(rows(search.knn_join(q, one.unionAll(one), 3))) == 2
+
+
+def test_questions_alone_are_shuffled(spark):
+    index = search.build_index(vectors(spark))
+    q = index.table.sparkSession.range(1).select(F.col("id").alias("qid"), F.lit([1.0] * 64).alias("qv"))
+    plan = search.index_join(q, index, 3)._jdf.queryExecution().executedPlan().toString()
+    scan = next(i for i, line in enumerate(plan.splitlines()) if "Scan parquet" in line and "cell" in line)
+    above = plan.splitlines()[scan - 4:scan]
+    assert "Bucketed: true" in plan and not any("Exchange" in line for line in above), plan
 
 
 def test_knn_join_ties_by_id(spark):
@@ -42,17 +87,24 @@ def test_filtered_join_passes_agree(spark):
     a = search.filtered_knn_join(q, c, 3)
     strict = a.where("strict").join(c, "id").collect()
     assert strict and all(r["parties"] == ["P1"] and r["date"] >= dt.date(2024, 1, 10) for r in strict)
-    assert rows(a) == rows(search.filtered_knn_join(q, c, 3, broadcast_numbers=500))
+    assert rows(a) == rows(search.filtered_knn_join(q, search.filter_index(c), 3, question_rows=5))
+    loose = [(x, r, i) for x, r, i in brute(c.where("date >= '2024-01-10'"), q, 3, "cosine")]
+    tight = brute(c.where("date >= '2024-01-10' and parties[0] = 'P1'"), q, 3, "cosine")
+    assert rows(a.where("not strict")) == loose and rows(a.where("strict")) == tight
 
 
 def test_approx_recall(spark):
-    c = vectors(spark)
-    hits = total = 0
-    for q in c.where("id % 100 = 0").collect():
-        exact = {r["id"] for r in search.knn(q["embedding"], c, 10).collect()}
-        hits += len(exact & {r["id"] for r in search.approx_knn(q["embedding"], c, 10).collect()})
-        total += 10
-    assert hits / total >= 0.7
+    """Every row whose id is divisible by 50 against all rows: recall by the exact join."""
+    c = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = c.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = search.build_index(c, sample_rows=500)
+    exact = {(a, i) for a, _, i in rows(search.knn_join(q, index, 10))}
+    near = {(a, i) for a, _, i in rows(search.approx_knn_join(q, index, 10))}
+    assert len(exact) == 10 * q.count() and len(exact & near) >= 0.9 * len(exact)
+    assert search.probes_for(index, 10, 0.95) < len(index.centres)
+    one = q.first()
+    got = [r["id"] for r in search.approx_knn(one["embedding"], c, 10, index=index).collect()]
+    assert got == [i for a, _, i in sorted(rows(search.approx_knn_join(q.where(q.query_id == one["query_id"]), index, 10)))]
 
 
 def test_encoder_plugin(spark):
