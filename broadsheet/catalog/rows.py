@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from broadsheet.catalog.base import (
-    ALIAS_CTE, ALIASES, FLAGS, GAZ, PARTIES, base, query, quote, tagged, text_of,
+    ALIAS_CTE, ALIASES, FLAGS, GAZ, PARTIES, SQL, base, query, quote, tagged, text_of,
 )
 from broadsheet.functions.arrays import distinct_ci
 from broadsheet.functions.dates import within_date_range
@@ -153,6 +153,22 @@ def _(t):
     return identity.ingest_stats(*halves(t))
 
 
+def bucketed_halves(t):
+    """The same halves, the store laid out by URL."""
+    old, batch = halves(t)
+    return store.open_bucketed(t.spark, store.write_bucketed(old, scratch_path(t.spark, "bucketed"))), batch
+
+
+@query("r03_insert_into_buckets", SQL["r03_insert_new"])
+def _(t):
+    return identity.insert_new(*bucketed_halves(t)).select("id", "url")
+
+
+@query("r04_ingest_stats_of_buckets", SQL["r04_ingest_stats"])
+def _(t):
+    return identity.ingest_stats(*bucketed_halves(t))
+
+
 @query("r05_get_by_id", base("SELECT id, title, url FROM base WHERE id = 77"))
 def _(t):
     return identity.get_by_id(t.articles, 77).select("id", "title", "url")

@@ -25,39 +25,50 @@ def assign_article_id(df: DataFrame, id: str = "id", url: str = "url", text: str
 
 
 def dedup_by_url(df: DataFrame, url: str = "url", order: str = "id") -> DataFrame:
-    """R02. First row of each URL. The aggregate keeps one row per URL in every task before it shuffles, so
-    a URL with very many copies never gathers them. Rows without a URL are never duplicates: they bypass
-    the shuffle, so they cannot pile up in one task either."""
+    """R02. First row of each URL. Every task keeps one row per URL before it shuffles (a window group limit), so a URL
+    with very many copies never gathers them, and only the columns that are used later travel. Rows without a
+    URL are never duplicates: they bypass the shuffle, so they cannot pile up in one task either."""
     has = F.coalesce(F.col(url), F.lit("")) != ""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    first = df.where(has).groupBy(F.col(url).alias("_u")).agg(F.min_by(row, F.col(order)).alias("_row"))
-    return first.select("_row.*").unionByName(df.where(~has))
+    first = F.row_number().over(W.partitionBy(url).orderBy(F.asc_nulls_last(order)))
+    return df.where(has).withColumn("_first", first).where("_first = 1").drop("_first").unionByName(df.where(~has))
+
+
+#: Column that a bucketed store is laid out by: the URL, or something of its own for a row without one.
+STORE_KEY = "url_key"
+
+
+def store_key(url: str = "url", id: str = "id") -> Column:
+    """The key of a row in a bucketed store. Rows without a URL share none, so they spread over all buckets."""
+    return F.coalesce(non_empty(url), F.concat(F.lit("\x00"), F.coalesce(F.col(id).cast("string"), F.lit("")), F.uuid()))
+
+
+def _known(store: DataFrame, url: str) -> DataFrame:
+    """URLs of a store as ``_known``. A bucketed store's key is taken as it lies, without an exchange."""
+    name = STORE_KEY if STORE_KEY in store.columns else url
+    return store.select(F.col(name).alias("_known"))
 
 
 def insert_new(store: DataFrame, batch: DataFrame, url: str = "url", order: str = "id") -> DataFrame:
     """R03. Rows of a batch that are new: distinct by URL within the batch and absent from the store.
-    Rows without a URL are always new and stay out of the join."""
-    known = store.select(F.col(url).alias("_known")).where(F.coalesce("_known", F.lit("")) != "").distinct()
+    Rows without a URL are always new and stay out of the join. With a store from
+    :func:`broadsheet.sources.store.open_bucketed` only the batch is shuffled."""
     has = F.coalesce(F.col(url), F.lit("")) != ""
-    fresh = dedup_by_url(batch.where(has), url, order).join(known, F.col(url) == F.col("_known"), "left_anti")
+    fresh = dedup_by_url(batch.where(has), url, order).join(_known(store, url), F.col(url) == F.col("_known"), "left_anti")
     return fresh.unionByName(batch.where(~has))
 
 
 def ingest_stats(store: DataFrame, batch: DataFrame, url: str = "url", order: str = "id") -> DataFrame:
-    """R04. One row: total, unique, duplicates, stored, collection_size."""
-    fresh = insert_new(store, batch, url, order)
-    unique = dedup_by_url(batch, url, order).agg(F.count("*").alias("unique"))
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    row = (
-        one(batch, "total")
-        .withColumn("unique", unique.scalar())
-        .withColumn("stored", one(fresh, "n").scalar())
-        .withColumn("_size", one(store, "n").scalar())
-    )
-    return row.select(
-        "total", "unique", (F.col("total") - F.col("stored")).alias("duplicates"), "stored",
-        (F.col("_size") + F.col("stored")).alias("collection_size"),
-    )
+    """R04. One row: total, unique, duplicates, stored, collection_size. URLs are counted once, and the counts meet the
+    store's URLs; no other column is read."""
+    has = F.coalesce(F.col(url), F.lit("")) != ""
+    per_url = batch.where(has).groupBy(F.col(url).alias("_u")).agg(F.count("*").alias("n"))
+    known = _known(store, url).distinct().withColumn("_stored", F.lit(True))
+    with_url = per_url.join(known, F.col("_u") == F.col("_known"), "left").select("n", F.lit(1).alias("u"), F.when(F.col("_stored"), 0).otherwise(1).alias("s"))
+    without = batch.where(~has).agg(F.count("*").alias("n")).select("n", F.col("n").alias("u"), F.col("n").alias("s"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    row = with_url.unionByName(without).agg(zero("n"), zero("u"), zero("s")).withColumn("_size", store.agg(F.count("*").alias("n")).scalar())
+    return row.select(F.col("n").alias("total"), F.col("u").alias("unique"), (F.col("n") - F.col("s")).alias("duplicates"), F.col("s").alias("stored"),
+                      (F.col("_size") + F.col("s")).alias("collection_size"))
 
 
 def get_by_id(store: DataFrame, value, id: str = "id") -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.operators.identity import STORE_KEY, store_key
+
 
 def union_sources(*frames: DataFrame | None) -> DataFrame:
     """S11. All rows of all sources; a source that failed (None) contributes nothing."""
@@ -72,6 +74,47 @@ def rewrite(df: DataFrame, path: str, partition_by=()) -> str:
     return path
 
 
+def write_bucketed(articles: DataFrame, path: str, buckets: int | None = None, url: str = "url", id: str = "id") -> str:
+    """S13, R03. Append articles to a store that is laid out by URL: every batch writes the same buckets, so a later batch
+    meets the store bucket by bucket. The number of buckets is fixed when the store is made (default: the
+    shuffle partitions) and kept in the store's ``_layout``."""
+    spark = articles.sparkSession
+    layout = f"{path}/_layout"
+    if exists(spark, layout):
+        buckets = spark.read.parquet(layout).first()["buckets"]
+    else:
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.createDataFrame([(STORE_KEY, buckets)], "key string, buckets int").coalesce(1).write.mode("overwrite").parquet(layout)
+    keyed = articles if STORE_KEY in articles.columns else articles.withColumn(STORE_KEY, store_key(url, id))
+    stored = _stored_schema(spark, path)
+    added = [f for f in keyed.schema if f.name not in {g.name for g in stored}]
+    name = _register(spark, path, [*stored, *added], buckets)
+    aligned = keyed.select(*[(F.col(f"`{f.name}`") if f.name in keyed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in [*stored, *added]])
+    aligned.repartition(buckets, STORE_KEY).write.mode("append").format("parquet").bucketBy(buckets, STORE_KEY).sortBy(STORE_KEY).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are external
+    return path
+
+
+def _stored_schema(spark: SparkSession, path: str) -> list:
+    files = [s.getPath().getName() for s in list_dir(spark, path)] if exists(spark, path) else []
+    return list(spark.read.option("mergeSchema", "true").parquet(path).schema) if any(not n.startswith(("_", ".")) for n in files) else []
+
+
+def _register(spark: SparkSession, path: str, fields: list, buckets: int) -> str:
+    """A fresh table name for the files of a bucketed store."""
+    name = f"articles_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({STORE_KEY}) SORTED BY ({STORE_KEY}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def open_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A store made by :func:`write_bucketed`, with its layout known to the planner: joins and aggregates by its key
+    need no exchange above it. Columns added by later batches are NULL in earlier ones."""
+    buckets = spark.read.parquet(f"{path}/_layout").first()["buckets"]
+    return spark.table(_register(spark, path, _stored_schema(spark, path), buckets))
+
+
 def export_json(df: DataFrame, path: str) -> str:
     """S14. JSON lines, UTF-8, non-ASCII characters as they are."""
     df.write.mode("overwrite").json(path)

@@ -123,6 +123,38 @@ def test_stream_never_inserts_twice(spark):
     assert sorted(r["url"][-1] for r in store.read_articles(spark, out).collect()) == ["1", "2", "3", "4"]
 
 
+@pytest.mark.parametrize("forget_after", [None, "1 hour"])
+def test_a_replayed_batch_gives_each_url_once_without_reading_the_store(spark, monkeypatch, forget_after):
+    from broadsheet.streaming import ingest
+
+    config = IngestConfig(PageRules("web", body=("article",)), GAZ, LEXICON, tuple(SPEECH), tuple(STANCE), dim=16)
+    page = lambda i, u: (u, f"<h1>T{i}</h1><article><p>{LONG}</p><p>{LONG}</p></article>" if i != 7 else "<p>no article yet</p>")
+    pages, out, progress = (scratch_path(spark, n) for n in ("in", "out", "chk"))
+    add = lambda *rows: spark.createDataFrame([page(*r) for r in rows], "url string, html string").coalesce(1).write.mode("append").parquet(pages)
+    plans, real = [], ingest.write_batch
+
+    def watched(df, batch_id, *rest, fail=[True]):  # noqa: B006
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        if batch_id >= 1 and df.count() and fail and fail.pop():
+            real(df, batch_id, *rest)
+            raise RuntimeError("lost after writing")
+        real(df, batch_id, *rest)
+
+    monkeypatch.setattr(ingest, "write_batch", watched)
+    run = lambda: ingest_stream(spark, pages, "url string, html string", out, progress, config, forget_after=forget_after)
+    add((1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (7, "g"))
+    run().awaitTermination()
+    add((1, "a"), (6, "c"), (3, None), (8, "g"))
+    with pytest.raises(Exception, match="lost after writing"):
+        run().awaitTermination()
+    run().awaitTermination()
+    run().awaitTermination()
+    stored = store.read_articles(spark, out)
+    assert sorted(r["url"] or "" for r in stored.collect()) == ["", "", "", "a", "b", "c", "g"]
+    assert len(plans) >= 3 and not any(out in p for p in plans)
+    assert ingest.other_batches(spark, out, ingest.stream_name(progress)) == [] != ingest.other_batches(spark, out, "another")
+
+
 def test_failed_rename_keeps_the_store(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
     store.write_articles(spark.range(5), path)
@@ -176,3 +208,57 @@ def test_boilerplate_goes_before_the_length_test(spark):
     from dataclasses import replace
 
     assert extract_articles(df, replace(rules, boilerplate=("MENU junk MENU",), tail_marker="END of page")).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def below(plan, what):
+    """Lines of a plan from the one that holds ``what`` up to the root: what lies above it."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if what in line)
+    depth, above = lines[at].index(lines[at].lstrip(" :+-|")[0]), []
+    for line in reversed(lines[:at]):
+        d = len(line) - len(line.lstrip(" :+-|"))
+        if d < depth:
+            above.append(line)
+            depth = d
+    return above
+
+
+def test_only_the_batch_is_shuffled_into_a_bucketed_store(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    first = spark.createDataFrame([(i, "" if i % 3 == 0 else f"u{i}", "text " * 50) for i in range(300)], "id bigint, url string, content string")
+    assert store.write_bucketed(first, path, buckets=6) == path
+    store.write_bucketed(first.where("id < 2").selectExpr("id + 1000 as id", "concat('v', id) as url", "content", "7 as extra"), path, buckets=99)
+    opened = store.open_bucketed(spark, path)
+    assert opened.count() == 302 and opened.where("extra = 7").count() == 2
+    batch = spark.createDataFrame([(i, f"u{i}" if i % 2 else None, "new") for i in range(290, 320)] + [(400, "u311", "again"), (401, "v1", "x")], "id bigint, url string, content string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fresh = identity.insert_new(opened, batch)
+        above = below(plan_of(fresh), STORE_SCAN)
+        assert "Bucketed: true" in plan_of(fresh) and above and not any("Exchange" in line for line in above), plan_of(fresh)
+        stats = identity.ingest_stats(opened, batch)
+        assert not any("Exchange hashpartitioning" in line for line in below(plan_of(stats), STORE_SCAN)), plan_of(stats)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    known = {f"u{i}" for i in range(300) if i % 3} | {"v0", "v1"}
+    want = sorted(i for i in range(290, 320) if i % 2 == 0 or f"u{i}" not in known)
+    assert ids(fresh) == want
+    assert stats.first().asDict() == {"total": 32, "unique": 31, "duplicates": 32 - len(want), "stored": len(want), "collection_size": 302 + len(want)}
+    # rows without a URL do not pile up in one bucket
+    files = opened.where("url = ''").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 5
+
+
+STORE_SCAN = f"[{identity.STORE_KEY}#"
+
+
+def test_duplicates_are_found_without_their_texts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("url"), "text")
+    plan = plan_of(identity.dedup_by_url(df).select("id", "url"))
+    assert "WindowGroupLimit" in plan and "ReadSchema: struct<doc_id:bigint,source:string>" in plan and "text" not in plan
