@@ -9,20 +9,21 @@ from broadsheet.catalog.base import (
     ALIASES, ARTICLES, BASE, FLAGS, GAZ, NEUTRAL, PARTIES, SPEECH, STANCE, TAXONOMY, base, query, quote, tagged, text_of, with_,
 )
 from broadsheet.catalog.rows import score_sql
-from broadsheet.catalog.tags import STANCE_SQL, TOPIC_LEXICON, VERBS, simple_cte, topics_sql
+from broadsheet.catalog.tags import FREQ, STANCE_SQL, TOPIC_LEXICON, VERBS, simple_cte, topics_sql
 from broadsheet.functions.dates import month_key
 from broadsheet.operators import stats
 from broadsheet.operators.entities import assign_party
+from broadsheet.operators.keywords import keywords_by_frequency
 from broadsheet.operators.tagging import analyze_entity
 from broadsheet.plans import profiles
 
 WITH_FLAGS = with_(*ARTICLES, FLAGS)
-#: Simple keywords of every article: the words of its title.
-KEYWORDS = ("kw", "SELECT *, list_filter(string_split(lower(title), ' '), lambda x: x <> '') AS keywords FROM tagged")
+#: Keywords of every article: the most frequent words of its text.
+KEYWORDS = ("kw", "SELECT t.*, coalesce(k.keywords, []) AS keywords FROM tagged t LEFT JOIN (SELECT id, list(w ORDER BY rn) AS keywords FROM freq WHERE rn <= 15 GROUP BY id) k ON k.id = t.id")
 
 
 def with_keywords(df):
-    return df.withColumn("keywords", F.filter(F.split(F.lower("title"), " "), lambda x: x != ""))
+    return keywords_by_frequency(df)
 
 
 @query("a01_corpus_stats", base("""
@@ -70,7 +71,7 @@ SUMMARY_SQL = " UNION ALL ".join([
     num_sql("avg_categories_per_article", "avg(len(ai_categories))", "kf"), num_sql("avg_people_per_article", "avg(len(people))", "kf")])
 
 
-@query("a05_categorization_summary", with_(*ARTICLES, FLAGS, KEYWORDS, ("kf", "SELECT kw.*, is_speech, is_stance FROM kw LEFT JOIN flags USING (id)")) + SUMMARY_SQL)
+@query("a05_categorization_summary", with_(*ARTICLES, FLAGS, FREQ, KEYWORDS, ("kf", "SELECT kw.*, is_speech, is_stance FROM kw LEFT JOIN flags USING (id)")) + SUMMARY_SQL)
 def _(t):
     return stats.categorization_summary(with_keywords(t.tagged_flagged).withColumnRenamed("ai_categories", "categories"))
 
@@ -159,7 +160,7 @@ def _(t):
 DETAIL = f"(SELECT * FROM kw WHERE {IN_T1})"
 
 
-@query("a14_category_detail", with_(*ARTICLES, KEYWORDS) + " UNION ALL ".join([
+@query("a14_category_detail", with_(*ARTICLES, FREQ, KEYWORDS) + " UNION ALL ".join([
     top_sql("top_parties", "parties", 10, DETAIL), num_sql("total_articles", "count(*)", DETAIL),
     num_sql("as_primary", "count(*) FILTER (primary_category = 'T1')", DETAIL), num_sql("as_secondary", "count(*) FILTER (primary_category <> 'T1')", DETAIL),
     top_sql("top_people", "people", 10, DETAIL), top_sql("all_people", "people", None, DETAIL), top_sql("sources", "[source]", None, DETAIL),
@@ -219,7 +220,7 @@ def ordered_sql(label: str, column: str, n: int) -> str:
  SELECT id, unnest({column}) AS x, generate_subscripts({column}, 1) AS n FROM kw) GROUP BY x) ORDER BY first_at, x LIMIT {n})"""
 
 
-@query("a20_profile_facets", with_(*ARTICLES, KEYWORDS) + " UNION ALL ".join([
+@query("a20_profile_facets", with_(*ARTICLES, FREQ, KEYWORDS) + " UNION ALL ".join([
     ordered_sql("keywords", "keywords", 20), ordered_sql("topics", "themes", 10),
     "SELECT 'earliest', CAST(min(date) AS VARCHAR), NULL FROM kw", "SELECT 'latest', CAST(max(date) AS VARCHAR), NULL FROM kw",
     num_sql("speech_count", "count(*) FILTER (len(list_filter(keywords, lambda k: contains(k, 'thing'))) > 0)", "kw")]))

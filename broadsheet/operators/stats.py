@@ -13,6 +13,8 @@ from broadsheet.functions.dates import as_date, month_key
 from broadsheet.operators.entities import check_category
 from broadsheet.operators.filters import filter_date_lexical
 from broadsheet.operators.names import canonicalize_fuzzy
+from broadsheet.operators.ranges import number_rows
+from broadsheet.session import materialize
 
 
 def exploded(df: DataFrame, column: str, *keep: str, name: str = "value") -> DataFrame:
@@ -55,6 +57,46 @@ def number(df: DataFrame, label: str, value: Column) -> DataFrame:
         F.lit(label).alias("facet"), F.lit(None).cast("string").alias("value"), "count")
 
 
+def _entry(facet: str, value: Column, w: Column) -> Column:
+    return F.struct(F.lit(facet).alias("facet"), value.cast("string").alias("value"), w.cast("double").alias("w"))
+
+
+def _present(values: Column) -> Column:
+    return F.filter(F.coalesce(values.cast("array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
+
+
+def facet_report(df: DataFrame, lists: dict[str, tuple[Column, int | None]], sums: dict[str, Column] | None = None,
+                 means: dict[str, Column] | None = None) -> DataFrame:
+    """(facet, value, count) of several facets in one pass over ``df``: every row becomes its facets' entries, one aggregate
+    adds them up, and a window group limit cuts each facet to its most frequent values (O06's order).
+
+    ``lists``: the values each row has for a facet, and how many values stay (None: all). ``sums`` and ``means``: facets of one
+    number, 0 for an empty table.
+    """
+    spark, none, one = df.sparkSession, F.lit(None).cast("string"), F.lit(1)
+    sums, means = sums or {}, means or {}
+    listed = lambda f, values: F.transform(_present(values), lambda x: _entry(f, x, one))
+    entries = [listed(f, values) for f, (values, _) in lists.items()]
+    entries += [F.array(_entry(f, none, w)) for f, w in {**sums, **means}.items()]
+    # an outer explode: for a plain one the optimizer tests the lists' size below and so makes them twice
+    rows = df.select(F.explode_outer(F.concat(*entries)).alias("e")).select("e.*").where("facet is not null")
+    if sums or means:
+        zero = [_entry(f, none, F.lit(0)) for f in sums] + [_entry(f, none, F.lit(None)) for f in means]
+        rows = rows.unionByName(spark.range(1).select(F.explode(F.array(*zero)).alias("e")).select("e.*"))
+    total = F.coalesce(F.sum("w"), F.lit(0.0))
+    mean = F.coalesce(F.avg("w"), F.lit(0.0))
+    counted = rows.groupBy("facet", "value").agg(total.alias("_s"), mean.alias("_m")).select(
+        "facet", "value", F.when(F.col("facet").isin(list(means)), F.col("_m")).otherwise(F.col("_s")).alias("count"))
+    limits = {f: n for f, (_, n) in lists.items() if n is not None}
+    if not limits:
+        return counted
+    limited = F.col("facet").isin(list(limits))
+    apart = F.when(~limited, F.coalesce("value", F.lit("")))  # a value of a facet that is not cut ranks alone
+    ranked = counted.withColumn("_rank", F.row_number().over(W.partitionBy("facet", apart).orderBy(F.desc("count"), "value")))
+    most = F.coalesce(*[F.when(F.col("facet") == f, n) for f, n in limits.items()], F.lit(1))
+    return ranked.where(F.col("_rank") <= max(limits.values())).where(F.col("_rank") <= most).drop("_rank")
+
+
 def corpus_stats(articles: DataFrame) -> DataFrame:
     """A01. One row: article count and the distinct sources, languages and categories, sorted."""
     names = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
@@ -94,18 +136,14 @@ def top_mentions(articles: DataFrame, n: int = 10, column: str = "parties") -> D
 
 
 def categorization_summary(categorized: DataFrame) -> DataFrame:
-    """A05. (facet, value, count): totals, flags, top lists and mean list sizes of categorised articles."""
-    size = lambda c: F.coalesce(F.avg(F.size(c)), F.lit(0.0))
-    return facets(
-        number(categorized, "total_articles", F.count("*")),
-        number(categorized, "speech_articles", F.count_if("is_speech")),
-        number(categorized, "stance_articles", F.count_if("is_stance")),
-        facet(top_counts(categorized, "categories", 10), "top_categories"),
-        facet(top_counts(categorized, "parties", 10), "top_parties"),
-        facet(top_counts(categorized, "people", 10), "top_people"),
-        facet(top_counts(categorized, "keywords", 20), "top_keywords"),
-        number(categorized, "avg_categories_per_article", size("categories")),
-        number(categorized, "avg_people_per_article", size("people")),
+    """A05. (facet, value, count): totals, flags, top lists and mean list sizes of categorised articles, in one scan."""
+    flag = lambda c: F.when(F.col(c), 1).otherwise(0)
+    return facet_report(
+        categorized,
+        {"top_categories": (F.col("categories"), 10), "top_parties": (F.col("parties"), 10), "top_people": (F.col("people"), 10),
+         "top_keywords": (F.col("keywords"), 20)},
+        {"total_articles": F.lit(1), "speech_articles": flag("is_speech"), "stance_articles": flag("is_stance")},
+        {"avg_categories_per_article": F.size("categories"), "avg_people_per_article": F.size("people")},
     )
 
 
@@ -180,36 +218,30 @@ def categorised(articles: DataFrame, start=None, end=None) -> DataFrame:
 
 def category_stats(articles: DataFrame, taxonomy, start=None, end=None) -> DataFrame:
     """A11. (category, measure, key, count): total and as_primary for every category of the taxonomy, zeros
-    included, plus party and month counts; corpus totals under category NULL."""
-    spark = articles.sparkSession
+    included, plus party and month counts; corpus totals under category NULL. One scan of the articles."""
+    spark, none, text = articles.sparkSession, F.lit(None).cast("string"), "array<string>"
     ranged = filter_date_lexical(articles, start, end)
-    done = categorised(articles, start, end)
-    per = unnest(done, "ai_categories", "category", "primary_category", "parties", "date")
-    names = dim_frame(spark, taxonomy).select("category")
-    total = per.groupBy("category").agg(F.count("*").alias("count"))
-    primary = done.groupBy(F.col("primary_category").alias("category")).agg(F.count("*").alias("count"))
-
-    def zero_filled(counts: DataFrame, measure: str) -> DataFrame:
-        return names.join(counts, "category", "left").select(
-            "category", F.lit(measure).alias("measure"), F.lit(None).cast("string").alias("key"),
-            F.coalesce("count", F.lit(0)).alias("count"))
-
-    def keyed(df: DataFrame, measure: str) -> DataFrame:
-        counts = df.groupBy("category", "key").agg(F.count("*").alias("count"))
-        return counts.join(names, "category", "left_semi").select("category", F.lit(measure).alias("measure"), "key", "count")
-
-    parties = unnest(per, "parties", "key", "category")
-    months = per.where("date is not null").select("category", month_key("date").alias("key"))
-    sums = ranged.agg(
-        F.count("*").alias("total_articles"),
-        F.count_if((F.size("ai_categories") > 0) & (F.coalesce("primary_category", F.lit("")) != ""))
-        .alias("categorized_articles"),
-    ).selectExpr(
-        "stack(3, 'total_articles', total_articles, 'categorized_articles', categorized_articles, "
-        "'uncategorized_articles', total_articles - categorized_articles) as (measure, count)"
-    ).select(F.lit(None).cast("string").alias("category"), "measure", F.lit(None).cast("string").alias("key"), "count")
-    return facets(zero_filled(total, "total_articles"), zero_filled(primary, "as_primary"), keyed(parties, "party"),
-                  keyed(months, "month"), sums)
+
+    def entry(category: Column, measure: str, key: Column = none, w: Column | int = 1) -> Column:
+        w = F.lit(w) if isinstance(w, int) else w
+        return F.struct(category.cast("string").alias("category"), F.lit(measure).alias("measure"), key.cast("string").alias("key"), w.cast("bigint").alias("w"))
+
+    done = F.coalesce((F.size("ai_categories") > 0) & (F.coalesce("primary_category", F.lit("")) != ""), F.lit(False))
+    whole = F.when(done, F.lit(1)).otherwise(0)
+    parties, month = _present(F.col("parties")), F.array_compact(F.array(month_key("date")))
+    of = lambda c: F.concat(
+        F.array(entry(c, "total_articles")), F.transform(parties, lambda p: entry(c, "party", p)), F.transform(month, lambda m: entry(c, "month", m)))
+    per_category = F.flatten(F.transform(_present(F.col("ai_categories")), of))
+    tagged = F.when(done, F.concat(per_category, F.array(entry(F.col("primary_category"), "as_primary"))))
+    corpus = F.array(entry(none, "total_articles"), entry(none, "categorized_articles", none, whole), entry(none, "uncategorized_articles", none, 1 - whole))
+    rows = ranged.select(F.explode_outer(F.concat(corpus, F.coalesce(tagged, F.array().cast(
+        "array<struct<category:string,measure:string,key:string,w:bigint>>")))).alias("e")).select("e.*").where("measure is not null")
+    names = dim_frame(spark, taxonomy).select("category").distinct()
+    zeros = names.select(F.explode(F.array(entry(F.col("category"), "total_articles", none, 0), entry(F.col("category"), "as_primary", none, 0))).alias("e")).select("e.*")
+    empty = spark.range(1).select(F.explode(F.array(*[entry(none, m, none, 0) for m in ("total_articles", "categorized_articles", "uncategorized_articles")])).alias("e")).select("e.*")
+    counts = rows.unionByName(zeros).unionByName(empty).groupBy("category", "measure", "key").agg(F.sum("w").alias("count"))
+    known = counts.join(names.select(F.col("category").alias("_known")), F.col("category") == F.col("_known"), "left")
+    return known.where(F.col("category").isNull() | F.col("_known").isNotNull()).drop("_known")
 
 
 def top_categories(articles: DataFrame, n: int = 9, start=None, end=None) -> DataFrame:
@@ -241,24 +273,27 @@ def category_party_month_pivot(articles: DataFrame, category: str, parties: list
 
 
 def category_detail(articles: DataFrame, category: str, taxonomy=None, aliases=None) -> DataFrame:
-    """A14. (facet, value, count) report on one category. People are canonical names."""
+    """A14. (facet, value, count) report on one category, in one scan. People are canonical names."""
     if taxonomy is not None:
         check_category(taxonomy, category)
     rows = articles.where(F.array_contains("ai_categories", category))
-    people = value_counts(rows, "people")
+    primary = F.when(F.coalesce(F.col("primary_category") == category, F.lit(False)), 1).otherwise(0)
+    people = F.col("people")
+    lists = {
+        "top_parties": (F.col("parties"), 10), "top_people": (people, 10), "all_people": (people, None),
+        "sources": (F.filter(F.array("source"), lambda x: x != ""), None), "monthly_trend": (F.array(month_key("date")), None),
+        "top_keywords": (F.col("keywords"), 20),
+    }
     if aliases is not None:
-        people = canonicalize_fuzzy(people, "value", aliases, "_c").groupBy(F.col("_c").alias("value")).agg(
-            F.sum("count").alias("count"))
-    months = rows.where("date is not null").groupBy(month_key("date").alias("value")).agg(F.count("*").alias("count"))
-    sources = rows.where(F.col("source") != "").groupBy(F.col("source").alias("value")).agg(F.count("*").alias("count"))
-    primary = F.count_if(F.col("primary_category") == category)
-    return facets(
-        number(rows, "total_articles", F.count("*")), number(rows, "as_primary", primary),
-        number(rows, "as_secondary", F.count("*") - primary),
-        facet(top_counts(rows, "parties", 10), "top_parties"), facet(top_of(people, 10), "top_people"),
-        facet(people, "all_people"), facet(sources, "sources"), facet(months, "monthly_trend"),
-        facet(top_counts(rows, "keywords", 20), "top_keywords"),
-    )
+        del lists["top_people"]
+    report = facet_report(rows, lists, {"total_articles": F.lit(1), "as_primary": primary, "as_secondary": 1 - primary})
+    if aliases is None:
+        return report
+    # names become canonical once they are counted; the report is stored, so that this reads the counts and not the articles
+    report = materialize(report, "report")
+    named = report.where("facet = 'all_people'").select("value", "count")
+    named = canonicalize_fuzzy(named, "value", aliases, "_c").groupBy(F.col("_c").alias("value")).agg(F.sum("count").alias("count"))
+    return facets(report.where("facet <> 'all_people'"), facet(top_of(named, 10), "top_people"), facet(named, "all_people"))
 
 
 def category_distribution(classified: DataFrame, taxonomy=None) -> DataFrame:
@@ -338,17 +373,30 @@ def first_distinct(df: DataFrame, column: str, n: int, order: str = "id") -> Dat
     return top.withColumn("position", F.row_number().over(w)).select("position", "value")
 
 
-def profile_facets(articles: DataFrame, word: str = "speech") -> DataFrame:
+def profile_facets(articles: DataFrame, word: str = "speech", order: str = "id") -> DataFrame:
     """A20. (facet, value, count): date span, articles with a keyword that holds ``word``, the first 20
-    distinct keywords and 10 distinct topics."""
-    speech = F.exists("keywords", lambda k: F.contains(F.lower(k), F.lit(word)))
-    span = lambda name, agg: articles.agg(agg.cast("string").alias("value")).select(
-        F.lit(name).alias("facet"), "value", F.lit(None).cast("double").alias("count"))
-    ordered = lambda c, n, name: facet(first_distinct(articles, c, n), name, "value", "position")
-    return facets(
-        span("earliest", F.min("date")), span("latest", F.max("date")), number(articles, "speech_count", F.count_if(speech)),
-        ordered("keywords", 20, "keywords"), ordered("topics", 10, "topics"),
-    )
+    distinct keywords and 10 distinct topics in reading order. One scan; places and dates travel as one aggregate's."""
+    spark, none = articles.sparkSession, F.lit(None)
+    place = f"struct<o:{articles.schema[order].dataType.simpleString()},p:int>"
+    limits = {"keywords": 20, "topics": 10}
+
+    def entry(label: str, value=none, w=none, day=none, at=none) -> Column:
+        return F.struct(F.lit(label).alias("facet"), value.cast("string").alias("value"), w.cast("double").alias("w"), day.cast("date").alias("day"), at.cast(place).alias("at"))
+
+    listed = lambda c: F.transform(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")), lambda x, i: entry(
+        c, x, at=F.when(x.isNotNull(), F.struct(F.col(order).alias("o"), i.alias("p")))))
+    spoken = F.when(F.exists("keywords", lambda k: F.contains(F.lower(k), F.lit(word))), 1).otherwise(0)
+    single = [entry("earliest", day=F.col("date")), entry("latest", day=F.col("date")), entry("speech_count", w=spoken)]
+    rows = articles.select(F.explode_outer(F.concat(*[listed(c) for c in limits], F.array(*single))).alias("e")).select("e.*")
+    rows = rows.where(~F.col("facet").isin(list(limits)) | F.col("value").isNotNull())
+    empty = spark.range(1).select(F.explode(F.array(entry("earliest"), entry("latest"), entry("speech_count", w=F.lit(0)))).alias("e")).select("e.*")
+    found = rows.unionByName(empty).groupBy("facet", "value").agg(
+        F.sum("w").alias("w"), F.min("day").alias("first"), F.max("day").alias("last"), F.min("at").alias("at"))
+    ranked = found.withColumn("_rank", F.row_number().over(W.partitionBy("facet").orderBy("at", "value"))).where(F.col("_rank") <= max(limits.values()))
+    most = F.coalesce(*[F.when(F.col("facet") == f, n) for f, n in limits.items()], F.lit(1))
+    in_list = F.col("facet").isin(list(limits))
+    value = F.when(F.col("facet") == "earliest", F.col("first").cast("string")).when(F.col("facet") == "latest", F.col("last").cast("string")).otherwise(F.col("value"))
+    return ranked.where(F.col("_rank") <= most).select("facet", value.alias("value"), F.when(in_list, F.col("_rank").cast("double")).otherwise(F.col("w")).alias("count"))
 
 
 def trend_summary(monthly: DataFrame) -> DataFrame:
@@ -362,11 +410,10 @@ def trend_summary(monthly: DataFrame) -> DataFrame:
 
 
 def share_and_rank(counts: DataFrame, name: str = "value", count: str = "count") -> DataFrame:
-    """A22. Share of the total in percent, rank, and the rounded mean, beside each count. ``counts`` holds
-    one row per name of a dimension."""
+    """A22. Share of the total in percent, rank, and the rounded mean, beside each count. Ranks are numbered by ranges
+    (:mod:`broadsheet.operators.ranges`), so ``counts`` may be of any length."""
     everything = counts.agg(F.sum(count).alias("t"), F.floor(F.avg(count) + 0.5).cast("bigint").alias("m"))
-    w = W.orderBy(F.desc(count), name)
-    ranked = counts.withColumn("rank", F.row_number().over(w))
+    ranked = number_rows(counts, [F.desc(count), F.asc(name)], "rank")
     return ranked.withColumn("_t", everything.select("t").scalar()).withColumn(
         "mean_count", everything.select("m").scalar()
     ).withColumn("share_pct", F.round(F.col(count) / F.col("_t") * 100, 1)).drop("_t")
