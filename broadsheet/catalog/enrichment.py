@@ -267,6 +267,18 @@ def _(t):
                       "statistics.newly_summarized", "statistics.already_summarized")
 
 
+@query("e14_merged_articles", tagged(f"""
+SELECT id, id % 3 = 0 OR ({PERIOD}) AS is_summarized, CASE WHEN new THEN trim(replace(left(content, 60), chr(10), ' ')) ELSE content END AS content, CASE WHEN new THEN content END AS original_content,
+ CASE WHEN new THEN 'a first point made' END AS key_points, CASE WHEN new THEN 'reform|vote' END AS keywords, CASE WHEN new THEN 'law' END AS topics, CASE WHEN new THEN 'for it' END AS stance
+FROM (SELECT *, ({PERIOD}) AND id % 3 <> 0 AS new FROM tagged)"""))
+def _(t):
+    a = t.tagged.withColumn("is_summarized", F.col("id") % 3 == 0)
+    cache = t.spark.createDataFrame([], summaries.PERIOD_SUMMARY_SCHEMA)
+    _, merged = digest.period_summary(a, cache, "party", "P2", "2024-10-01", "2024-12-31", recorded_summary, recorded_period, now=TODAY)
+    return merged.select("id", "is_summarized", "content", "original_content", text_of("llm_key_points").alias("key_points"),
+                         text_of("llm_keyword_list").alias("keywords"), text_of("llm_topics").alias("topics"), F.col("llm_stance_analysis").alias("stance"))
+
+
 def stored_summaries(t):
     """One summary per source from its articles, and later ones for some sources."""
     per = t.articles.groupBy(F.col("source").alias("entity_name")).agg(F.count("*").alias("n"), F.max("date").alias("d"))

@@ -93,23 +93,26 @@ def merge_columns(store: DataFrame, updates: DataFrame, id: str = "id") -> DataF
     return joined.select(*merged, *added)
 
 
-def replace_document(store: DataFrame, summaries: DataFrame, id: str = "id", document: str = "content") -> DataFrame:
+def replace_document(store: DataFrame, summaries: DataFrame, id: str = "id", document: str = "content", also: tuple[str, ...] = ()) -> DataFrame:
     """R08. The document becomes its summary; the first original is kept once, so a second run changes
-    nothing that matters."""
+    nothing that matters. Columns named in ``also`` come with the summary, as in R07, in the same join."""
     base = store
     if "original_content" not in base.columns:
         base = base.withColumn("original_content", F.lit(None).cast("string"))
     if "is_summarized" not in base.columns:
         base = base.withColumn("is_summarized", F.lit(False))
-    s = summaries.select(id, F.col("summary").alias("_summary"))
+    s = summaries.select(id, F.col("summary").alias("_summary"), *[F.col(c).alias(f"_new_{c}") for c in also])
     hit = F.col("_summary").isNotNull()
+    new = {c: F.when(hit, F.coalesce(f"_new_{c}", c) if c in base.columns else F.col(f"_new_{c}")).otherwise(
+        F.col(c) if c in base.columns else F.lit(None)) for c in also}
     return (
         base.join(s, id, "left")
+        .withColumns(new)
         .withColumn("original_content", F.when(hit, F.coalesce("original_content", document)).otherwise(
             F.col("original_content")))
         .withColumn(document, F.coalesce("_summary", document))
         .withColumn("is_summarized", hit | F.coalesce("is_summarized", F.lit(False)))
-        .drop("_summary")
+        .drop("_summary", *[f"_new_{c}" for c in also])
     )
 
 

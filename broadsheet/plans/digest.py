@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from broadsheet.functions.dates import check_bound, parse_multi_format_date
 from broadsheet.operators.enrich import (
@@ -17,6 +16,7 @@ from broadsheet.operators.identity import dedup_by_url, replace_document
 from broadsheet.operators.ranking import (
     intent_filters, pack_context, relax_if_empty, rerank, select_strategy, top_ranked, top_sources,
 )
+from broadsheet.operators.ranges import running
 from broadsheet.operators.search import embed, filtered_knn_join
 from broadsheet.operators.stats import coverage_window
 from broadsheet.operators.summaries import lookup_summary
@@ -148,17 +148,25 @@ def period_articles(articles: DataFrame, entity_type: str, name: str, start, end
 
 
 def summarize_missing(rows: DataFrame, completer: Completer) -> DataFrame:
-    """E14's per-article step: (id, title, date, summary, already_summarized, error). An article whose summary
-    fails stays, with a NULL summary and the reason."""
+    """E14's per-article step: (id, title, date, summary, already_summarized, error) and what the response says beside the
+    summary (``SUMMARY_FIELDS``). An article whose summary fails stays, with a NULL summary and the reason."""
     done = F.coalesce("is_summarized", F.lit(False)) if "is_summarized" in rows.columns else F.lit(False)
     flagged = rows.withColumn("_done", done)
     asked = build_summary_prompts(flagged.withColumn("language", F.lit("Bangla")), "_all")
     asked = complete(asked.withColumn("_p", F.when(~F.col("_done"), F.col("_all"))), completer, "_p", "_r", "_e")
-    fresh = F.when(F.col("_r").isNotNull(), parse_sectioned_summary("_r")["summary"])
-    summary = F.when(F.col("_done"), F.col("content")).otherwise(fresh)
+    asked = asked.withColumn("_read", parse_sectioned_summary("_r"))
+    answered = F.col("_r").isNotNull()
+    summary = F.when(F.col("_done"), F.col("content")).otherwise(F.when(answered, F.col("_read.summary")))
     return asked.select(
         "id", "title", "date", summary.alias("summary"), F.col("_done").alias("already_summarized"),
-        F.when(summary.isNull(), F.coalesce("_e", F.lit("no summary in the response"))).alias("error"))
+        F.when(summary.isNull(), F.coalesce("_e", F.lit("no summary in the response"))).alias("error"),
+        *[F.when(answered, F.col(f"_read.{field}")).alias(name) for name, field in SUMMARY_FIELDS.items()])
+
+
+#: Columns of an article that a summary's response fills, and its sections.
+SUMMARY_FIELDS = {"llm_key_points": "key_points", "llm_keyword_list": "keywords", "llm_topics": "topics", "llm_stance_analysis": "stance_analysis"}
+#: Texts of a range when running lengths are summed: each is up to half a prompt long.
+TEXTS_IN_RANGE = 2_000
 
 
 def combine_texts(rows: DataFrame, completer: Completer, instruction: str, max_chars: int) -> tuple[str | None, str | None]:
@@ -189,12 +197,12 @@ def combine_texts(rows: DataFrame, completer: Completer, instruction: str, max_c
         cuts = F.sequence(F.lit(0), F.ceil(F.greatest(F.length("text"), F.lit(1)) / half).cast("int") - 1)
         pieces = rows.select("order_key", F.posexplode(F.transform(cuts, lambda i: F.substring("text", i * half + 1, F.lit(half)))).alias("_at", "text"))
         # running lengths: a group begins below half a prompt and takes in at most half a prompt more
-        run = W.partitionBy("order_key").orderBy(F.xxhash64("text"), "_at").rowsBetween(W.unboundedPreceding, -1)
-        part = F.floor(F.coalesce(F.sum(F.length("text") + 2).over(run), F.lit(0)) / half)
+        pieces = running(pieces, [F.xxhash64("text"), F.col("_at")], {"_upto": F.length("text") + 2}, by=["order_key"], range_rows=TEXTS_IN_RANGE)
+        part = F.floor((F.col("_upto") - F.length("text") - 2) / half)
         packed = pieces.withColumn("_part", part).groupBy("order_key", "_part").agg(
             F.array_join(F.sort_array(F.collect_list("text")), "\n\n").alias("_texts"))
         prompts = packed.select("order_key", "_texts", F.concat(F.lit(instruction), F.col("_texts")).alias("prompt"))
-        coarser = F.lit("") if level is None else F.coalesce(F.trunc(F.to_date("order_key"), level).cast("string"), F.lit(""))
+        coarser = F.lit("") if level is None else F.coalesce(F.trunc(F.try_to_date("order_key"), level).cast("string"), F.lit(""))
         partial = complete(prompts, completer).select(
             coarser.alias("order_key"), F.coalesce("response", "_texts").alias("text"),
             F.when(F.col("response").isNull(), F.coalesce("error", F.lit("no response"))).alias("error"))
@@ -212,7 +220,7 @@ def period_summary(
     articles: DataFrame, cache: DataFrame, entity_type: str, name: str, start, end, article_completer: Completer,
     period_completer: Completer, max_chars: int = 200_000, now=None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """E14. (summary row, articles to merge by R08). ``failed_articles`` counts articles without a summary and
+    """E14. (summary row, articles with the new summaries merged by R08: document, key points, keywords, topics, stance). ``failed_articles`` counts articles without a summary and
     ``error`` says why the answer is not complete (NULL: it is). A cached key is returned as it is, with no model call
     and no articles to merge; an entity without articles gives no row."""
     hit = lookup_summary(cache, entity_type, name, start, end)
@@ -241,5 +249,5 @@ def period_summary(
             F.lit(False).alias("from_cache"), F.col("failed").alias("failed_articles"),
             F.coalesce(F.lit(error).cast("string"), F.col("_error")).alias("error"))
     )
-    fresh = rows.where("not already_summarized and summary is not null").select("id", "summary")
-    return out, replace_document(articles, fresh)
+    fresh = rows.where("not already_summarized and summary is not null").select("id", "summary", *SUMMARY_FIELDS)
+    return out, replace_document(articles, fresh, also=tuple(SUMMARY_FIELDS))

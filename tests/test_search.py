@@ -234,6 +234,18 @@ def test_a_failing_group_loses_no_text(spark):
     assert merged.where("id = 3").first()["content"] == "body" and merged.where("id = 4").first()["content"] == "fine"
 
 
+def test_texts_of_one_date_are_grouped_by_ranges(spark, monkeypatch):
+    """All texts under one key: no window holds more than a range of them."""
+    def shorten(prompts: pd.Series) -> pd.Series:
+        assert prompts.str.len().max() <= 2_010
+        return prompts.map(lambda p: " ".join(sorted({w for w in p.split() if w.startswith("#")})))
+
+    monkeypatch.setattr(digest, "TEXTS_IN_RANGE", 10)
+    texts = spark.createDataFrame([("", f"#w{i:03d} " + "filler " * 30) for i in range(150)], "order_key string, text string")
+    response, error = digest.combine_texts(texts, shorten, "", 2_000)
+    assert error is None and set(response.split()) == {f"#w{i:03d}" for i in range(150)}
+
+
 def test_encoder_leaves_other_columns_alone(spark):
     df = spark.createDataFrame([(None, "a", "x"), (2**53 + 1, "b", "y")], "id bigint, title string, content string")
     got = search.embed(df, lambda s: np.array([[len(t), 1.0] for t in s])).collect()
