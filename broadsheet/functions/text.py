@@ -25,6 +25,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it: an expression inside a higher-order
+    function is not shared by the planner."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def escape(literal: str) -> str:
     """Regex that matches ``literal`` itself, for Java and RE2."""
     return re.sub(r"([^\w\s]|\s)", lambda m: "\\" + m.group(0) if ord(m.group(0)) < 128 else m.group(0), literal)

@@ -13,6 +13,7 @@ Filters are tested inside a cell before its best are taken. The corpus is read o
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import uuid
 from dataclasses import dataclass
@@ -32,6 +33,8 @@ from broadsheet.session import scratch_path
 SAMPLE_ROWS = 4_096
 #: Cells at most (the sample has four rows for each).
 MOST_CELLS = 1_024
+#: A cell has so many rows or more on average: below that, visits cost more than the rows they save.
+CELL_ROWS = 250
 #: Rows of a part of a cell, and questions that meet in it at once, about.
 PART_ROWS, QUESTION_ROWS = 50_000, 20_000
 #: Scores held at once in a task.
@@ -85,9 +88,10 @@ def fit_centres(p: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
 
 
 def build_index(corpus: DataFrame, metric: str = "cosine", id: str = "id", embedding: str = "embedding", keep: tuple[str, ...] = (),
-                sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS) -> VectorIndex:
+                sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS, cells: int | None = None) -> VectorIndex:
     """The index of a corpus, stored in the shared folder. Ids are integers; rows without a vector (or with a zero vector,
-    for the cosine) have no similarity to anything and are left out. ``keep``: columns that filters need."""
+    for the cosine) have no similarity to anything and are left out. ``keep``: columns that filters need. ``cells``: by default
+    half the square root of the rows, of CELL_ROWS rows at least, and no more than the sample can place."""
     check_metric(metric)
     spark = corpus.sparkSession
     rows = corpus.select(F.col(id).cast("bigint").alias("cid"), F.col(embedding).alias("cv"), *[F.col(c).alias(c) for c in keep]).where("cv is not null")
@@ -96,7 +100,7 @@ def build_index(corpus: DataFrame, metric: str = "cosine", id: str = "id", embed
     p = points(matrix(sample.column("cv").combine_chunks()), metric) if sample.num_rows else np.zeros((0, 1))
     fit = ~np.isnan(p).any(1)
     sample, p = sample.filter(pa.array(fit)), p[fit]
-    cells = max(1, min(MOST_CELLS, len(p) // 4, round(math.sqrt(n) / 2)))
+    cells = cells or max(1, min(MOST_CELLS, len(p) // 4, round(math.sqrt(n) / 2), math.ceil(n / CELL_ROWS)))
     centres = fit_centres(p, cells) if len(p) else np.zeros((1, p.shape[1]))
     share = np.bincount(_distances(p, centres).argmin(1), minlength=len(centres)) / max(1, len(p))
     parts = np.maximum(1, np.ceil(share * n / part_rows)).astype(np.int64)
@@ -158,12 +162,16 @@ def probes_for(index: VectorIndex, k: int, recall: float, questions: int = 256)
     return int(np.sort(visited.ravel())[min(visited.size - 1, math.ceil(recall * visited.size) - 1)]) + 1
 
 
-def row_masks(filters: list[dict], table) -> list:
-    """Per question the rows its filters admit (None: all). Value lists are indexed once."""
+def row_masks(filters: list[tuple], table) -> list:
+    """The rows that each of some distinct filters admits (None: all). Value lists are indexed once."""
     n = table.num_rows
-    index: dict = {}
-    for name in FILTERS:
-        wanted = {v for f in filters for v in (f.get(name) or ())}
+    masks: list = [None] * len(filters)
+
+    def narrow(i: int, hit: np.ndarray) -> None:
+        masks[i] = hit if masks[i] is None else masks[i] & hit
+
+    for at, name in enumerate(FILTERS):
+        wanted = {v for f in filters for v in f[at]}
         if not wanted:
             continue
         column = table.column(name)
@@ -172,45 +180,42 @@ def row_masks(filters: list[dict], table) -> list:
         for row, value in zip(pa.compute.list_parent_indices(column).to_numpy(), column.flatten().to_pylist(), strict=True):
             if value in wanted:
                 places.setdefault(value, []).append(row)
-        index[name] = places
-    dates = None
-    if any(f.get("from") or f.get("to") for f in filters):
-        dates = table.column("date").to_numpy(zero_copy_only=False).astype("datetime64[D]") if isinstance(table, pa.RecordBatch) else table.column(
-            "date").to_numpy().astype("datetime64[D]")
-    masks = []
-    for f in filters:
-        mask = None
-        for name in FILTERS:
-            if f.get(name):
+        for i, f in enumerate(filters):
+            if f[at]:
                 hit = np.zeros(n, dtype=bool)
-                for value in f[name]:
-                    hit[index[name].get(value, [])] = True
-                mask = hit if mask is None else mask & hit
-        for bound, test in (("from", np.greater_equal), ("to", np.less_equal)):
-            if f.get(bound):
-                hit = test(dates, np.datetime64(f[bound])) & ~np.isnat(dates)
-                mask = hit if mask is None else mask & hit
-        masks.append(mask)
+                for value in f[at]:
+                    hit[places.get(value, [])] = True
+                narrow(i, hit)
+    if any(f[3] or f[4] for f in filters):
+        dates = table.column("date").cast(pa.date32()).cast(pa.int32()).fill_null(np.iinfo(np.int32).min)
+        dates = np.asarray(dates)
+        for i, f in enumerate(filters):
+            for bound, test in ((f[3], np.greater_equal), (f[4], np.less_equal)):
+                if bound:
+                    narrow(i, test(dates, (bound - dt.date(1970, 1, 1)).days) & (dates > np.iinfo(np.int32).min))
     return masks
 
 
-def _admitted(sim: np.ndarray, filters: list[dict] | None, rows) -> np.ndarray:
-    """Similarities (rows × questions) with -inf where there is none or a filter says no."""
+def _admitted(sim: np.ndarray, filters: list[tuple] | None, rows) -> np.ndarray:
+    """Similarities (rows × questions) with -inf where there is none or a filter says no. Questions with equal filters
+    share one test."""
     sim = np.where(np.isnan(sim), -np.inf, sim)
     if filters is not None:
-        for column, mask in enumerate(row_masks(filters, rows)):
+        distinct: dict = {}
+        for column, f in enumerate(filters):
+            distinct.setdefault(f, []).append(column)
+        for mask, columns in zip(row_masks(list(distinct), rows), distinct.values(), strict=True):
             if mask is not None:
-                sim[~mask, column] = -np.inf
+                sim[np.ix_(~mask, columns)] = -np.inf
     return sim
 
 
-def _filters_of(questions) -> list[dict] | None:
-    """Filters of some questions, if they have any columns for them."""
-    names = [c for c in ("parties", "people", "themes", "from", "to") if f"filter_{c}" in questions.schema.names]
-    if not names:
+def _filters_of(questions) -> list[tuple] | None:
+    """Filters of some questions (parties, people, themes, from, to), if they have the columns for them."""
+    if "filter_parties" not in questions.schema.names:
         return None
-    columns = [questions.column(f"filter_{c}").to_pylist() for c in names]
-    return [dict(zip(names, values, strict=True)) for values in zip(*columns, strict=True)]
+    lists = [[tuple(v or ()) for v in questions.column(f"filter_{c}").to_pylist()] for c in FILTERS]
+    return list(zip(*lists, *[questions.column(f"filter_{c}").to_pylist() for c in ("from", "to")], strict=True))
 
 
 def _visits(index: VectorIndex, questions: pa.RecordBatch, k: int, probes: int | None) -> np.ndarray:
@@ -232,7 +237,7 @@ def _visits(index: VectorIndex, questions: pa.RecordBatch, k: int, probes: int |
     return (bound >= least[:, None] - SLACK) & (bound > -np.inf)
 
 
-def best_rows(qids: np.ndarray, mq: np.ndarray, ids: np.ndarray, mc: np.ndarray, k: int, metric: str, filters: list[dict] | None = None, rows=None):
+def best_rows(qids: np.ndarray, mq: np.ndarray, ids: np.ndarray, mc: np.ndarray, k: int, metric: str, filters: list[tuple] | None = None, rows=None):
     """(question, id, similarity) of the k best rows of each question, ties by id."""
     out: list[list[np.ndarray]] = [[], [], []]
     step = max(1, SLICE_SCORES // max(1, len(ids)))

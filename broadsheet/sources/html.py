@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions.dates import check_bound
-from broadsheet.functions.text import col, resolve_url, strip, strip_boilerplate
+from broadsheet.functions.text import col, let, resolve_url, strip, strip_boilerplate
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNWANTED = frozenset("nav header footer aside script style".split())
@@ -259,59 +260,133 @@ def extract_articles(
 
 # --- JVM-side column functions on raw HTML -------------------------------------------------------------
 
+#: The attributes of a start tag: quoted either way or not at all; a quoted ``>`` does not end the tag.
+_ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
+_PAIR = r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+#: What a parser does not show: comments, scripts and styles.
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+
+
+def _windows_1252(code: int) -> str:
+    """What browsers read a numeric reference to a C1 control as."""
+    return bytes([code]).decode("cp1252", "ignore") or chr(code)
+
+
+def _named() -> Column:
+    """Named references, from the standard library's table: one constant."""
+    return F.str_to_map(F.lit("\x02".join(f"{name}\x01{text}" for name, text in html5.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _controls() -> Column:
+    return F.str_to_map(F.lit("\x02".join(f"{c}\x01{_windows_1252(c)}" for c in range(0x80, 0xA0))), F.lit("\x02"), F.lit("\x01"))
+
+
+def _numeric(e: Column) -> Column:
+    """The character of a numeric reference such as ``&#8217;`` or ``&#x2019;``."""
+    def char(code: Column) -> Column:
+        replaced = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+        text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(replaced, "\ufffd").when(code.between(0x80, 0x9F), F.try_element_at(_controls(), code.cast("string"))).when(none, "").otherwise(text)
+
+    digits = F.regexp_extract(e, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    short = F.when(F.length(digits) < 12, digits)
+    return let(F.when(e.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(short).try_cast("bigint"), char)
+
+
+def _meaning(e: Column) -> Column:
+    """What a character reference stands for."""
+    out = F.when(F.startswith(e, F.lit("&#")), _numeric(e))
+    for name, char in {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0"}.items():
+        out = out.when(e == name, char)
+    return out.otherwise(F.coalesce(F.try_element_at(_named(), F.substring(e, 2, 40)), e))
+
+
 def unescape(c) -> Column:
-    """The five predefined entities and the non-breaking space."""
-    out = col(c)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Character references, numeric and named, each once: ``&amp;lt;`` becomes ``&lt;``. Unknown names stay."""
+    def read(text: Column) -> Column:
+        meanings = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), 0), _meaning)
+        joined = F.array_join(F.zip_with(F.split(text, _ENTITY, -1), meanings, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+        return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+    return let(col(c), read)
+
+
+def visible(html="html") -> Column:
+    """A page without comments, scripts and styles."""
+    h = col(html)
+    return F.when(h.rlike("(?i)<!--|<script|<style"), F.regexp_replace(h, _HIDDEN, "")).otherwise(h)
+
+
+def tags(shown: Column, name: str) -> Column:
+    """The attribute texts of all start tags of a name in :func:`visible` HTML, in order."""
+    return F.regexp_extract_all(shown, F.lit(rf"(?is)<{name}(?=[\s/>]){_ATTRS}>"), 1)
+
+
+def attribute(attrs: Column, name: str) -> Column:
+    """An attribute's value within a start tag's attribute text, with its character references resolved."""
+    names = F.transform(F.regexp_extract_all(attrs, F.lit(_PAIR), 1), lambda n: F.lower(n))
+    raw = F.get(F.regexp_extract_all(attrs, F.lit(_PAIR), 2), (F.array_position(names, name) - 1).cast("int"))
+    bare = lambda r: F.when(F.substring(r, 1, 1).isin('"', "'"), F.substr(r, F.lit(2), F.length(r) - 2)).otherwise(r)
+    return F.when(F.contains(F.lower(attrs), F.lit(name)), unescape(let(raw, bare)))
 
 
 def inner_text(fragment) -> Column:
-    """Text of an HTML fragment: tags out, entities resolved, trimmed."""
+    """Text of an HTML fragment: tags out, references resolved, trimmed."""
     return strip(unescape(F.regexp_replace(col(fragment), "<[^>]*>", "")))
 
 
-def _element(html, tag: str, class_regex: str | None = None) -> Column:
-    attr = "[^>]*" if class_regex is None else rf'[^>]*class\s*=\s*"[^"]*(?:{class_regex})[^"]*"[^>]*'
-    return F.nullif(inner_text(F.regexp_extract(col(html), rf"(?is)<{tag}\b{attr}>(.*?)</{tag}\s*>", 1)), F.lit(""))
+def _element(shown: Column, tag: str, class_regex: str | None = None) -> Column:
+    """Text of the first element of a name, or of those whose class matches; NULL if it has none."""
+    pattern = rf"(?is)<{tag}(?=[\s/>]){_ATTRS}>(.*?)</{tag}\s*>"
+    if class_regex is None:
+        return F.nullif(inner_text(F.regexp_extract(shown, pattern, 2)), F.lit(""))
+    classes = F.transform(F.regexp_extract_all(shown, F.lit(pattern), 1), lambda a: F.coalesce(attribute(a, "class"), F.lit("")).rlike(f"(?i){class_regex}"))
+    first = let(F.array_position(classes, F.lit(True)), lambda at: F.when(
+        at > 0, F.get(F.regexp_extract_all(shown, F.lit(pattern), 2), (at - 1).cast("int"))))
+    return F.nullif(inner_text(first), F.lit(""))
 
 
 def extract_title(html="html") -> Column:
     """S02. The article-title heading, any h1, or an h2 classed as title or headline."""
-    return F.coalesce(
-        _element(html, "h1", r"\barticle-title\b"), _element(html, "h1"), _element(html, "h2", "title|headline")
-    )
+    return let(visible(html), lambda h: F.coalesce(
+        F.when(h.rlike(r"(?i)\barticle-title\b"), _element(h, "h1", r"\barticle-title\b")), _element(h, "h1"), _element(h, "h2", "title|headline")))
 
 
 def extract_published_date(html="html") -> Column:
     """S04. Calendar date from the meta property, the time element or the date block; NULL when none fits."""
-    h = col(html)
-    meta = F.regexp_extract(
-        h, r'(?is)<meta\b[^>]*property\s*=\s*"article:published_time"[^>]*content\s*=\s*"([^"]*)"', 1)
-    time = F.regexp_extract(h, r'(?is)<time\b[^>]*datetime\s*=\s*"([^"]*)"', 1)
-    block = F.regexp_extract(h, r'(?is)<div\b[^>]*class\s*=\s*"date"[^>]*>(.*?)</div>', 1)
-    worded = F.regexp_replace(inner_text(block), "(?s)Last update.*", "")
-    return F.coalesce(parse_published(meta), parse_published(time), parse_published(worded))
+    def read(h: Column) -> Column:
+        metas = F.filter(tags(h, "meta"), lambda a: attribute(a, "property") == "article:published_time")
+        times = F.filter(F.transform(tags(h, "time"), lambda a: attribute(a, "datetime")), lambda d: d.isNotNull())
+        worded = F.regexp_replace(_element(h, "div", r"(?:^|\s)date(?:\s|$)"), "(?s)Last update.*", "")
+        found = lambda raw: let(raw, parse_published)
+        return F.coalesce(
+            F.when(F.contains(h, F.lit("article:published_time")), found(attribute(F.get(metas, F.lit(0)), "content"))),
+            F.when(h.rlike("(?i)<time"), found(F.get(times, F.lit(0)))), found(worded))
+
+    return let(visible(html), read)
 
 
 def extract_author_category(html="html", author=("author", "byline", "writer", "reporter"),
                             default_category: str = "politics") -> Column:
     """S05. struct(author, category) by the first element whose class matches."""
-    h = col(html)
-    any_tag = lambda cls: F.nullif(inner_text(F.regexp_extract(
-        h, rf'(?is)<(\w+)\b[^>]*class\s*=\s*"[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</\1\s*>', 2)), F.lit(""))
-    return F.struct(
-        F.coalesce(*[any_tag(c) for c in author]).alias("author"),
+    def any_tag(h: Column, cls: str) -> Column:
+        value = rf"""(?:"[^"]*\b{cls}\b[^"]*"|'[^']*\b{cls}\b[^']*'|[^\s"'>]*\b{cls}\b[^\s"'>]*)"""
+        text = F.regexp_extract(h, rf"(?is)<(\w+)\b[^>]*\sclass\s*=\s*{value}[^>]*>(.*?)</\1\s*>", 2)
+        return F.when(F.contains(F.lower(h), F.lit(cls)), F.nullif(inner_text(text), F.lit("")))
+
+    return let(visible(html), lambda h: F.struct(
+        F.coalesce(*[any_tag(h, c) for c in author]).alias("author"),
         F.coalesce(_element(h, "a", "category"), F.lit(default_category)).alias("category"),
-    )
+    ))
 
 
 def extract_links(pages: DataFrame, base_url: str, pattern: str | None = None, contains: str | None = None,
                   min_length: int = 0, html: str = "html", key: str = "page_id") -> DataFrame:
     """S06. Links of a page, absolute, matching the filters, distinct and in first-seen order:
     (key, position, link)."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), 1)
+    hrefs = F.transform(tags(visible(html), "a"), lambda a: attribute(a, "href"))
 
     def wanted(h: Column) -> Column:
         ok = F.length(h) > min_length
@@ -321,7 +396,7 @@ def extract_links(pages: DataFrame, base_url: str, pattern: str | None = None, c
             ok = ok & F.contains(h, F.lit(contains))
         return ok
 
-    absolute = F.transform(F.filter(F.transform(hrefs, unescape), wanted), lambda h: resolve_url(base_url, h))
+    absolute = F.transform(F.filter(hrefs, wanted), lambda h: resolve_url(base_url, h))
     links = F.array_distinct(F.array_compact(absolute))
     return pages.select(key, links.alias("_l")).select(key, F.posexplode("_l").alias("position", "link"))
 

@@ -42,7 +42,7 @@ def test_exact_join_visits_all_it_needs(spark, metric):
     near[::90], near[100:400] = 0, near[100]  # zero vectors, and one vector that many rows share
     c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(near)], "id bigint, embedding array<double>")
     q = c.where("id % 9 = 4").select(F.col("id").alias("query_id"), F.transform("embedding", lambda x: x + 0.25).alias("embedding"))
-    index = search.build_index(c, metric, sample_rows=200, part_rows=60)
+    index = search.build_index(c, metric, sample_rows=200, part_rows=60, cells=20)
     assert len(index.centres) > 5 and index.parts.max() > 3 and index.sample.num_rows <= 200
     want = brute(c, q, 5, metric)
     assert rows(search.knn_join(q, index, 5)) == want
@@ -97,7 +97,7 @@ def test_approx_recall(spark):
     """Every row whose id is divisible by 50 against all rows: recall by the exact join."""
     c = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     q = c.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
-    index = search.build_index(c, sample_rows=500)
+    index = search.build_index(c, sample_rows=500, cells=22)
     exact = {(a, i) for a, _, i in rows(search.knn_join(q, index, 10))}
     near = {(a, i) for a, _, i in rows(search.approx_knn_join(q, index, 10))}
     assert len(exact) == 10 * q.count() and len(exact & near) >= 0.9 * len(exact)
