@@ -358,6 +358,12 @@ def _(t):
     return paging.paginate(t.articles, 3, 20).select("id", "total", "total_pages")
 
 
+@query("o02_indexed_page", SQL["o02_paginate"])
+def _(t):
+    stored = t.spark.read.parquet(paging.write_newest_first(t.articles, scratch_path(t.spark, "newest")))
+    return paging.indexed_page(stored, paging.page_index(stored, 20), 3, 20).select("id", "total", "total_pages")
+
+
 @query("o03_offset_limit", base("SELECT id, title FROM base ORDER BY id DESC LIMIT 25 OFFSET 10"))
 def _(t):
     return paging.offset_limit(t.articles, 10, 25).select("id", "title")

@@ -262,3 +262,25 @@ def test_duplicates_are_found_without_their_texts(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("url"), "text")
     plan = plan_of(identity.dedup_by_url(df).select("id", "url"))
     assert "WindowGroupLimit" in plan and "ReadSchema: struct<doc_id:bigint,source:string>" in plan and "text" not in plan
+
+
+def test_a_deep_page_reads_one_range(spark, tmp_path):
+    rows = spark.range(3_000).select("id", F.when(F.col("id") % 50 != 7, F.date_add(F.to_date(F.lit("2020-01-01")), (F.col("id") % 400).cast("int"))).alias("date"),
+                                     F.repeat(F.lit("text "), 20).alias("content"))
+    stored = spark.read.parquet(paging.write_newest_first(rows, str(tmp_path / "newest"), rows_per_file=100))
+    index = paging.page_index(stored, 70)
+    assert index.count() == 43
+    for page in (1, 2, 30, 42, 43):
+        want = [r["id"] for r in paging.paginate(rows, page, 70).collect()]
+        got = paging.indexed_page(stored, index, page, 70)
+        assert [r["id"] for r in got.collect()] == want and {(r["total"], r["total_pages"]) for r in got.collect()} == {(3_000, 43)}
+    deep = paging.indexed_page(stored, index, 30, 70)
+    execution = deep._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    leaf = execution.executedPlan()
+    while leaf.children().size():
+        leaf = leaf.children().head()
+    assert 70 <= leaf.metrics().apply("numOutputRows").value() <= 300
+    assert paging.indexed_page(stored, index, 44, 70).count() == 0
+    with pytest.raises(ValueError):
+        paging.indexed_page(stored, index, 0, 70)
