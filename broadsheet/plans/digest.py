@@ -82,8 +82,10 @@ def newest_articles(articles: DataFrame, n: int) -> DataFrame:
 
 
 def build_digest_input(articles: DataFrame, entity_type: str, name: str, n: int, start=None, end=None) -> DataFrame:
-    """E12. One row: the n newest articles of an entity as numbered blocks, with A18's window."""
-    chosen = newest_articles(entity_articles(articles, entity_type, name, start, end), n)
+    """E12. One row: the n newest articles of an entity as numbered blocks, with A18's window. Articles are chosen without their
+    texts; the texts of the n chosen ones (ids are distinct) are read then and stored for the steps that follow."""
+    ids = newest_articles(entity_articles(articles.drop("content"), entity_type, name, start, end), n).select("id")
+    chosen = materialize(articles.join(F.broadcast(ids), "id", "left_semi"), "chosen")
     order = F.struct(
         (-F.unix_date(F.coalesce(F.col("date"), F.to_date(F.lit("0001-01-01"))))).alias("d"), (-F.col("id")).alias("i"),
         F.coalesce("title", F.lit("No title")).alias("title"), F.coalesce("content", F.lit("")).alias("content"),

@@ -40,12 +40,18 @@ def party_articles(articles: DataFrame, gaz, party: str, date_from=None, date_to
     return filter_date_strict(rows, date_from, date_to)
 
 
+def _kept(rows: DataFrame, dedup: bool, date_from, date_to) -> DataFrame:
+    """First row of each URL, then the date range. Listed rows come in, so no text is shuffled to find duplicates."""
+    return filter_date_strict(dedup_by_url(rows) if dedup else rows, date_from, date_to)
+
+
 def party_profile(articles: DataFrame, gaz, party: str, date_from=None, date_to=None, page: int = 1, size: int = 20,
                   dedup: bool = True) -> DataFrame:
     """O07. One page of a party's articles, newest first, with totals. Every party of the gazetteer has a
     profile, also without articles."""
-    rows = party_articles(articles, gaz, party, date_from, date_to, dedup)
-    return paginate(_summaries(rows), page, size).withColumn("party", F.lit(party))
+    _check(gaz, party)
+    rows = _kept(_summaries(filter_any(articles, parties=[party])), dedup, date_from, date_to)
+    return paginate(rows, page, size).withColumn("party", F.lit(party))
 
 
 def figure_articles(articles: DataFrame, gaz, party: str, figure: str, date_from=None, date_to=None,
@@ -59,8 +65,9 @@ def figure_articles(articles: DataFrame, gaz, party: str, figure: str, date_from
 
 def figure_profile(articles: DataFrame, gaz, party: str, figure: str, date_from=None, date_to=None,
                    top_k: int | None = None, page: int | None = None, size: int = 20, dedup: bool = True) -> DataFrame:
-    """O08. A figure's articles under a party: the newest ``top_k`` (at most 100), or one page, or all."""
-    rows = _summaries(figure_articles(articles, gaz, party, figure, date_from, date_to, dedup))
+    """O08. A figure's articles under a party: the newest ``top_k``, or one page, or all."""
+    _check(gaz, party, figure)
+    rows = _kept(_summaries(filter_affiliated(articles, figure, party)), dedup, date_from, date_to)
     if page is not None:
         rows = paginate(rows, page, size)
     elif top_k:

@@ -284,3 +284,22 @@ def test_a_deep_page_reads_one_range(spark, tmp_path):
     assert paging.indexed_page(stored, index, 44, 70).count() == 0
     with pytest.raises(ValueError):
         paging.indexed_page(stored, index, 0, 70)
+
+
+def test_profiles_find_duplicates_without_texts(spark, monkeypatch):
+    from broadsheet.plans import digest, profiles
+
+    rows = [(i, f"t{i}", f"u{i % 5}" if i % 4 else "", "long text " * 200, "2024-01-0%d" % (1 + i % 9), ["P1"], ["F1"], {"F1": "P1"}) for i in range(40)]
+    a = spark.createDataFrame(rows, "id bigint, title string, url string, content string, date string, parties array<string>, people array<string>, people_affiliations map<string,string>")
+    a = spark.read.parquet(store.write_articles(a.withColumn("source", F.lit("s")).withColumn("keywords", F.array()), scratch_path(spark, "profiled")))
+    for profile in (profiles.party_profile(a, GAZ, "P1"), profiles.figure_profile(a, GAZ, "P1", "F1")):
+        got = profile._jdf.queryExecution().optimizedPlan().toString()
+        window = got.index("Window [row_number()")
+        assert "content" in got and "content" not in got[window:].split("Project")[0]
+        profile.collect()
+    kept = {r["id"] for r in identity.dedup_by_url(a).collect()}
+    assert {r["id"] for r in profiles.party_profile(a, GAZ, "P1", size=100).collect()} == kept
+    texts = []
+    monkeypatch.setattr(digest, "dedup_by_url", lambda df: texts.append(df.columns) or identity.dedup_by_url(df))
+    row = digest.build_digest_input(a, "party", "P1", 7).first()
+    assert row["articles_analyzed"] == 7 and "content" not in texts[0] and row["digest_text"].count("long text " * 200) == 7
