@@ -266,7 +266,7 @@ def read_summary(response: str | None) -> dict:
     return out
 
 
-def read_keywords(response: str | None, n: int) -> dict:
+def read_keywords(response: str | None, n: int, n_phrases: int = 5, n_topics: int = 3) -> dict:
     parts = sections_of(response or "", KEYWORD_MARKS)
     items = lambda name: [
         t for x in parts.get(name, []) if not x.startswith(("\0", "#")) and not (x.startswith("**") and x.endswith("**"))
@@ -276,7 +276,7 @@ def read_keywords(response: str | None, n: int) -> dict:
         lines = (raw.strip().lstrip(BULLET_CHARS) for raw in (response or "").split("\n"))
         out["keywords"] = [w.strip() for x in lines if x and not x.startswith(("**", "#"))
                            for w in x.split(",") if w.strip()]
-    return {"keywords": out["keywords"][:n], "phrases": out["phrases"][:5], "topics": out["topics"][:3]}
+    return {"keywords": out["keywords"][:n], "phrases": out["phrases"][:n_phrases], "topics": out["topics"][:n_topics]}
 
 
 def parse_sectioned_summary(response) -> Column:
@@ -291,12 +291,12 @@ def parse_sectioned_summary(response) -> Column:
     return parse(col(response))
 
 
-def parse_keyword_lists(response, n: int = 10) -> Column:
-    """E07. Keyword response → struct(keywords ≤ n, phrases ≤ 5, topics ≤ 3)."""
+def parse_keyword_lists(response, n: int = 10, n_phrases: int = 5, n_topics: int = 3) -> Column:
+    """E07. Keyword response → struct(keywords ≤ n, phrases ≤ n_phrases, topics ≤ n_topics)."""
 
     @F.pandas_udf("keywords array<string>, phrases array<string>, topics array<string>")
     def parse(responses: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_keywords(r, n) for r in responses], columns=["keywords", "phrases", "topics"])
+        return pd.DataFrame([read_keywords(r, n, n_phrases, n_topics) for r in responses], columns=["keywords", "phrases", "topics"])
 
     return parse(col(response))
 

@@ -165,6 +165,8 @@ def test_keyword_lists():
     got = enrich.read_keywords("**Keywords**\n1. reform\n- vote\n**Key Phrases**\n- election law\nMain Topics:\nlaw", 1)
     assert got == {"keywords": ["reform"], "phrases": ["election law"], "topics": ["law"]}
     assert enrich.read_keywords("a, b\n- c", 5)["keywords"] == ["a", "b", "c"]
+    many = enrich.read_keywords("**Key Phrases**\n" + "\n".join(f"- p{i}" for i in range(9)) + "\n**Main Topics**\n- a\n- b\n- c\n- d", 5, 7, 4)
+    assert len(many["phrases"]) == 7 and many["topics"] == ["a", "b", "c", "d"]
 
 
 def test_json_responses(spark):
