@@ -71,7 +71,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = documents(spark, sf_dir), id_remainder(4) == 2
+    docs, held_out = documents(spark, sf_dir), F.coalesce(id_remainder(4) == 2, F.lit(False))
     weights = quality.fit(docs, labels(spark, sf_dir), where=~held_out)
     return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -92,7 +92,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = documents(spark, sf_dir), id_remainder(3) == 1
+    docs, held_out = documents(spark, sf_dir), F.coalesce(id_remainder(3) == 1, F.lit(False))
     model = language_id.fit(docs.where(~held_out))
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
