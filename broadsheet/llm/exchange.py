@@ -5,9 +5,9 @@ dealt into blocks once; each block asks about each of its keys once, however man
 third of all texts hold makes one question per block); a question goes to the bucket that the key hashes to. A bucket
 sees all questions about its keys, and answers each block in the order in which it asked, so that an answer can be as
 short as a bit. Rows are (block, bucket, body) with packed arrays as bodies: Spark partitions, shuffles and spills
-them, numpy works inside a block or bucket. There are twice as many blocks and as many buckets as shuffle partitions,
-so the size of either stays the same as tables and partitions grow together; there are no more rows than a shuffle
-between these partitions has pieces, and no more than keys.
+them, numpy works inside a block or bucket. How many blocks and buckets there are follows from the bytes of the texts
+alone, not from the shuffle partitions, so that a block's or bucket's size stays the same as tables grow, and a table's
+messages stay the same however many partitions it is dealt over. A block sends no more messages than it has keys.
 
 A block goes through its rows in an order of content (id, hash of id and text), so all passes over it agree.
 """
@@ -23,19 +23,22 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.common import narrow, parts
 
-#: Blocks for each shuffle partition: more than one, so that partitions get about alike.
-BLOCKS_PER_PARTITION = 2
+#: Bytes of text that a block holds on average (more where one text is longer), and the blocks for each bucket.
+BLOCK_BYTES = 5_000_000
+BLOCKS_PER_BUCKET = 2
 MESSAGE = "block int, bucket int, kind int, body binary"
 LAST = np.iinfo(np.int64).max
 
 
-def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
-    """(block, doc_id, text, row_hash, ``more``): documents dealt into blocks by a hash of id and length. ``more`` may
-    refer to the id as ``doc_id``."""
-    n = parts(docs.sparkSession)
+def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> tuple[DataFrame, int]:
+    """(block, doc_id, text, row_hash, ``more``): documents dealt into blocks by a hash of id and length; and the number
+    of buckets for their keys. ``more`` may refer to the id as ``doc_id``. One pass over the texts adds up their bytes."""
     rows = narrow(docs, id_col, text_col).select("*", *[c.alias(name) for name, c in more.items()])
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n * BLOCKS_PER_PARTITION)).cast("int")
-    return rows.select(block.alias("block"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash"), *more).repartition(n, "block")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    n = size // BLOCK_BYTES + 1
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
+    dealt = rows.select(block.alias("block"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash"), *more)
+    return dealt.repartition(parts(docs.sparkSession), "block"), -(-n // BLOCKS_PER_BUCKET)
 
 
 class Block:

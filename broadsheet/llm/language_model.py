@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import exchange as ex
-from broadsheet.llm.common import mix, parts, stage
+from broadsheet.llm.common import mix, stage
 from broadsheet.llm.substring_dedup import split
 from broadsheet.llm.tokens import SPACE, words
 
@@ -159,10 +159,7 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     Learns from the rows for which ``train``, a condition on the id column ``doc_id``, holds (null: no). Null and empty
     texts are an end only. Without training texts all counts are 0. Repeated rows count as often as they occur.
     """
-    spark = docs.sparkSession
-    n = parts(spark)
-    buckets = n
-    blocks = ex.blocks_of(docs, id_col, text_col, learn=F.coalesce(train, F.lit(False)))
+    blocks, buckets = ex.blocks_of(docs, id_col, text_col, learn=F.coalesce(train, F.lit(False)))
 
     def ask(block: ex.Block) -> list[tuple]:
         t = Tokens(block)

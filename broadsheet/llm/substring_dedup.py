@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from broadsheet.llm import exchange as ex
-from broadsheet.llm.common import mix, parts, window_hashes
+from broadsheet.llm.common import mix, window_hashes
 from broadsheet.llm.tokens import SPACE, Words, words
 
 WINDOW = 20
@@ -130,8 +130,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     after all others; rows that share an id are not earlier than one another but by their starts. Null and empty texts
     have no words and an empty ``kept``; an empty table gives none.
     """
-    buckets = parts(docs.sparkSession)
-    blocks = ex.blocks_of(docs, id_col, text_col)
+    blocks, buckets = ex.blocks_of(docs, id_col, text_col)
 
     def ask_keys(block: ex.Block) -> list[tuple]:
         keys, counts = block_keys(Windows(words(block.text, SPACE), size))

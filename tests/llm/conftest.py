@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from broadsheet.llm import exchange
+
 SF = "/root/testdata/sf0.001"
 #: Rows that every operator must take: nulls, empty, blank, very long, ties, repeats, other scripts.
 ROWS = [
@@ -10,6 +12,12 @@ ROWS = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def small_blocks(monkeypatch):
+    """Blocks small enough that the small tables fill several of them."""
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 40_000)
+
+
 @pytest.fixture(scope="session")
 def edge(spark):
     """The rows above beside columns whose names operators use inside."""
