@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import exchange as ex
-from broadsheet.llm.common import mix, stage
+from broadsheet.llm.common import mix
 from broadsheet.llm.substring_dedup import split
 from broadsheet.llm.tokens import SPACE, words
 
@@ -29,8 +29,7 @@ PROBES = 3
 SMOOTHING = 0.1
 PAIR_SHARE = 0.6
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A275)
-SHORT = np.uint64((1 << 48) - 1)
-COUNTS, TOTALS = 0, 1
+SHORT = np.uint64((1 << 40) - 1)
 SCHEMA = ("doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
@@ -44,6 +43,21 @@ def unpack(body: bytes) -> np.ndarray:
     return np.frombuffer(body, f"<u{body[0]}", offset=1).astype(np.int64)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys as the gaps between them, in the fewest bytes that hold the largest; the first byte says how many."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_sorted(body: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """The ``n`` keys packed from byte ``at`` on, and where they end."""
+    width = body[at]
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(body, np.uint8, n * width, at + 1).reshape(n, width)
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), at + 1 + n * width
+
+
 class Tokens:
     """A block's tokens: the words of each text in order, then one end."""
 
@@ -78,7 +92,8 @@ def n_levels(counts: np.ndarray) -> np.ndarray:
 
 class Filter:
     """Segments of equal size; a key's segment is that of its bucket. A bucket's own filter is one segment. Places depend
-    on the key's lower 48 bits, which is what travels of a pair."""
+    on the key's lower 40 bits, which is what travels of a pair; the bucket, of which there are more in larger tables,
+    tells apart the rest."""
 
     def __init__(self, bits: bytes | None, buckets: int, segment: int):
         self.buckets, self.size = buckets, segment
@@ -129,26 +144,25 @@ def expected(levels: np.ndarray) -> np.ndarray:
 
 
 def both_split(tokens: np.ndarray, pairs: np.ndarray, buckets: int):
-    """(bucket, indices of tokens, indices of pairs) for each bucket that has either."""
+    """(bucket, indices of tokens, indices of pairs) for each bucket that has either, both in the order of the bits that
+    travel; the keys themselves are in order."""
     one, two, none = dict(split(tokens, buckets)), dict(split(pairs, buckets)), np.empty(0, np.int64)
     for b in sorted({*one, *two}):
-        yield b, one.get(b, none), two.get(b, none)
+        other = two.get(b, none)
+        yield b, one.get(b, none), other[np.argsort(pairs[other] & SHORT, kind="stable")]
 
 
 def question(tokens: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> bytes:
-    """Distinct tokens and pairs of a block and how often its training texts hold each."""
-    return (np.array([len(tokens), len(pairs)], np.uint64).tobytes() + tokens.tobytes() + pairs.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            + pack(counts) + pack(pair_counts))
+    """Distinct tokens and pairs of a block, in order, and how often its training texts hold each."""
+    return (np.array([len(tokens), len(pairs)], np.uint64).tobytes() + pack_sorted(tokens) + pack_sorted(pairs & SHORT) + pack(counts) + pack(pair_counts))
 
 
 def read_question(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, m = (int(x) for x in np.frombuffer(body, np.uint64, 2))
-    at = 16 + 8 * n
-    pairs = np.zeros((m, 8), np.uint8)
-    pairs[:, :6] = np.frombuffer(body, np.uint8, 6 * m, at).reshape(-1, 6)
-    at += 6 * m
+    tokens, at = unpack_sorted(body, n, 16)
+    pairs, at = unpack_sorted(body, m, at)
     end = at + 1 + body[at] * n
-    return np.frombuffer(body, np.uint64, n, 16), unpack(body[at:end]), pairs.view(np.uint64).ravel(), unpack(body[end:])
+    return tokens, unpack(body[at:end]), pairs, unpack(body[end:])
 
 
 def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +179,7 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         t = Tokens(block)
         learn = np.repeat(block.extra("learn"), t.n)
         tokens, pairs = (counted(x, learn)[:2] for x in (t.hash, t.pair))
-        return [ex.message(block.number, b, COUNTS, question(*(x[part] for x in tokens), *(x[other] for x in pairs)))
+        return [ex.message(block.number, b, 0, question(*(x[part] for x in tokens), *(x[other] for x in pairs)))
                 for b, part, other in both_split(tokens[0], pairs[0], buckets)]
 
     def answer(rows: list[tuple]) -> list[tuple]:
@@ -180,18 +194,26 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         out, at, pair_at = [], 0, 0
         for r, a in zip(rows, asked, strict=True):
             k, m = len(a[0]), len(a[2])
-            out.append(ex.message(r[0], bucket, COUNTS, single[at:at + k].tobytes() + both[pair_at:pair_at + m].tobytes() + pack(exact[at:at + k])))
+            out.append(ex.message(r[0], bucket, 0, single[at:at + k].tobytes() + both[pair_at:pair_at + m].tobytes() + pack(exact[at:at + k])))
             at, pair_at = at + k, pair_at + m
-        out.append(ex.message(-1, bucket, TOTALS, np.array([counts.sum(), (counts > 0).sum()], np.int64).tobytes()))
         return out
 
-    replies = stage(ex.answer(ex.ask(blocks, ask), answer), "counts")
-    totals = [np.frombuffer(r["body"], np.int64) for r in replies.where(F.col("kind") == TOTALS).select("body").collect()]
-    all_tokens, all_distinct = (int(sum(t[i] for t in totals)) for i in (0, 1))
-    floor = all_tokens + SMOOTHING * (all_distinct + 1)
+    def add_up(table: pa.Table) -> pa.Table:
+        """The tokens of a bucket and how many distinct ones training texts have."""
+        asked = [read_question(body) for body in table.column("body").to_pylist()]
+        counts = counted(*(np.concatenate([a[i] for a in asked]) for i in (0, 1)))[1]
+        return pa.table([pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())])], names=["tokens", "distinct"])
+
+    # Both read one exchange of the questions, and the totals reach the blocks as a subquery: nothing is stored or dealt twice.
+    questions = ex.ask(blocks, ask)
+    replies = ex.answer(questions, answer)
+    totals = questions.groupBy("bucket").applyInArrow(add_up, "tokens bigint, distinct bigint").agg(F.array(F.sum("tokens"), F.sum("distinct")))
+    blocks = blocks.withColumn("totals", totals.scalar())
 
     def score(block: ex.Block, answers: list[tuple]) -> pa.Table:
         t = Tokens(block)
+        all_tokens, all_distinct = block.table.column("totals")[0].as_py()
+        floor = all_tokens + SMOOTHING * (all_distinct + 1)
         n_docs = len(block.ids)
         keys, inverse = np.unique(t.hash, return_inverse=True)
         pairs, where = np.unique(t.pair, return_inverse=True)
@@ -213,8 +235,7 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         return pa.table([block.doc_id, pa.array(t.n.astype(np.int64)), pa.array(np.bincount(t.doc, known > 0, n_docs).astype(np.int64)),
                          pa.array(np.full(n_docs, all_tokens, np.int64)), pa.array(base), pa.array(np.bincount(t.doc, np.log10(p), n_docs))], names=names())
 
-    own = replies.where(F.col("kind") == COUNTS)
-    return ex.finish(blocks, own, score, SCHEMA, lambda: pa.table([pa.array([], f.type) for f in ARROW], names=names()))
+    return ex.finish(blocks, replies, score, SCHEMA, lambda: pa.table([pa.array([], f.type) for f in ARROW], names=names()))
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
