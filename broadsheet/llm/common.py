@@ -119,15 +119,16 @@ def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa
 
 
 def filter_rows(docs: DataFrame, text_col: str, build: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text (null: empty) a function made once per task says to keep."""
-    def run(batches):
-        keep = build()
-        for batch in batches:
-            for part in chunks(batch, text_col):
-                text = part.column(part.schema.get_field_index(text_col)).cast(pa.string()).fill_null("")
-                yield part.filter(pa.array(keep(text)))
+    """The rows of ``docs``, all columns, whose text (null: empty) a function made once per task says to keep.
+
+    Only texts go to Python and only booleans come back; the rows stay in the JVM."""
+    def keep(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = build()
+        for text in texts:
+            done = [pa.array(work(part.column(0)), pa.bool_()) for part in chunks(pa.RecordBatch.from_arrays([text.cast(pa.string())], names=["text"]))]
+            yield pa.concat_arrays(done)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(keep, "boolean")(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
 
 
 def chunks(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.RecordBatch]:

@@ -265,8 +265,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
     def work(batches):
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 together = np.concatenate([x, y])
                 together.sort()
                 shared = int((together[1:] == together[:-1]).sum())
