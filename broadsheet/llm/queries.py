@@ -45,14 +45,14 @@ def id_remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-@query("op1_line_dedup", """
+@query("op1_line_dedup", r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-     w AS (SELECT doc_id, ls[i] AS line, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY ls[i:i + 2] ORDER BY doc_id, i) > 1 AS gone
-           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d)),
-     c AS (SELECT doc_id, i, line, coalesce(bool_or(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), false) AS gone
-           FROM w LEFT JOIN r USING (doc_id, i)),
-     k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+     w AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+     p AS (SELECT doc_id, i, k, ls[i:i + k - 1] AS run FROM (SELECT doc_id, ls, k, unnest(range(1, len(ls) - k + 2)) AS i FROM d, (VALUES (1), (2), (3)) AS t(k))),
+     r AS (SELECT doc_id, i, k, run, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS later FROM p),
+     g AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i, true AS gone FROM r
+           WHERE later AND (k = 3 OR len(regexp_extract_all(array_to_string(run, ' '), '[^\x20\x09-\x0D]+')) >= 20)),
+     k AS (SELECT doc_id, count(gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL) AS kept FROM w LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(ls) AS n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN k USING (doc_id)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.remove_repeated_lines(documents(spark, sf_dir))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -81,22 +82,38 @@ def test_sql(spark, name):
 
 # --- 1 lines --------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("k", [1, 2, 3, 5])
-def test_line_runs(spark, k):
+def plain_line_runs(texts, min_lines, min_words):
+    """Per text (lines, removed, kept): every run that counts is looked up among all that start earlier."""
+    seen, want = set(), []
+    for t in texts:
+        lines, gone = t.split("\n"), set()
+        for p in range(len(lines)):
+            for n in range(1, min(min_lines, len(lines) - p) + 1):
+                run = tuple(lines[p:p + n])
+                if run in seen and (n == min_lines or len(re.findall(line_dedup.WORD, " ".join(run))) >= min_words):
+                    gone |= set(range(p, p + n))
+                seen.add(run)
+        want.append((len(lines), len(gone), "\n".join(x for j, x in enumerate(lines) if j not in gone)))
+    return want
+
+
+@pytest.mark.parametrize("k, words", [(1, 20), (2, 2), (3, 20), (3, 3), (5, 4)])
+def test_line_runs(spark, k, words):
     rng = np.random.default_rng(k)
-    texts = ["\n".join(rng.choice(list("abc"), rng.integers(1, 30))) for _ in range(60)] + ["x\ny\nz\nw"] * 40
-    got = line_dedup.remove_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7), min_lines=k).collect()
-    seen, want = set(), {}
-    for i, t in enumerate(texts):
-        lines = t.split("\n")
-        gone = set()
-        for p in range(len(lines) - k + 1):
-            run = tuple(lines[p:p + k])
-            if run in seen:
-                gone |= set(range(p, p + k))
-            seen.add(run)
-        want[i] = (len(lines), len(gone), "\n".join(x for j, x in enumerate(lines) if j not in gone))
-    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in got} == want
+    texts = ["\n".join(rng.choice(["a", "b", "c c", "", "d\u00a0d\x0bd"], rng.integers(1, 30))) for _ in range(60)] + ["x\ny\nz\nw"] * 40
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7), min_lines=k, min_words=words).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in got} == dict(enumerate(plain_line_runs(texts, k, words)))
+
+
+def test_line_runs_of_every_length(spark):
+    """Runs of 1 to 50 lines between lines of their own, short and long lines; and one long line that many texts share."""
+    rng, long = random.Random(5), " ".join(f"w{i}" for i in range(60))
+    runs = [[f"run {n} line {i}" + " more" * rng.randrange(12) for i in range(n)] for n in range(1, 51)]
+    texts = [f"own {d}\n" + "\n".join(run) + f"\nend {d}" for d, run in enumerate(runs + runs)] + [f"only {i}\n{long}" for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in line_dedup.remove_repeated_lines(rows).collect()}
+    assert got == dict(enumerate(plain_line_runs(texts, 3, 20)))
+    assert all(got[100 + i][2] == f"only {i}" for i in range(1, 30)) and all(got[50 + n - 1][1] == n for n in range(3, 51))
 
 
 # --- 2 licenses -----------------------------------------------------------------------------------------
