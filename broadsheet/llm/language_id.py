@@ -12,6 +12,7 @@ An entry must have at least ``floor`` of its language's tokens (or n-grams of th
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -21,7 +22,20 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.common import map_batches, narrow, stage
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+def _ranges(*categories: str) -> str:
+    """The characters of some Unicode categories up to U+FFFF, as ranges of a pattern's character class."""
+    at = [c for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in categories]
+    starts = [c for i, c in enumerate(at) if i == 0 or at[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(at) if i + 1 == len(at) or at[i + 1] != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Words: letters, and the marks that follow them; numerals such as superscripts and fractions are no letters.
+_ASCII_WORD = re.compile(r"[^\W\d_]+")
+_LETTER, _MARK = rf"[^\W\d_{_ranges('No', 'Nl')}]", f"[{_ranges('Mn', 'Mc', 'Me')}]"
+_WORD = re.compile(f"{_LETTER}+(?:{_MARK}+{_LETTER}*)*")
+_BEYOND = re.compile(r"[\U00010000-\U0010ffff]")
 #: Smallest share of a language's tokens that an entry must have; 1 / FLOOR is the largest number of entries.
 FLOOR = 1 / 50_000
 LONGEST = 5
@@ -31,7 +45,11 @@ UNDETERMINED = "und"
 
 
 def _words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Words in lower case. Beyond U+FFFF only letters make words; marks and numerals there part them."""
+    text = text.lower()
+    if text.isascii():
+        return _ASCII_WORD.findall(text)
+    return _WORD.findall(_BEYOND.sub(lambda m: m[0] if m[0].isalpha() else " ", text))
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -175,7 +193,9 @@ def scorer_tables(model: DataFrame) -> tuple[list[str], list[tuple[list[str], np
 
 def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang_pred, score (the share of the language's likelihood per word, 0 to
-    1). Null texts, texts without a letter and an empty model give ``und`` and 0. Only the text is looked at."""
+    1). Null texts, texts without a letter and an empty model give ``und`` and 0. Only the text is looked at, so repeated
+    rows and rows of one id are scored alike, each for itself; equal means go to the language that comes first by name,
+    long texts are scored whole, an empty table gives none, and other columns play no part."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(scorer_tables(model))
     rows = narrow(docs, id_col, text_col)

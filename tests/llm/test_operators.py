@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -255,6 +256,18 @@ def test_quality_on_held_out_texts(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_words_of_a_language_hold_their_marks(spark):
+    words = language_id._words
+    assert words("বাংলাদেশ हिन्दी ภาษาไทย") == ["বাংলাদেশ", "हिन्दी", "ภาษาไทย"]
+    assert words("²½ ³ Ⅷ 12 _ \u0301 😀 𐄇") == []
+    assert words("Été x²y naïve_né e\u0301a 𐐀b😀c") == ["été", "x", "y", "naïve", "né", "e\u0301a", "𐐨b", "c"]
+    plain = [unicodedata.category(chr(c))[0] == "L" for c in range(0x10000)]
+    assert [words(chr(c)) != [] for c in range(0x10000) if chr(c).lower() == chr(c)] == [p for c, p in enumerate(plain) if chr(c).lower() == chr(c)]
+    docs = spark.createDataFrame([(1, "বাংলাদেশ বাংলা", "bn"), (2, "হিন্দি বাংলাদেশের", "as"), (3, "²½ ³", None)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert got == {1: "bn", 2: "as", 3: "und"}
+
+
 def test_language_on_held_out_texts(spark, edge):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op6_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
