@@ -168,7 +168,7 @@ class Scorer:
             return UNDETERMINED, 0.0
         counts = Counter(words)
         times = np.fromiter(counts.values(), float, len(counts))
-        mean = times @ np.array([self.word(w) for w in counts]) / len(words)
+        mean = times @ np.concatenate([self.word(w) for w in counts]).reshape(len(counts), -1) / len(words)
         weights = np.power(10.0, mean.min() - mean)
         best = int(np.argmin(mean))  # equal means: the language that comes first by name
         return self.langs[best], float(weights[best] / weights.sum())
