@@ -84,6 +84,43 @@ _many("j01_tag_500_terms", 500, "word")
 _many("j02_tag_500_terms", 500, "substring")
 
 
+def many_lexicon(n: int) -> dims.Dim:
+    """The made-up words as keywords, ten a theme."""
+    terms = many_terms(n)
+    return dims.lexicon({f"T{i // 10:04d}": terms[i:i + 10] for i in range(0, n, 10)})
+
+
+def many_parties(n: int) -> dims.Dim:
+    """The made-up words as party names and figures in turn, five a party; every third party needs a figure."""
+    terms = many_terms(n)
+    return dims.gazetteer({f"P{i // 5:04d}": {
+        "names": terms[i:i + 2], "figures": {f"F{i + j:04d}": [terms[i + j]] for j in range(2, 5)}, "requires_figure": i % 15 == 0} for i in range(0, n, 5)})
+
+
+@query("t01_theme_500_terms", with_(BASE, ("lex", f"SELECT * FROM {values(many_lexicon(500))}"), THEMES) + "SELECT id, theme, score FROM themes")
+def _(t):
+    scored = themes.theme_scores(t.articles, many_lexicon(500))
+    return scored.select("id", F.explode("theme_scores").alias("theme", "score")).select("id", "theme", F.col("score").cast("bigint").alias("score"))
+
+
+@query("t10_topics_500_terms", with_(BASE, ("lex", f"SELECT * FROM {values(many_lexicon(500))}")) + """
+, f AS (SELECT id, theme, row_number() OVER (PARTITION BY id ORDER BY theme_ordinal) AS rn FROM (SELECT DISTINCT b.id, l.theme, l.theme_ordinal FROM base b JOIN lex l ON contains(lower(b.content), l.keyword)))
+SELECT b.id, coalesce(string_agg(theme, '|' ORDER BY rn), '') AS topics FROM base b LEFT JOIN f ON f.id = b.id AND rn <= 5 GROUP BY b.id""")
+def _(t):
+    return themes.topics(t.articles, many_lexicon(500)).select("id", text_of("topics").alias("topics"))
+
+
+@query("t15_assign_500_terms", with_(BASE, ("gaz", f"SELECT * FROM {values(many_parties(500))}")) + """
+, h AS (SELECT b.id, g.* FROM (SELECT id, lower(both_text) AS low FROM base) b JOIN gaz g ON contains(b.low, g.variant)),
+s AS (SELECT id, party, party_ordinal, sum(CASE kind WHEN 'party' THEN 2 ELSE 5 END) AS score, string_agg(CASE kind WHEN 'figure' THEN canonical END, '|' ORDER BY variant_ordinal) AS figures,
+      bool_or(kind = 'figure') AS any_figure, bool_or(requires_figure) AS req FROM h GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, party_ordinal) AS rn FROM s WHERE any_figure OR NOT req)
+SELECT b.id, party AS party_id, CAST(score AS BIGINT) AS party_score, coalesce(figures, '') AS figures FROM base b LEFT JOIN r ON r.id = b.id AND rn = 1""")
+def _(t):
+    return ent.assign_party(t.articles, many_parties(500)).select(
+        "id", "party_id", F.col("party_score").cast("bigint").alias("party_score"), text_of("mentioned_figures").alias("figures"))
+
+
 def partial_sql() -> str:
     """J03: first variant per figure, whole or through a part between delimiters."""
     edge = "[" + WS + r",।.\-()]"

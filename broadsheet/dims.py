@@ -69,6 +69,14 @@ def config_rows(dim, limit: int = CONFIG_LIMIT) -> list[dict]:
     return rows
 
 
+def holds(dim, column: str, value: str) -> bool:
+    """Whether a dimension of any size has a row with this value."""
+    if isinstance(dim, Dim):
+        at = dim.columns.index(column)
+        return any(row[at] == value for row in dim.rows)
+    return not dim.where(F.col(column) == value).isEmpty()
+
+
 def gazetteer(parties: dict) -> Dim:
     """``{party: {"names": [...], "figures": {canonical: [variants]}, "requires_figure": bool}}`` → Dim."""
     rows = []

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from broadsheet import fixed_values as fixed
-from broadsheet.dims import UNROLL_LIMIT, config_rows, dim_frame, dim_rows, grouped
+from broadsheet.dims import UNROLL_LIMIT, config_rows, dim_frame, dim_rows, grouped, holds
 from broadsheet.functions.arrays import literal_array, unnest
 from broadsheet.functions.text import WS, escape
-from broadsheet.operators.matching import TESTS, any_test, match_by_join, term_tests
+from broadsheet.operators.matching import NAME_EDGE, TESTS, any_test, match_by_join, term_tests
 
 ENTITY = "array<struct<party:string,party_mentioned:boolean,figures:array<string>>>"
 
@@ -69,21 +69,30 @@ def tag_entities(
     return work.withColumn(out, slim.cast(ENTITY)).drop("_lower", "_found")
 
 
-def _tag_by_join(articles, gaz, mode, key, text, out, require_figure) -> DataFrame:
-    spark = articles.sparkSession
-    terms = dim_frame(spark, gaz).withColumn("_v", F.lower("variant"))
+def _gazetteer_hits(articles: DataFrame, gaz, mode: str, key: str, text: Column) -> tuple[DataFrame, DataFrame]:
+    """Gazetteer rows found in each article, and the gazetteer with its variants in lower case as _v."""
+    terms = dim_frame(articles.sparkSession, gaz).withColumn("_v", F.lower("variant"))
     texts = articles.select(key, text.alias("_text"))
-    hits = match_by_join(texts, key, "_text", terms, "_v", mode).join(terms, "_v")
+    return match_by_join(texts, key, "_text", terms, "_v", mode).join(terms, "_v"), terms
+
+
+def _listed_figures(hits: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, party, figures): the figures of each party found in an article, in gazetteer order."""
     figures = (
         hits.where(F.col("kind") == "figure")
         .groupBy(key, "party", "canonical").agg(F.min("variant_ordinal").alias("at"))
     )
     first_at = terms.where("kind = 'figure'").groupBy("party", "canonical").agg(F.min("variant_ordinal").alias("place"))
-    listed = (
+    return (
         figures.join(first_at, ["party", "canonical"]).groupBy(key, "party")
         .agg(F.sort_array(F.collect_list(F.struct("place", "canonical"))).alias("f"))
         .select(key, "party", F.transform("f", lambda x: x["canonical"]).alias("figures"))
     )
+
+
+def _tag_by_join(articles, gaz, mode, key, text, out, require_figure) -> DataFrame:
+    hits, terms = _gazetteer_hits(articles, gaz, mode, key, text)
+    listed = _listed_figures(hits, terms, key)
     parties = hits.groupBy(key, "party").agg(
         F.min("party_ordinal").alias("ordinal"), F.bool_or("requires_figure").alias("requires"),
         F.bool_or(F.col("kind") == "party").alias("party_mentioned"),
@@ -138,12 +147,16 @@ def require_figure_rule(tags: DataFrame, gaz) -> DataFrame:
     )
 
 
-def tag_people_partial(articles: DataFrame, gaz, text: Column | None = None, out: str = "people_raw") -> DataFrame:
+def tag_people_partial(articles: DataFrame, gaz, text: Column | None = None, out: str = "people_raw", key: str = "id",
+                       unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
     """J03. First variant of each figure found whole, or through a part of more than three characters
-    that stands between delimiters."""
+    that stands between delimiters. A gazetteer of more than ``unroll_limit`` rows is joined, by the articles'
+    unique ``key``."""
     text = combined_text() if text is None else text
-    rows = config_rows(gaz)
-    edge = "[" + WS + r",।.\-()]"
+    rows = dim_rows(gaz, unroll_limit)
+    if rows is None:
+        return _people_by_join(articles, gaz, text, out, key)
+    edge = NAME_EDGE
     variants: dict = {}
     for row in sorted(rows, key=lambda r: (r["party_ordinal"], r["variant_ordinal"])):
         if row["kind"] == "figure":
@@ -164,6 +177,26 @@ def tag_people_partial(articles: DataFrame, gaz, text: Column | None = None, out
     return work.withColumn(out, raw.cast("array<string>")).drop("_lower")
 
 
+def _people_by_join(articles: DataFrame, gaz, text: Column, out: str, key: str) -> DataFrame:
+    """Whole variants and parts of variants are looked up apart; each figure's first variant in gazetteer order stays."""
+    variants = (
+        dim_frame(articles.sparkSession, gaz).where("kind = 'figure'")
+        .select("canonical", "variant", F.struct("party_ordinal", "variant_ordinal").alias("place"))
+        .withColumn("_t", F.lower("variant"))
+    )
+    words = F.filter(F.split("_t", f"[{WS}]+"), lambda w: w != "")
+    parts = variants.withColumn("_words", words).where(F.size("_words") > 1)
+    parts = parts.withColumn("_t", F.explode(F.filter("_words", lambda w: F.length(w) > 3))).drop("_words")
+    texts = articles.select(key, text.alias("_text"))
+    whole = match_by_join(texts, key, "_text", variants, "_t", "substring").join(variants, "_t")
+    partly = match_by_join(texts, key, "_text", parts, "_t", "name_part").join(parts, "_t")
+    first = whole.unionByName(partly).groupBy(key, "canonical").agg(F.min(F.struct("place", "variant")).alias("first"))
+    places = variants.groupBy("canonical").agg(F.min("place").alias("at"))
+    found = first.join(places, "canonical").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "first.variant"))).alias("_f"))
+    found = found.select(key, F.transform("_f", lambda f: f["variant"]).alias(out))
+    return articles.drop(out).join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
 def affiliations_of(people: Column, gaz) -> Column:
     """J05. map person → first party that lists the person; people of no party are left out."""
     party_of: dict = {}
@@ -246,7 +279,7 @@ def gazetteer_with_counts(gaz, articles: DataFrame) -> DataFrame:
 
 def gazetteer_members(spark: SparkSession, gaz, party: str, must_exist: bool = False) -> DataFrame:
     """J15. Figures of a party in gazetteer order."""
-    if must_exist and party not in {r["party"] for r in config_rows(gaz)}:
+    if must_exist and not holds(gaz, "party", party):
         raise ValueError(f"unknown party {party!r}")
     return (
         dim_frame(spark, gaz).where((F.col("kind") == "figure") & (F.col("party") == party))
@@ -264,7 +297,7 @@ def taxonomy_lookup(spark: SparkSession, taxonomy, name: str | None = None) -> D
 
 
 def check_category(taxonomy, name: str) -> None:
-    if name not in {r["category"] for r in config_rows(taxonomy)}:
+    if not holds(taxonomy, "category", name):
         raise ValueError(f"invalid category {name!r}")
 
 
@@ -275,13 +308,16 @@ def default_mentions(parties: Column, label: str = fixed.DEFAULT_MENTION) -> Col
 
 def assign_party(
     articles: DataFrame, gaz, key: str = "id", text: Column | None = None,
-    keyword_weight: int = 2, figure_weight: int = 5,
+    keyword_weight: int = 2, figure_weight: int = 5, unroll_limit: int = UNROLL_LIMIT,
 ) -> DataFrame:
     """T15. The best-scoring party: 2 per party name found, 5 per figure alias found; flagged parties
     need a figure; ties go to the party listed first. Adds party_id, party_score, mentioned_figures
-    (NULL, NULL, empty when nothing scored)."""
+    (NULL, NULL, empty when nothing scored). A gazetteer of more than ``unroll_limit`` rows is joined, by the articles'
+    unique ``key``."""
     text = combined_text() if text is None else text
-    rows = config_rows(gaz)
+    rows = dim_rows(gaz, unroll_limit)
+    if rows is None:
+        return _assign_by_join(articles, gaz, key, text, keyword_weight, figure_weight)
     work, test = term_tests(
         articles.withColumn("_lower", F.lower(text)), "_lower", [r["variant"] for r in rows], "substring")
     scored = []
@@ -311,6 +347,23 @@ def assign_party(
     )
 
 
+def _assign_by_join(articles: DataFrame, gaz, key: str, text: Column, keyword_weight: int, figure_weight: int) -> DataFrame:
+    hits, terms = _gazetteer_hits(articles, gaz, "substring", key, text)
+    is_figure = F.col("kind") == "figure"
+    scores = hits.groupBy(key, "party").agg(
+        F.min("party_ordinal").alias("ordinal"), F.bool_or(is_figure).alias("has_figure"),
+        F.sum(F.when(is_figure, figure_weight).otherwise(keyword_weight)).cast("int").alias("score"),
+    )
+    flags = terms.groupBy("party").agg(F.min_by("requires_figure", "variant_ordinal").alias("requires"))
+    counted = scores.join(flags, "party").where((~F.coalesce("requires", F.lit(False)) | F.col("has_figure")) & (F.col("score") > 0))
+    none = F.array().cast("array<string>")
+    listed = counted.join(_listed_figures(hits, terms, key), [key, "party"], "left").withColumn("figures", F.coalesce("figures", none))
+    best = listed.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("neg"), "ordinal", "party", "figures")).alias("_best"))
+    best = best.select(key, F.col("_best.party").alias("party_id"), (-F.col("_best.neg")).alias("party_score"), F.col("_best.figures").alias("mentioned_figures"))
+    work = articles.drop("party_id", "party_score", "mentioned_figures").join(best, key, "left")
+    return work.withColumn("mentioned_figures", F.coalesce("mentioned_figures", none))
+
+
 def party_post_filter(assigned: DataFrame, party: str | None = None, figure: str | None = None) -> DataFrame:
     """T18. Articles whose winning party is ``party`` and that mention ``figure``."""
     out = assigned.where(F.col("party_id").isNotNull())

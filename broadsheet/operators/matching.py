@@ -28,10 +28,12 @@ except ImportError:
 
 from broadsheet.dims import UNROLL_LIMIT
 from broadsheet.functions.arrays import unnest
-from broadsheet.functions.text import WORD, escape
+from broadsheet.functions.text import WORD, WS, escape
 from broadsheet.session import bounded_rows
 
 ANCHOR_CHARS = 8
+#: Characters that part a name from what stands beside it.
+NAME_EDGE = "[" + WS + r",।.\-()]"
 #: From this many terms on, one pass with an automaton beats a test per term.
 SCAN_FROM = 24
 
@@ -117,8 +119,15 @@ def occurrences(lowered: Column, term: str) -> Column:
     return (left / len(t)).cast("int")
 
 
+def occurrences_of(lowered: Column, term: Column) -> Column:
+    """As ``occurrences``, for a column of terms in lower case."""
+    left = F.length(lowered) - F.length(F.replace(lowered, term, F.lit("")))
+    return (left / F.length(term)).cast("int")
+
+
 def match_by_join(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, mode: str) -> DataFrame:
-    """(key, term) pairs, distinct, for a dimension of any size. ``term`` is compared in lower case."""
+    """(key, term) pairs, distinct, for a dimension of any size. ``term`` is compared in lower case. ``mode`` is
+    ``word``, ``substring`` or ``name_part`` (between delimiters of names)."""
     vocabulary = terms.select(F.lower(F.col(term)).alias("_t")).where(F.length("_t") > 0).distinct()
     sizes = vocabulary.agg(
         F.collect_set(F.least(F.length("_t"), F.lit(ANCHOR_CHARS))).alias("anchors"), F.max(F.length("_t")).alias("longest")
@@ -148,6 +157,9 @@ def match_by_join(df: DataFrame, key: str, text: str, terms: DataFrame, term: st
     if mode == "word":
         before, after = F.substring("_w", 1, 1), F.substr(window, F.length("_t") + 1, F.lit(1))
         hits = hits.where(~before.rlike(f"[{WORD}]") & ~after.rlike(f"[{WORD}]"))
+    elif mode == "name_part":
+        before, after = F.substring("_w", 1, 1), F.substr(window, F.length("_t") + 1, F.lit(1))
+        hits = hits.where(before.rlike(NAME_EDGE) & ((after == "") | after.rlike(NAME_EDGE)))
     return hits.select(key, F.col("_t").alias(term)).distinct()
 
 

@@ -6,27 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
-from broadsheet.dims import config_rows, grouped
+from broadsheet.dims import UNROLL_LIMIT, dim_frame, dim_rows, grouped
 from broadsheet.functions.arrays import literal_array
 from broadsheet.operators.entities import combined_text
-from broadsheet.operators.matching import any_of, distinct_hits, occurrences
+from broadsheet.operators.matching import any_of, distinct_hits, match_by_join, occurrences, occurrences_of
 
 
-def theme_scores(articles: DataFrame, lexicon, text: Column | None = None, out: str = "theme_scores") -> DataFrame:
-    """T01. map theme → occurrences of its keywords; nested keywords each count, zero themes are left out."""
+def theme_scores(articles: DataFrame, lexicon, text: Column | None = None, out: str = "theme_scores", key: str = "id",
+                 unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
+    """T01. map theme → occurrences of its keywords; nested keywords each count, zero themes are left out. A lexicon of
+    more than ``unroll_limit`` keywords is joined, by the articles' unique ``key``."""
     text = combined_text() if text is None else text
+    rows = dim_rows(lexicon, unroll_limit)
+    if rows is None:
+        return _themes_by_join(articles, lexicon, text, out, key)
     work = articles.withColumn("_lower", F.lower(text))
     low = F.col("_lower")
     entries = []
-    for theme, rows in grouped(config_rows(lexicon), "theme", "theme_ordinal"):
+    for theme, members in grouped(rows, "theme", "theme_ordinal"):
         score = F.lit(0)
-        for row in rows:
+        for row in members:
             score = score + occurrences(low, row["keyword"])
         entries.append(F.struct(F.lit(theme).alias("key"), score.alias("value")))
     scored = F.filter(F.array(*entries), lambda e: e["value"] > 0)
     return work.withColumn(out, F.map_from_entries(scored)).drop("_lower")
 
 
+def _keyword_hits(articles: DataFrame, lexicon, text: Column, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, _t) pairs of texts and the keywords in them, and the lexicon with its keywords as _t."""
+    words = dim_frame(articles.sparkSession, lexicon).withColumn("_t", F.lower("keyword"))
+    texts = articles.select(key, text.alias("_text"))
+    return match_by_join(texts, key, "_text", words, "_t", "substring"), words
+
+
+def _themes_by_join(articles: DataFrame, lexicon, text: Column, out: str, key: str) -> DataFrame:
+    """Only keywords that occur in a text are counted there; a text's keywords travel to it, not the text to them."""
+    hits, words = _keyword_hits(articles, lexicon, text, key)
+    found = hits.groupBy(key).agg(F.collect_list("_t").alias("_terms"))
+    texts = articles.select(key, F.lower(text).alias("_lower"))
+    counts = F.transform("_terms", lambda t: F.struct(t.alias("_t"), occurrences_of(F.col("_lower"), t).alias("n")))
+    counted = texts.join(found, key).select(key, F.explode(counts).alias("_e")).select(key, "_e.*")
+    per = counted.join(words, "_t").groupBy(key, "theme").agg(F.min("theme_ordinal").alias("place"), F.sum("n").cast("int").alias("n"))
+    scores = per.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "theme", "n"))).alias("_s"))
+    scores = scores.select(key, F.map_from_entries(F.transform("_s", lambda s: F.struct(s["theme"], s["n"]))).alias(out))
+    none = F.create_map().cast("map<string,int>")
+    return articles.drop(out).join(scores, key, "left").withColumn(out, F.coalesce(out, none))
+
+
+def _topics_by_join(articles: DataFrame, lexicon, n: int, text: Column, out: str, key: str) -> DataFrame:
+    hits, words = _keyword_hits(articles, lexicon, text, key)
+    per = hits.join(words, "_t").groupBy(key, "theme").agg(F.min("theme_ordinal").alias("place"))
+    found = per.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "theme"))).alias("_s"))
+    found = found.select(key, F.slice(F.transform("_s", lambda s: s["theme"]), 1, n).alias(out))
+    return articles.drop(out).join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
 def is_keyword_article(
     articles: DataFrame, keywords: list[str], out: str, min_hits: int = 2, text: Column | None = None
 ) -> DataFrame:
@@ -36,14 +70,19 @@ def is_keyword_article(
     return work.withColumn(out, distinct_hits(F.col("_lower"), keywords) >= min_hits).drop("_lower")
 
 
-def topics(articles: DataFrame, lexicon, n: int = 5, text: Column | None = None, out: str = "topics") -> DataFrame:
-    """T10. Topics with a keyword in the text, in lexicon order, the first ``n``."""
+def topics(articles: DataFrame, lexicon, n: int = 5, text: Column | None = None, out: str = "topics", key: str = "id",
+           unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
+    """T10. Topics with a keyword in the text, in lexicon order, the first ``n``. A lexicon of more than
+    ``unroll_limit`` keywords is joined, by the articles' unique ``key``."""
     text = F.col("content") if text is None else text
+    listed = dim_rows(lexicon, unroll_limit)
+    if listed is None:
+        return _topics_by_join(articles, lexicon, n, text, out, key)
     work = articles.withColumn("_lower", F.lower(text))
     low = F.col("_lower")
     found = [
         F.when(any_of(low, [r["keyword"] for r in rows]), F.lit(topic))
-        for topic, rows in grouped(config_rows(lexicon), "theme", "theme_ordinal")
+        for topic, rows in grouped(listed, "theme", "theme_ordinal")
     ]
     return work.withColumn(out, F.slice(F.array_compact(F.array(*found)), 1, n)).drop("_lower")
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,42 @@ def test_partial_people(spark):
     assert got == [["Dr Cyrus Vane"], [], ["Dr Cyrus Vane"], [], []]
 
 
+MANY = ["Ann met Lee at B.N.P., Bo-Dee and Cyrus", "vane Cyrus।Vane (Dr Cy)", "এ্যান লী Cyrusvane", "anncyrus bo", "", None, "Dr Cyrus Vane\nAnn Lee Dee Dee Cee Cee government",
+        "bobobo alpha party B.N.P."]
+
+
+def test_people_parties_and_topics_by_join(spark):
+    """The joined forms give what the forms with one test per term give; a second pass runs on many partitions."""
+    lexicon = dims.lexicon({"one": ["bo", "bob", "lee"], "two": ["obo", "Cyrus"], "three": ["zzz"], "four": ["e", "dee", "dee"]})
+    extra = dims.gazetteer({"X": {"names": ["Cee"], "figures": {"Ann Lee": ["Lee Ann"], "Eve": ["Cyrus Evergreen", "met Lee"]}}})
+    both = dims.Dim(GAZ.schema, GAZ.rows + tuple((r[0], 3, *r[2:]) for r in extra.rows))
+    rows = articles(spark, *TEXTS, *MANY)
+    for work, dim, columns in (
+        (ent.tag_people_partial, both, ["people_raw"]), (ent.assign_party, both, ["party_id", "party_score", "mentioned_figures"]),
+        (themes.topics, lexicon, ["topics"]), (themes.theme_scores, lexicon, ["theme_scores"]),
+    ):
+        want = {r["id"]: r for r in work(rows, dim).collect()}
+        for table in (rows, rows.repartition(7)):
+            joined = work(table, dim, unroll_limit=0)
+            assert set(joined.columns) == set(work(rows, dim).columns)
+            got = {r["id"]: r for r in joined.collect()}
+            assert {i: [r[c] for c in columns] for i, r in got.items()} == {i: [r[c] for c in columns] for i, r in want.items()}, work.__name__
+        assert work(rows.limit(0), dim, unroll_limit=0).count() == 0
+        again = work(work(rows, dim, unroll_limit=0), dim, unroll_limit=0)  # columns of its own names are replaced
+        assert again.columns == work(rows, dim, unroll_limit=0).columns
+
+
+def test_themes_with_twelve_thousand_keywords(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcdef", k=rng.randint(3, 9))) for _ in range(14_000)})[:12_000]
+    lexicon = dims.lexicon({f"t{i}": words[i::40] for i in range(40)})
+    texts = [" ".join(rng.choices(words, k=20)) for _ in range(12)] + ["", "xyz"]
+    got = {r["id"]: r["theme_scores"] for r in themes.theme_scores(articles(spark, *texts), lexicon).collect()}
+    for i, t in enumerate(texts):
+        want = {f"t{j}": sum(t.count(w) for w in words[j::40]) for j in range(40)}
+        assert got[i] == {k: v for k, v in want.items() if v}
+
+
 def test_assign_party_ties_and_flag(spark):
     df = articles(spark, "cee alpha party", "government", "dee", "nothing")
     got = [(r["party_id"], r["party_score"]) for r in ent.assign_party(df, GAZ).orderBy("id").collect()]
