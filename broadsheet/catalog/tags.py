@@ -121,8 +121,8 @@ def _(t):
         "id", "party_id", F.col("party_score").cast("bigint").alias("party_score"), text_of("mentioned_figures").alias("figures"))
 
 
-def partial_sql() -> str:
-    """J03: first variant per figure, whole or through a part between delimiters."""
+def partial_sql(shown: str = "variant") -> str:
+    """J03: first variant per figure, whole or through a part between delimiters; or the figure itself."""
     edge = "[" + WS + r",।.\-()]"
     branches = []
     figures = dict.fromkeys(r["canonical"] for r in GAZ.dicts() if r["kind"] == "figure")
@@ -133,7 +133,7 @@ def partial_sql() -> str:
             tests = [f"contains(low, {quote(v)})"]
             parts = v.split()
             tests += [f"regexp_matches(low, {quote(f'(?:^|{edge}){p}(?:{edge}|$)')})" for p in parts if len(parts) > 1 and len(p) > 3]
-            whens.append(f"WHEN {' OR '.join(tests)} THEN {quote(v)}")
+            whens.append(f"WHEN {' OR '.join(tests)} THEN {quote(r[shown])}")
         branches.append(f"SELECT id, {place} AS place, CASE {' '.join(whens)} END AS v FROM low_text")
     return (", low_text AS (SELECT id, lower(both_text) AS low FROM base), found AS (" + " UNION ALL ".join(branches)
             + ") SELECT b.id, coalesce(string_agg(v, '|' ORDER BY place), '') AS people FROM base b LEFT JOIN found f ON f.id = b.id AND v IS NOT NULL GROUP BY b.id")
@@ -425,6 +425,12 @@ def _(t):
         "categories", "people", "parties", "keywords")], "is_speech", "is_stance")
 
 
+@query("t14_categorize_partial", base(partial_sql("canonical")))
+def _(t):
+    c = categorize(t.articles, GAZ, LEXICON, SPEECH, STANCE, people="partial", aliases=ALIASES)
+    return c.select("id", text_of("people").alias("people"))
+
+
 @query("t15_assign_party", base(score_sql() + """
 SELECT b.id, party_id, CAST(party_score AS BIGINT) AS party_score, coalesce(figures, '') AS figures FROM base b LEFT JOIN best USING (id)"""))
 def _(t):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.dims import dim_frame
+from broadsheet.dims import CONFIG_LIMIT, Dim, aliases as alias_table, dim_frame
 from broadsheet.functions.text import WS, normalize_name
-from broadsheet.session import broadcast_if_small
+from broadsheet.session import bounded_rows, broadcast_if_small
 
 
 def canonicalize_exact(df: DataFrame, name: str, aliases, out: str = "canonical") -> DataFrame:
@@ -89,3 +89,29 @@ def distinct_names(df: DataFrame, key: str, names: str, aliases) -> DataFrame:
     return df.join(packed, key, "left").withColumn(
         names, F.coalesce(F.transform("_list", lambda x: x["_canonical"]), F.array().cast("array<string>"))
     ).drop("_list")
+
+
+def figure_aliases(gaz):
+    """Alias table of a gazetteer's figures, variants in gazetteer order."""
+    if isinstance(gaz, Dim):
+        rows = sorted((r for r in gaz.dicts() if r["kind"] == "figure"), key=lambda r: (r["party_ordinal"], r["variant_ordinal"]))
+        return alias_table((r["variant"], r["canonical"]) for r in rows)
+    order = F.col("party_ordinal").cast("bigint") * 2**31 + F.col("variant_ordinal")
+    return gaz.where("kind = 'figure'").select("variant", "canonical", order.alias("ordinal"))
+
+
+def distinct_known_names(df: DataFrame, key: str, names: str, known: DataFrame, aliases, limit: int = CONFIG_LIMIT) -> DataFrame:
+    """R10 for an array column whose names all come from ``known`` (one column, any table). J07 runs over that list, not
+    over the articles, and its result maps the names inside the arrays: no article is shuffled. A list of more than
+    ``limit`` names is joined as in ``distinct_names``, by the unique ``key``. NULL arrays become empty."""
+    pairs = bounded_rows(name_map(known, known.columns[0], aliases), limit)
+    if pairs is None:
+        return distinct_names(df, key, names, aliases)
+    none = F.array().cast("array<string>")
+    if not pairs:
+        return df.withColumn(names, F.coalesce(names, none))
+    lookup = F.create_map(*[F.lit(x) for p in pairs for x in (p["name"], p["canonical"])])
+    found = df.withColumn("_names", F.transform(F.coalesce(names, none), lambda n: F.coalesce(F.try_element_at(lookup, n), n)))
+    low = F.transform("_names", lambda n: F.lower(n))
+    first = F.filter("_names", lambda n, i: F.array_position(low, F.lower(n)) == i + 1)
+    return found.withColumn(names, first).drop("_names")

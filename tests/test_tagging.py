@@ -205,6 +205,28 @@ def test_categorize(spark):
     assert r["categories"] == ["A", "Speech Analysis", "Vote"] and r["total_categories"] == 3
 
 
+def test_categorize_with_partial_names(spark):
+    gaz = dims.gazetteer({
+        "A": {"names": ["Alpha"], "figures": {"Ann Lee": ["Ann Lee", "A. Lee Junior"], "ann lee": ["Annie"], "Bo Tan": ["Bo Tan Sr"]}},
+        "B": {"names": ["Beta"], "figures": {"Cy": ["Cyrus Vane"]}},
+    })
+    other = dims.aliases([("Cyrus Vane", "Dr Cyrus"), ("Annie", "ANN LEE"), ("Bo Tan", "Bo T.")])
+    rows = articles(spark, "Annie and Ann Lee", "Junior met Vane.", "Bo Tan Sr, Cyrus Vane", "nobody", "")
+    got = {r["id"]: r["people"] for r in categorize(rows, gaz, dims.default_lexicon(), people="partial").collect()}
+    assert got == {0: ["Ann Lee"], 1: ["Ann Lee", "Cy"], 2: ["Bo Tan", "Cy"], 3: [], 4: []}
+    known = dims.dim_frame(spark, gaz).select("variant")
+    raw = ent.tag_people_partial(rows, gaz, out="people")
+    for table in (gaz, dims.dim_frame(spark, gaz)):
+        mapped, joined = (names.distinct_known_names(raw, "id", "people", known, names.figure_aliases(table), limit) for limit in (100, 0))
+        assert sorted(map(tuple, mapped.select("id", "people").collect())) == sorted(map(tuple, joined.select("id", "people").collect()))
+    got = {r["id"]: r["people"] for r in categorize(rows, gaz, dims.default_lexicon(), people="partial", aliases=other).collect()}
+    assert got[0] == ["ANN LEE"] and got[1][1] == "Dr Cyrus" and got[2] == ["Bo T.", "Dr Cyrus"]
+    plan = categorize(rows, gaz, dims.default_lexicon(), people="partial")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    with pytest.raises(ValueError, match="people"):
+        categorize(rows, gaz, dims.default_lexicon(), people="other")
+
+
 def test_partitioning_does_not_change_results(spark):
     df = articles(spark, *TEXTS * 5)
     one, many = (sorted(map(str, keywords_tfidf(ent.tag_entities_word(df.repartition(n), GAZ), 3).collect())) for n in (1, 16))
