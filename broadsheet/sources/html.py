@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from html.entities import html5
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
+from broadsheet.functions.batches import by_pieces
 from broadsheet.functions.dates import check_bound
 from broadsheet.functions.text import col, let, resolve_url, strip, strip_boilerplate
 
@@ -190,10 +191,13 @@ def _read_page(html: str | None, rules: PageRules) -> tuple:
     root = parse_tree(html)
     category = _first_text(root, rules.category) or rules.default_category
     links = [n.attrs["href"] for n in _select(root, "a") if n.attrs.get("href")]
-    return (
+    fields = (
         _first_text(root, rules.title) or None, body_text(root, rules) or None,
         _first_text(root, rules.author) or None, category, published_text(root), links,
     )
+    for node in root.walk():  # a tree without cycles is freed at once, not at some later collection
+        node.parent = None
+    return fields
 
 
 def parse_published(text) -> Column:
@@ -210,13 +214,17 @@ def extract_pages(pages: DataFrame, rules: dict[str, PageRules] | PageRules, htm
     """S03 and the fields of S02, S04–S06 for every page, before any row is dropped."""
     single = rules if isinstance(rules, PageRules) else None
     names = ["title", "content", "author", "category", "published", "html_links"]
+    kinds = [*[pa.string()] * 5, pa.list_(pa.string())]
+
+    def fields(texts: pa.Array, sources: pa.Array) -> pa.Array:
+        chosen = [single] * len(texts) if single else [rules.get(s) for s in sources.to_pylist()]
+        rows = [_read_page(h if r else None, r) for h, r in zip(texts.to_pylist(), chosen, strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     # not deterministic to Catalyst: tests on its fields would otherwise be pushed below it and parse every page again
-    @F.pandas_udf(PAGE_SCHEMA)
-    def read(texts: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        chosen = [single] * len(texts) if single else [rules.get(s) for s in sources]
-        rows = [_read_page(h if r else None, r) for h, r in zip(texts, chosen)]
-        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+    @F.arrow_udf(PAGE_SCHEMA)
+    def read(texts: pa.Array, sources: pa.Array) -> pa.Array:
+        return by_pieces(fields, texts, sources)
 
     # only the HTML and the source go to Python: every other column stays as it is in the JVM
     key = F.lit(single.source) if single else F.col(source)
