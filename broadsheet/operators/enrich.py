@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.dims import config_rows, grouped
 from broadsheet.functions.arrays import split_list
+from broadsheet.functions.batches import by_pieces
 from broadsheet.functions.text import WS, col, detect_language, strip
 from broadsheet.operators.entities import match_known_entity, validate_against
 from broadsheet.functions.dates import time_window
@@ -283,20 +285,28 @@ def parse_sectioned_summary(response) -> Column:
     """E06. Summary response → struct(summary, key_points, keywords, topics, stance_analysis)."""
     names = ["summary", "key_points", "keywords", "topics", "stance_analysis"]
 
-    @F.pandas_udf("summary string, key_points array<string>, keywords array<string>, topics array<string>, "
-                  "stance_analysis string")
-    def parse(responses: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_summary(r) for r in responses], columns=names)
+    kinds = [pa.string(), *[pa.list_(pa.string())] * 3, pa.string()]
+
+    @F.arrow_udf("summary string, key_points array<string>, keywords array<string>, topics array<string>, "
+                 "stance_analysis string")
+    def parse(responses: pa.Array) -> pa.Array:
+        return by_pieces(lambda part: _fields([read_summary(r) for r in part.to_pylist()], names, kinds), responses)
 
     return parse(col(response))
 
 
+def _fields(rows: list[dict], names: list[str], kinds: list[pa.DataType]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds, strict=True)], names=names)
+
+
 def parse_keyword_lists(response, n: int = 10, n_phrases: int = 5, n_topics: int = 3) -> Column:
     """E07. Keyword response → struct(keywords ≤ n, phrases ≤ n_phrases, topics ≤ n_topics)."""
 
-    @F.pandas_udf("keywords array<string>, phrases array<string>, topics array<string>")
-    def parse(responses: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_keywords(r, n, n_phrases, n_topics) for r in responses], columns=["keywords", "phrases", "topics"])
+    names, kinds = ["keywords", "phrases", "topics"], [pa.list_(pa.string())] * 3
+
+    @F.arrow_udf("keywords array<string>, phrases array<string>, topics array<string>")
+    def parse(responses: pa.Array) -> pa.Array:
+        return by_pieces(lambda part: _fields([read_keywords(r, n, n_phrases, n_topics) for r in part.to_pylist()], names, kinds), responses)
 
     return parse(col(response))
 
