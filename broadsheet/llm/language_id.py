@@ -135,13 +135,16 @@ def _gram_counts(counts: DataFrame, longest: int) -> DataFrame:
     return map_batches(counts, build, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-class Scorer:
-    """Looks words up, remembering the ones that no language knows (a memo of bounded size)."""
+class Scorer(dict):
+    """Looks words up: word -> its row of scores. The words that no language knows are remembered (a memo of bounded size)."""
 
     def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], memo: int = 200_000):
-        self.langs, self.tables, self.memo = langs, tables, memo
+        words = tables[0] if tables else {}
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.langs, self.tables, self.memo, self.known = langs, tables, memo, len(words)
         self.unknown = np.full(len(langs), PENALTY)
-        self.seen: dict[str, np.ndarray] = {}
+        self.scores = np.concatenate([np.reshape([*words.values()], (len(words), len(langs))), np.empty((1_000, len(langs)))])
+        self.long: list[str] = []
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(len(self.tables) - 1, 0, -1):
@@ -152,15 +155,24 @@ class Scorer:
 
     def word(self, word: str) -> np.ndarray:
         out = self.tables[0].get(word)
-        if out is None:
-            out = self.seen.get(word)
-            if out is None:
-                if len(self.seen) >= self.memo:
-                    self.seen.clear()
-                out = self.backoff(word)
-                if len(word) <= 40:
-                    self.seen[word] = out
-        return out
+        return self.scores[self[word]] if out is None else out
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+        self.scores[at] = self.backoff(word)
+        self[word] = at
+        if len(word) > 40:
+            self.long.append(word)
+        return at
+
+    def forget(self) -> None:
+        """Drops the words that no language knows."""
+        for word in list(self)[self.known:]:
+            del self[word]
+        self.scores = self.scores[:self.known + self.memo]
+        self.long = []
 
     def text(self, text: str) -> tuple[str, float]:
         words = _words(text)
@@ -168,7 +180,10 @@ class Scorer:
             return UNDETERMINED, 0.0
         counts = Counter(words)
         times = np.fromiter(counts.values(), float, len(counts))
-        mean = times @ np.concatenate([self.word(w) for w in counts]).reshape(len(counts), -1) / len(words)
+        places = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
+        mean = times @ self.scores[places] / len(words)
+        if len(self) - self.known > self.memo or len(self.long) > 1_000:
+            self.forget()
         weights = np.power(10.0, mean.min() - mean)
         best = int(np.argmin(mean))  # equal means: the language that comes first by name
         return self.langs[best], float(weights[best] / weights.sum())
