@@ -14,8 +14,8 @@ def test_scan_and_grams_agree(spark, mode):
     terms = spark.createDataFrame([(w,) for w in ["ab", "AB", "aba", "bc d", "é", "aa", "", "longer than the anchor"]], "term string")
     scan = matching.match_by_join(df, "id", "content", terms, "term", mode)
     grams = matching.match_by_join(df, "id", "content", terms, "term", mode, scan_limit=0)
+    plan = scan._jdf.queryExecution().executedPlan().toString()  # as planned, before it runs
     assert sorted(map(tuple, scan.collect())) == sorted(map(tuple, grams.collect())) != []
-    plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "split(" not in plan and plan.count("Exchange hashpartitioning") == 1  # no row for each position of a text
 
 
