@@ -87,3 +87,15 @@ def test_blocks_of_questions_meet_fewer_shards(spark, monkeypatch):
     monkeypatch.setattr(index_module, "MEETINGS", 12)
     assert sorted(map(tuple, search.knn_join(q, index, 4, question_rows=10).collect())) == whole
     assert int(index.shards.max()) == 23 and shards[0] <= 4 * 2
+
+
+def test_computed_vectors_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        return np.array([[len(x), 1.0 + x.count("1")] for x in texts])
+
+    docs = spark.range(300).select("id", F.lit("").alias("title"), F.col("id").cast("string").alias("content"))
+    index = search.build_index(search.embed(docs, encoder), sample_rows=50)
+    assert index.rows == 300 and index.table.count() == 300 and seen.value == 300
